@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corroborate.llm import exact_dedup, simhash
+from corroborate.llm import bpe, exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL}
