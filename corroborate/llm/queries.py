@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corroborate.llm import bpe, exact_dedup, simhash
+from corroborate.llm import bpe, exact_dedup, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_simhash": simhash.op4_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
+    "op10_secrets": secret_scan.op10_secrets,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL}
