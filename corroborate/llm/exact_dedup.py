@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import SPACE, read, text_of
+from corroborate.llm.common import SPACE, checkpointed, read, text_of
 
 
 def normalised(text: str = "text") -> Column:
@@ -40,7 +40,9 @@ def exact_dedup(
         .select("h", F.struct(F.octet_length("norm").alias("n"), F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").alias("g"))
     )
     # the texts of one hash: one, or a few where the hash collides
-    by_hash = groups.groupBy("h").agg(F.collect_list("g").alias("gs"))
+    # written out, so that the join below is between two plain exchanges and Spark can split a hash
+    # that very many rows share
+    by_hash = checkpointed(groups.groupBy("h").agg(F.collect_list("g").alias("gs")))
     rows = texts.select("id", hash128(F.col("norm")).alias("h"), F.octet_length("norm").alias("n"), F.sha2("norm", 256).alias("text_sha256"))
     same = F.when(F.size("gs") == 1, F.col("gs")[0]).otherwise(
         F.filter("gs", lambda g: (g["n"] == F.col("n")) & (g["sha"] == F.col("text_sha256")))[0]
