@@ -164,6 +164,21 @@ def predicted() -> Column:
     return (F.col("score") >= THRESHOLD).cast("int")
 
 
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the machine scores at THRESHOLD or more."""
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights.astype("f4"), machine.factors.astype("f4")))
+    text, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = Machine(*sent.value)
+        for b in batches:
+            n_chars = [None] * b.num_rows if chars is None else b.column(chars).to_pylist()
+            scores = (here.score(t or "", n) for t, n in zip(b.column(text).to_pylist(), n_chars, strict=True))
+            yield b.filter(pa.array([x >= THRESHOLD for x in scores], pa.bool_()))
+
+    return bounded_batches(docs).mapInArrow(each, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, learn_from(docs, read(spark, sf_dir, "labels")))
