@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,25 +20,35 @@ from corroborate.llm.text_stats import labelled_sample
 
 #: Most labelled rows that features are chosen and weights fitted on, features, and grades above 0.
 TRAIN_ROWS, FEATURES, LEVELS = 10_000, 800, 2
-#: A feature occurs in so many training texts at least, and is this many standard errors from even.
-LEAST_TEXTS, LEAST_Z = 5, 3.0
-STEPS, RATE, RIDGE, SEED = 400, 0.05, 2e-4, 5
+#: A feature has so many different contexts at least, and is this many standard errors from even.
+LEAST_CONTEXTS, LEAST_Z = 8, 4.0
+STEPS, RATE, RIDGE = 600, 0.05, 1e-4
 #: Probability of a grade above 0 from which on a text counts as toxic.
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str) -> Counter[str]:
-    """Words in lower case, and the stems (first four and five letters) of longer ones."""
-    words = Counter(_WORD.findall(text.lower()))
-    out: Counter[str] = Counter()
-    for w, n in words.items():
-        out[w] += n
-        for k in (4, 5):
-            if len(w) > k:
-                out[f"{w[:k]}-"] += n
-    return out
+def terms(text: str) -> dict[str, tuple[int, int]]:
+    """Words in lower case and the stems (first three to six letters) of longer ones: how often each
+    occurs, and a number for the words around its first place."""
+    words = _WORD.findall(text.lower())
+    found: dict[str, tuple[int, int]] = {}
+    first: dict[str, int] = {}
+    for i, w in enumerate(words):
+        first.setdefault(w, i)
+    for w, n in Counter(words).items():
+        i = first[w]
+        context = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
+        for t in (w, *(f"{w[:k]}-" for k in range(3, min(7, len(w))))):
+            had, seen = found.get(t, (0, context))
+            found[t] = (had + n, seen)
+    return found
+
+
+def weight(n: int) -> float:
+    """A feature's value: the first occurrence counts most."""
+    return 1 + math.log(n)
 
 
 @dataclass
@@ -49,7 +60,7 @@ class Model:
 
     def grades(self, text: str) -> list[float]:
         """P(grade > k) for each k, falling."""
-        z = sum(self.weights[t] * math.log1p(n) for t, n in terms(text).items() if t in self.weights)
+        z = sum(self.weights[t] * weight(n) for t, (n, _) in terms(text).items() if t in self.weights)
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, z - c)))) for c in self.cuts]
 
 
@@ -84,8 +95,8 @@ def fit(x: np.ndarray, grade: np.ndarray, levels: int = LEVELS) -> tuple[np.ndar
 def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from up to `rows` labelled documents outside the held-out fold (a documented bound).
 
-    The labels say toxic or not. Severity among the toxic ones comes from how densely they use the
-    words that set them apart: below the median is grade 1, from the median on grade 2. Terms are
+    The labels say toxic or not. Severity among the toxic ones comes from how much they use the terms
+    that set them apart: up to the median is grade 1, above it grade 2. Terms are
     counted in Spark; the FEATURES that tell most come to the driver, then the counts of those.
     """
 
@@ -95,17 +106,21 @@ def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
                 found = terms(text)
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array([y] * n, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
-                    ["doc_id", "y", "term", "n"],
+                    [pa.array([doc] * n, pa.int64()), pa.array([y] * n, pa.int32()), pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*found.values(), strict=True))]
+                    if n
+                    else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())],
+                    ["doc_id", "y", "term", "n", "context"],
                 )
 
     sample = bounded_batches(labelled_sample(docs, labels, "toxic", rows, ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "y", text_of().alias("text")))
     totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("k")).first()
     if not totals["k"] or totals["k"] == totals["n"]:
         return Model({}, [40.0] * LEVELS)
-    counted = checkpointed(sample.mapInArrow(each, "doc_id long, y int, term string, n long"))
+    counted = checkpointed(sample.mapInArrow(each, "doc_id long, y int, term string, n long, context long"))
     share = totals["k"] / totals["n"]
-    by_term = counted.groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("k")).where(F.col("d") >= LEAST_TEXTS)
+    # a passage that was copied into many texts is one context, however many copies are labelled
+    contexts = counted.groupBy("term", "context").agg(F.max("y").alias("y"))
+    by_term = contexts.groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("k")).where(F.col("d") >= LEAST_CONTEXTS)
     z = (F.col("k") - F.col("d") * share) / F.sqrt(F.col("d") * share * (1 - share))
     chosen = by_term.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "term").limit(FEATURES)
     strength = {r.term: r.z for r in chosen.collect()}
@@ -114,17 +129,15 @@ def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
         return Model({}, [40.0] * LEVELS)
     names = docs.sparkSession.createDataFrame([(t,) for t in place], "term string")
     cells = counted.join(F.broadcast(names), "term").select("doc_id", "term", "n").collect()
-    size = {r.doc_id: (r.y, r.words) for r in counted.groupBy("doc_id").agg(F.max("y").alias("y"), F.sum(F.when(~F.col("term").endswith("-"), F.col("n"))).alias("words")).collect()}
-    ids = sorted(size)
+    label = {r.doc_id: r.y for r in sample.select("doc_id", "y").collect()}
+    ids = sorted(label)
     row = {d: i for i, d in enumerate(ids)}
     x = np.zeros((len(ids), len(place)))
-    marks = np.zeros(len(ids))
     for c in cells:
-        x[row[c.doc_id], place[c.term]] = math.log1p(c.n)
-        marks[row[c.doc_id]] += c.n * (strength[c.term] > 0)
-    toxic = np.array([size[d][0] for d in ids])
-    dense = marks / np.maximum([size[d][1] or 1 for d in ids], 1)
-    grade = toxic * (1 + (dense >= np.median(dense[toxic == 1])))
+        x[row[c.doc_id], place[c.term]] = weight(c.n)
+    toxic = np.array([label[d] for d in ids])
+    marks = x @ np.array([strength[t] > 0 for t in place], float)
+    grade = toxic * (1 + (marks > np.median(marks[toxic == 1])))
     w, cuts = fit(x, grade.astype(int))
     return Model({t: float(w[i]) for t, i in place.items()}, [float(c) for c in cuts])
 
