@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -67,3 +68,8 @@ def one_hot(value: Column, vocabulary: tuple[str, ...], unknown: str | None = No
 def multi_hot(values: Column, vocabulary: tuple[str, ...]) -> Column:
     """array<float>: 1 for each entry of the vocabulary that the array has."""
     return F.array(*(F.coalesce(F.array_contains(values, v).cast("float"), F.lit(0.0).cast("float")) for v in vocabulary))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, where an expression uses it many times."""
+    return F.transform(F.array(value), f)[0]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroborate.functions import vocab as V
+
 
 def softmax(logits: Column) -> Column:
     """shifted by the largest logit."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = V.let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return V.let(powers, lambda p: V.let(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:

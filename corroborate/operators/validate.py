@@ -51,22 +51,24 @@ def words(text: Column) -> Column:
 
 def text_issues(text: Column) -> Column:
     """V8-V17 for a claim's text. An empty text has that one issue."""
-    t = F.regexp_replace(_text(text), r"^\s+|\s+$", "")
-    low = F.lower(t)
-    w = words(low)
-    meaningful = F.filter(w, lambda x: ~x.isin(*COMMON_WORDS) & (F.length(x) > 2))
-    rules = _list(
+    trimmed = F.regexp_replace(_text(text), r"^\s+|\s+$", "")
+    return V.let(trimmed, lambda t: F.when(t == "", _list(issue("V8", "quality", "error", F.lit(True)))).otherwise(V.let(F.lower(t), lambda low: _text_rules(t, low))))
+
+
+def _text_rules(t: Column, low: Column) -> Column:
+    all_words = words(low)
+    meaningful = F.filter(all_words, lambda x: ~x.isin(*COMMON_WORDS) & (F.length(x) > 2))
+    return _list(
         issue("V9", "quality", "warning", F.length(t) < 10),
         issue("V10", "quality", "warning", F.length(t) > 250),
         issue("V11", "quality", "warning", ~t.rlike(r"[.!?]$")),
         issue("V12", "quality", "warning", ~F.substring(t, 1, 1).rlike(r"^\p{Lu}$")),
-        issue("V13", "quality", "warning", F.size(w) < 3),
+        issue("V13", "quality", "warning", F.size(all_words) < 3),
         issue("V14", "quality", "warning", F.size(meaningful) < 2),
         issue("V15", "quality", "error", t.contains("http://") | t.contains("https://")),
         issue("V16", "quality", "warning", t.contains("|") & t.contains("%")),
         *(issue("V17", "quality", "warning", low.contains(phrase)) for phrase in AWKWARD),
     )
-    return F.when(t == "", _list(issue("V8", "quality", "error", F.lit(True)))).otherwise(rules)
 
 
 def quality_score(text: Column, issues: Column) -> Column:
