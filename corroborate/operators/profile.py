@@ -14,8 +14,9 @@ def distributions(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     One pass: a row becomes a pair per dimension, and equal pairs meet in the partial aggregate.
     """
     def pairs(name: str, c: Column) -> Column:
-        values = c if "array" in df.select(c.alias("c")).schema[0].dataType.typeName() else F.array(c)
-        return F.transform(values, lambda v: F.struct(F.lit(name).alias("dim"), F.coalesce(v.cast("string"), F.lit("null")).alias("key")))
+        values = (c if df.select(c.alias("c")).schema[0].dataType.typeName() == "array" else F.array(c)).cast("array<string>")
+        values = F.coalesce(values, F.array().cast("array<string>"))  # a null list has no entries
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("dim"), F.coalesce(v, F.lit("null")).alias("key")))
 
     every = F.concat(*(pairs(n, c) for n, c in dims.items()))
     return df.select(F.explode(every).alias("x")).groupBy("x.dim", "x.key").agg(F.count("*").alias("n"))
