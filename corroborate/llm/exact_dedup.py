@@ -61,9 +61,15 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents that exact_dedup keeps, each once, with all their columns.
+
+    A document is an id with its normalised text, so ids that repeat with other texts, or are null,
+    don't take each other's verdicts. Of rows that repeat both one stays.
+    """
+    named = lambda sha: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), sha)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(named(F.col("text_sha256")).alias("_document"))
+    rows = docs.withColumn("_document", named(F.sha2(normalised(text_col), 256)))
+    return rows.join(kept, "_document", "left_semi").dropDuplicates(["_document"]).drop("_document")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

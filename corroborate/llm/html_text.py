@@ -249,7 +249,8 @@ def blocks(node: Node) -> list[str]:
             if isinstance(c, str):
                 now.append(c)
             elif c.around:
-                now.append(" ")
+                if c.tag in BLOCKS:
+                    end()
             elif c.tag == "br":
                 now.append(" ")
             else:

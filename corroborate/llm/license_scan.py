@@ -66,9 +66,6 @@ NOTICES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: Each template has one of these, so a text without any needs no comparison.
-HINTS = ("licen", "released under", "distributed under", "permission", "copyright", "redistribut", "public domain", "software")
-
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 Bigram = tuple[str, str]
 
@@ -116,9 +113,6 @@ def find_licenses(text: str, least: float = DICE) -> list[tuple[int, int, str, f
     n (2 - t) / t. Of a longer passage the windows of the template's length that start at its hits
     are compared. Overlapping matches: the highest Dice stays, then the longest, then the first.
     """
-    low = text.lower()
-    if not any(h in low for h in HINTS):
-        return []
     known, index = templates()
     words = words_of(text)
     grams = _bigrams([w for w, _, _ in words])

@@ -197,7 +197,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document, the smallest id, of each component; null ids stay."""
+    """The rows of docs with one document, the smallest id, of each component; null ids stay.
+
+    Ids name documents here: rows that repeat an id stay or go together.
+    """
     gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id"))
     return docs.join(gone.distinct(), docs[id_col] == F.col("_gone_id"), "left_anti")
 
