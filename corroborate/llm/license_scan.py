@@ -108,8 +108,8 @@ def _passages(hits: list[int]) -> Iterator[list[int]]:
 def find_licenses(text: str, least: float = DICE) -> list[tuple[int, int, str, float]]:
     """(start, end, SPDX id, Dice) of the passages of a text that match a template, in order.
 
-    A passage is compared with the templates that share a bigram with it and whose size allows the
-    least Dice: of n and m bigrams at most min(n, m) are shared, so m is within n t / (2 - t) and
+    A passage is compared with the templates that share a bigram with it, from the first to the
+    last shared one, if the size allows the least Dice: of n and m bigrams at most min(n, m) are shared, so m is within n t / (2 - t) and
     n (2 - t) / t. Of a longer passage the windows of the template's length that start at its hits
     are compared. Overlapping matches: the highest Dice stays, then the longest, then the first.
     """
@@ -118,15 +118,16 @@ def find_licenses(text: str, least: float = DICE) -> list[tuple[int, int, str, f
     grams = _bigrams([w for w, _, _ in words])
     found = []
     for hits in _passages([i for i, g in enumerate(grams) if g in index]):
-        whole = grams[hits[0] : hits[-1] + 1]
-        for t in sorted({t for g in set(whole) for t in index.get(g, ())}):
+        for t in sorted({t for h in hits for t in index[grams[h]]}):
             spdx, want, m = known[t]
-            if len(whole) < m * least / (2 - least):
+            own = [h for h in hits if grams[h] in want]
+            size = own[-1] + 1 - own[0]
+            if size < m * least / (2 - least):
                 continue
-            if len(whole) <= m * (2 - least) / least:
-                spans = [(hits[0], hits[-1] + 1)]
+            if size <= m * (2 - least) / least:
+                spans = [(own[0], own[-1] + 1)]
             else:
-                spans = [(h, min(h + m, len(grams))) for h in hits if grams[h] in want]
+                spans = [(h, min(h + m, len(grams))) for h in own]
             for a, b in spans:
                 if (d := dice(Counter(grams[a:b]), want)) >= least:
                     found.append((-d, a - b, a, b, spdx))
