@@ -21,7 +21,7 @@ BLOCK, SHARDS, SEED = 128, 64, 17
 #: Sources are a dimension whose rows the driver draws for; more than this is an error, not a cut.
 MAX_SOURCES = 10_000
 #: Documents of a bucket within which offsets are running sums, and slots that one row unfolds into.
-BUCKET_ROWS, SLOT_ROWS = 50_000, 100_000
+BUCKET_ROWS, SLOT_ROWS = 2_000, 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[float]:
