@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.functions import vocab as V
@@ -96,17 +96,15 @@ def layer_metrics(df: DataFrame, path: str = "path", pred: str = "pred", label:
     """Coverage and accuracy of the symbolic and of the learned layer."""
     layer = F.when(F.col(path).startswith("symbolic_"), F.lit("ec_symbolic")).otherwise(F.lit("verdicthead"))
     each = df.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"), F.avg((F.col(pred) == F.col(label)).cast("double")).alias("a"))
-    total = df.agg(F.count("*").alias("total"))
-    return each.join(total).select("layer", "n", F.round(F.col("n") / F.col("total"), 4).alias("coverage"), F.round("a", 4).alias("accuracy"))
+    return each.select("layer", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("coverage"), F.round("a", 4).alias("accuracy"))
 
 
 def class_weights(df: DataFrame, classes: int, label: str = "label") -> DataFrame:
-    """N / (K max(n, 1)) for every class."""
+    """N / (K max(n, 1)) for every class; N counts the rows of the K classes."""
     found = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
-    total = df.agg(F.count("*").alias("total"))
     filled = spine.join(found, "class", "left").na.fill(0, ["n"])
-    return filled.join(total).select("class", "n", F.round(F.col("total") / (classes * F.greatest("n", F.lit(1))), 6).alias("weight"))
+    return filled.select("class", "n", F.round(F.sum("n").over(Window.partitionBy()) / (classes * F.greatest("n", F.lit(1))), 6).alias("weight"))
 
 
 def majority(df: DataFrame, by: str, label: str) -> DataFrame:

@@ -46,9 +46,8 @@ def readiness(df: DataFrame, evidence: Column, triples: Column) -> DataFrame:
 
 def against_targets(counts: DataFrame, targets: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """(key, n) against (key, target in percent): actual percent, difference, whether within tolerance."""
-    total = counts.agg(F.sum("n").alias("total"))
-    pct = F.round(F.coalesce(F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("total")), F.lit(0.0)), 2)
-    joined = targets.join(counts, "key", "left").join(total).withColumn("pct", pct)
+    shared = counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    joined = targets.join(shared, "key", "left").withColumn("pct", F.round(F.coalesce("pct", F.lit(0.0)), 2))
     delta = F.round(F.col("pct") - F.col("target"), 2)
     return joined.select("key", F.coalesce("n", F.lit(0)).alias("n"), "target", "pct", delta.alias("delta"), (F.abs(delta) <= tolerance).alias("ok"))
 

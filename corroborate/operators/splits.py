@@ -22,35 +22,44 @@ def pick_one(df: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFram
     return df.groupBy(*by).agg(F.min(rest).alias("x")).select("x.*").drop("_o")
 
 
-def split_groups(df: DataFrame, group: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds split; whole groups go to train, dev or test. Only the distinct groups are ranked:
-    their number is a count of scenes or topics, not of rows."""
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(seeded_order(F.col(group), seed), group)))
-    n = F.count("*").over(Window.partitionBy())
-    n_train, n_dev = F.greatest(F.lit(1), F.floor(n * train)), F.greatest(F.lit(1), F.floor(n * dev))
-    split = F.when(F.col("_r") <= n_train, F.lit("train")).when(F.col("_r") <= n_train + n_dev, F.lit("dev")).otherwise(F.lit("test"))
-    return df.join(ranked.withColumn("split", split).drop("_r"), group)
+def _ranked(rows: DataFrame, key: str, by: list[Column], seed: int, bits: int = 12) -> DataFrame:
+    """Adds _place, from 1, in the seeded order of all rows under the same `by`, and _all, their number.
 
+    One value of `by` may hold most rows, so ranks aren't taken over it at once: the order's first
+    bits cut it into cells; ranks are taken inside a cell and shifted by the cells before it.
+    """
+    shuffled = seeded_order(F.col(key), seed)
+    names = [f"_b{i}" for i in range(len(by))]
+    celled = rows.select("*", *(c.alias(n) for c, n in zip(by, names, strict=True)), F.conv(F.substring(shuffled, 1, bits // 4), 16, 10).cast("int").alias("_c"))
+    sizes = celled.groupBy(*names, "_c").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*names)
+    sizes = sizes.select(
+        *(F.col(n).alias(f"{n}_") for n in names), F.col("_c").alias("_c_"), F.sum("_n").over(whole).alias("_all"),
+        F.coalesce(F.sum("_n").over(whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    inside = Window.partitionBy(*names, "_c").orderBy(shuffled, key)
+    on = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names] + [F.col("_c") == F.col("_c_")]
+    joined = celled.withColumn("_r", F.row_number().over(inside)).join(sizes, on)
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_r")).alias("_place"), "_all")
 
-def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1, seed: int = 42, bits: int = 12) -> DataFrame:
-    """Adds split; each label is cut at exact shares of its rows in the seeded order.
 
-    A label may hold most rows, so ranks aren't taken over a whole label at once: the order's first
-    `bits` bits cut it into cells; ranks are taken inside a cell and shifted by the cells before.
-    """
-    cell = F.conv(F.substring(seeded_order(F.col(key), seed), 1, bits // 4), 16, 10).cast("int")
-    rows = df.withColumn("_c", cell)
-    per_cell = rows.groupBy(label, "_c").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(label)
-    sizes = per_cell.withColumn("_before", F.coalesce(F.sum("_n").over(whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = sizes.withColumn("_all", F.sum("_n").over(whole)).withColumnRenamed("_c", "_cell").withColumnRenamed(label, "_label")
-    inside = Window.partitionBy(label, "_c").orderBy(seeded_order(F.col(key), seed), key)
-    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(sizes, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_c") == F.col("_cell")))
-    place = F.col("_before") + F.col("_r")
-    n_train, n_dev = F.floor(F.col("_all") * train), F.floor(F.col("_all") * dev)
-    split = F.when(place <= n_train, F.lit("train")).when(place <= n_train + n_dev, F.lit("dev")).otherwise(F.lit("test"))
-    return ranked.withColumn("split", split).select(*df.columns, "split")
+def _split_at(n_train: Column, n_dev: Column) -> Column:
+    return F.when(F.col("_place") <= n_train, F.lit("train")).when(F.col("_place") <= n_train + n_dev, F.lit("dev")).otherwise(F.lit("test"))
+
+
+def split_groups(df: DataFrame, group: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
+    """Adds split; whole groups go to train, dev or test, at least one each to train and dev."""
+    ranked = _ranked(df.select(group).distinct(), group, [F.lit(0)], seed)
+    share = lambda f: F.greatest(F.lit(1), F.floor(F.col("_all") * f))
+    split = ranked.select(F.col(group).alias("_group"), _split_at(share(train), share(dev)).alias("split"))
+    return df.join(split, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
+    """Adds split; each label is cut at exact shares of its rows in the seeded order."""
+    ranked = _ranked(df, key, [F.col(label)], seed)
+    share = lambda f: F.floor(F.col("_all") * f)
+    return ranked.withColumn("split", _split_at(share(train), share(dev))).drop("_place", "_all")
 
 
 def apportion(shares: DataFrame, n: int, share: str = "share", order: str = "ord") -> DataFrame:
