@@ -29,6 +29,10 @@ THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def stems(word: str) -> list[str]:
+    return [f"{word[:k]}-" for k in range(3, min(7, len(word)))]
+
+
 def terms(text: str) -> dict[str, tuple[int, int]]:
     """Words in lower case and the stems (first three to six letters) of longer ones: how often each
     occurs, and a number for the words around its first place."""
@@ -40,7 +44,7 @@ def terms(text: str) -> dict[str, tuple[int, int]]:
     for w, n in Counter(words).items():
         i = first[w]
         context = zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
-        for t in (w, *(f"{w[:k]}-" for k in range(3, min(7, len(w))))):
+        for t in (w, *stems(w)):
             had, seen = found.get(t, (0, context))
             found[t] = (had + n, seen)
     return found
@@ -58,9 +62,20 @@ class Model:
     weights: dict[str, float]
     cuts: list[float]
 
+    def __post_init__(self) -> None:
+        self.starts = {t[:3] for t in self.weights if t.endswith("-")}
+
     def grades(self, text: str) -> list[float]:
-        """P(grade > k) for each k, falling."""
-        z = sum(self.weights[t] * weight(n) for t, (n, _) in terms(text).items() if t in self.weights)
+        """P(grade > k) for each k, falling. Looks up only what the model has, else the same as terms()."""
+        found: Counter[str] = Counter()
+        for w, n in Counter(_WORD.findall(text.lower())).items():
+            if w in self.weights:
+                found[w] += n
+            if w[:3] in self.starts:
+                for t in stems(w):
+                    if t in self.weights:
+                        found[t] += n
+        z = sum(self.weights[t] * weight(n) for t, n in found.items())
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, z - c)))) for c in self.cuts]
 
 

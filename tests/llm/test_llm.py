@@ -360,6 +360,13 @@ def test_ordinal_fit():
     assert np.allclose(w, [2, -1, 0], atol=0.3) and cuts[0] < cuts[1] and np.allclose(cuts, [0, 2], atol=0.3)
 
 
+def test_grades_look_up_the_same_terms():
+    text = "Bad badly badness, trashy trash trashing! badly"
+    model = toxicity.Model({"bad": 1.0, "bad-": 0.5, "trash-": 2.0, "trash": 0.25, "none": 9.0}, [3.0])
+    z = sum(model.weights[t] * toxicity.weight(n) for t, (n, _) in toxicity.terms(text).items() if t in model.weights)
+    assert model.grades(text) == [pytest.approx(1 / (1 + np.exp(3.0 - z)))]
+
+
 @needs_data
 def test_toxicity(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
