@@ -29,13 +29,15 @@ DROPPED = frozenset(
 )
 #: Words in the class, id or role of elements that surround an article.
 AROUND = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|comment-?\w*|disqus|cookies?|consent|gdpr|copyright|footer|foot|"
+    r"(?:^|[\s_\-])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|comment-?\w*|disqus|cookies?|consent|gdpr|copyright|footer|foot|"
     r"header|masthead|menu\w*|nav\w*|navigation|newsletter|notices?|alert|popup|modal|overlay|promo\w*|related|recommend\w*|replies|reply|respond|"
     r"share|sharing|social|sidebar\w*|side|sponsor\w*|subscribe\w*|subscription|toolbar|widget\w*|login|signup|search|skip|legal|disclaimer|"
     r"complementary|contentinfo|reader-?\w*|discussion|pagination|pager|tags?|tracking)(?:$|[\s_\-])",
     re.IGNORECASE,
 )
-#: Words that mark the article itself and outweigh the ones above.
+#: Of those, the ones that an <article> or <main> can be: a comment, or a pointer to another page.
+BESIDE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|sponsor|advert", re.IGNORECASE)
+#: Words that make a header the article's own.
 WITHIN = re.compile(r"(?:^|[\s_\-])(?:article\w*|content|entry|main|post|story|text|body)(?:$|[\s_\-])", re.IGNORECASE)
 #: Elements that a start tag of these kinds closes, if open, and the elements that stop the search.
 CLOSES = {
@@ -71,14 +73,18 @@ def _is_around(tag: str, attributes: str) -> bool:
     """Whether an element surrounds the article, by its kind or by its class, id or role."""
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and AROUND.search(value) and not (WITHIN.search(value) and not re.search(r"comment|sidebar|ad\b|foot|nav|related", value, re.IGNORECASE)):
-            return True
+        if name in ("class", "id", "role") and (found := AROUND.search(value)):
+            if tag in ("article", "main"):
+                if BESIDE.search(value):
+                    return True
+            elif not (found.group(1).lower() == "header" and WITHIN.search(value)):
+                return True
     return False
 
 

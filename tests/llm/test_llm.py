@@ -308,6 +308,8 @@ def test_source_mix(docs_of):
         ("<article><p>body</p><div class='comments'><p>first!</p></div><aside>side</aside><form><label>mail</label></form></article>", "body"),
         ("<div class='cookie-notice'>We use cookies on this page</div><div id='content'><p>The article has a long text here.</p><p>And a second paragraph &#8212; fine.</p></div><ul><li><a href=a>x</a><li><a href=b>y</a></ul>", "The article has a long text here.\nAnd a second paragraph — fine."),
         ("<body><div id=side class=sidebar><p>Latest posts and other things to read now</p></div><section><h2>H</h2><div>Text of the first block.</div><div>Text of the second block.</div></section>", "H\nText of the first block.\nText of the second block."),
+        ("<article class=post><header class='entry-header'><h1>T</h1></header><p>b</p><div class='article-notice'>n</div><article class='comment'><p>c</p></article></article>", "T\nb"),
+        ("<main><p>Some text of the page.</p><section id='reader-comments'><h3>3 comments</h3><p>I disagree with all of this and more.</p></section></main>", "Some text of the page."),
         ("<article><p>a < b, x &lt;y&gt; &amp &copy</p></article", "a < b, x <y> & ©"),
     ],
 )
