@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import formula
 from corroborate.functions import uris as U
+from corroborate.functions.realize import decapitalised
 from corroborate.functions.vocab import EVIDENCE_WEIGHTS
 from corroborate.operators.splits import apportion, seeded_order
 
@@ -147,3 +148,35 @@ def jittered(strength: Column, key: Column, sigma: float = 0.05) -> Column:
 def generation_stats(claims: DataFrame) -> DataFrame:
     """Claims by label and way of corruption."""
     return claims.groupBy("label").agg(F.count("*").alias("n"))
+
+
+#: Phrases that open a weak item, and a second or later item of a stance.
+WEAK_OPENINGS = ("It is said that", "Some claim that", "There are hints that")
+CONNECTORS = ("Likewise,", "In addition,", "Another source reports that")
+
+
+def grounded_items(items: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:
+    """Adds claim and text to planned items (claim_id, ord, stance, evidence_type, strength).
+
+    A claim's seed is picked by hash among the seeds of its evidence type, so all its items speak
+    of the same thing; weak items get a hedging opening, later ones of a stance a connector. pool:
+    evidence_type, claim, stance, text (see sources.records.seed_pool).
+    """
+    numbered = pool.select("evidence_type", "claim").distinct().withColumn("k", F.row_number().over(Window.partitionBy("evidence_type").orderBy("claim")) - 1)
+    sizes = numbered.groupBy("evidence_type").agg(F.count("*").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("claim_id", "stance").orderBy("ord"))
+    planned = items.withColumn("nth", nth).join(sizes, "evidence_type").withColumn("k", F.pmod(F.xxhash64("claim_id", F.lit(seed)), F.col("size")).cast("int"))
+    seeded = planned.join(numbered, ["evidence_type", "k"]).join(pool, ["evidence_type", "claim", "stance"], "left")
+    pick = lambda phrases: F.element_at(F.array(*map(F.lit, phrases)), (F.pmod(F.xxhash64("claim_id", "ord"), F.lit(len(phrases))) + 1).cast("int"))
+    opened = lambda phrases: F.concat(pick(phrases), F.lit(" "), decapitalised(F.col("text")))
+    text = F.when(F.col("nth") > 1, opened(CONNECTORS)).when(F.col("strength") < 0.5, opened(WEAK_OPENINGS)).otherwise(F.col("text"))
+    return seeded.withColumn("text", text).drop("k", "size", "nth")
+
+
+def build_stats(triples: DataFrame, member: str = "hasObject") -> DataFrame:
+    """One row: triples, subjects, predicates, objects in contexts, contexts."""
+    is_member = U.relation_name(F.col("p")) == member
+    return triples.agg(
+        F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects"), F.count_distinct("p").alias("n_predicates"),
+        F.count_distinct(F.when(is_member, F.col("o"))).alias("n_objects"), F.count_distinct(F.when(is_member, F.col("s"))).alias("n_contexts"),
+    )

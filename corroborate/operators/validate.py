@@ -243,3 +243,12 @@ def batch_report(records: DataFrame, min_shortcut: float = 0.35) -> DataFrame:
     share = F.coalesce(F.try_divide(F.col("n_shortcut").cast("double"), F.col("n")), F.lit(0.0))
     passed = (F.col("n") > 0) & (share >= min_shortcut) & (F.col("n_missing") == 0) & (F.col("n_mismatch") == 0)
     return out.withColumn("shortcut_fraction", F.round(share, 4)).withColumn("passed", passed)
+
+
+def assert_valid(records: DataFrame, shown: int = 20) -> DataFrame:
+    """The records, or ValueError that names rules and ids of some records with errors."""
+    bad = validated(records).where(~F.col("is_valid")).select("id", F.array_join(F.transform("issues", lambda i: i["rule"]), ",").alias("rules"))
+    found = [f"{r.id}: {r.rules}" for r in bad.limit(shown).collect()]
+    if found:
+        raise ValueError("; ".join(found))
+    return records

@@ -68,6 +68,10 @@ def triples_dedupe(spark, d):
     return T.dedupe(t.groupBy("s", "p", "o", "ord").agg(F.count("*").alias("c")).drop("c"), "ord")
 
 
+def build_stats(spark, d):
+    return G.build_stats(B.triples(spark, d))
+
+
 def uri_local_name(spark, d):
     return B.triples(spark, d).where("ord % 7 = 0").select("ord", U.short_uri(F.col("s")).alias("s"), U.relation_name(F.col("p")).alias("p"), U.short_uri(F.col("o")).alias("o"))
 
@@ -234,6 +238,7 @@ QUERIES = {
     "triples_by_pattern": (triples_by_pattern, f"WITH {B.TR} " + _SIZES.format(t=f"(SELECT *, o AS key FROM tr WHERE p = '{REL}/inNation' AND contains(o, '/nation_1'))")),
     "triples_by_entity": (triples_by_entity, f"WITH {_ENT} " + _SIZES.format(t="ky")),
     "triples_dedupe": (triples_dedupe, "SELECT CAST(l_suppkey AS VARCHAR) AS s, 'supplied' AS p, CAST(l_partkey % 50 AS VARCHAR) AS o, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY 1, 2, 3"),
+    "build_stats": (build_stats, f"WITH {B.TR} SELECT count(*) AS n, count(DISTINCT s) AS n_subjects, count(DISTINCT p) AS n_predicates, count(DISTINCT o) FILTER (p = '{REL}/hasObject') AS n_objects, count(DISTINCT s) FILTER (p = '{REL}/hasObject') AS n_contexts FROM tr"),
     "uri_local_name": (uri_local_name, f"WITH {B.TR} SELECT ord, {B.LOCAL.format(x='s')} AS s, regexp_extract(p, '([^/]*)$', 1) AS p, {B.LOCAL.format(x='o')} AS o FROM tr WHERE ord % 7 = 0"),
     "entity_types": (entity_types, f"WITH {B.TR} SELECT regexp_extract({B.LOCAL.format(x='s')}, '^([^|_]*)', 1) AS type, count(*) AS n, count(*) FILTER (o LIKE 'http://%') AS n_iri FROM tr GROUP BY 1"),
     "degenerate_triples": (degenerate_triples, f"WITH {B.TR} SELECT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00')) AS degenerate, o IN ('Hot', 'Cold', 'RoomTemp') AS temperature, count(*) AS n FROM tr GROUP BY 1, 2"),

@@ -186,3 +186,27 @@ def write_report(row: dict, path: str) -> None:
     """A collected one-row result as indented JSON."""
     with open(path, "w", encoding="utf-8") as f:
         json.dump(row, f, indent=2, ensure_ascii=False, default=str)
+
+
+SCENE = (
+    "graph_id string, objects array<struct<object_id: string, object_type: string, properties: map<string, string>, "
+    "position: struct<x: double, y: double, z: double>, parents: array<string>>>, "
+    "relationships array<struct<subject: string, predicate: string, object: string, confidence: double>>, metadata map<string, string>"
+)
+
+
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """Scenes, a JSON document per file; files are spread over tasks like any other input."""
+    return spark.read.schema(SCENE).option("multiLine", True).json(path)
+
+
+def objects_of_scenes(scenes: DataFrame) -> DataFrame:
+    """A row per object of a scene: scene_id, object_id, object_type, properties, position, parents."""
+    return scenes.select(F.col("graph_id").alias("scene_id"), F.explode("objects").alias("x")).select("scene_id", "x.*")
+
+
+def seed_pool(pool: DataFrame) -> DataFrame:
+    """Seeds of each evidence type and stance, one text per row: evidence_type, stance, claim, text."""
+    side = lambda stance, c: F.struct(F.lit(stance).alias("stance"), F.col(c).alias("text"))
+    both = F.explode(F.array(side("supports", "supporting_evidence"), side("refutes", "refuting_evidence"))).alias("x")
+    return pool.select("evidence_type", "claim", both).select("evidence_type", "claim", "x.stance", "x.text").where("text is not null")

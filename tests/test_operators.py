@@ -273,3 +273,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.support, r.refute, r.verdict) for r in spark.table("scores_out").collect()) == [(0.0, 0.703, "not_enough_evidence"), (0.9118, 0.0, "supported")]
+
+
+def test_scenes_and_seeds(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"graph_id": "g",\n "objects": [{"object_id": "Mug|1", "object_type": "Mug", "properties": {"isDirty": "true"}, "parents": ["T"]}]}')
+    r = IO.objects_of_scenes(IO.read_scenes(spark, str(tmp_path / "s.json"))).first()
+    assert (r.scene_id, r.object_id, r.properties, r.parents) == ("g", "Mug|1", {"isDirty": "true"}, ["T"])
+    pool = IO.seed_pool(spark.createDataFrame([("Iron is heavy.", "testimony", "d", "A book says so.", "A book denies it.")], IO.SEED_POOL))
+    items = spark.createDataFrame([("c", i, s, "testimony", x) for i, (s, x) in enumerate([("supports", 0.8), ("supports", 0.8), ("refutes", 0.2)])], "claim_id string, ord int, stance string, evidence_type string, strength double")
+    texts = {r.ord: r.text for r in G.grounded_items(items, pool).collect()}
+    assert texts[0] == "A book says so." and texts[1].endswith(" a book says so.") and texts[2].endswith(" a book denies it.")
+
+
+def test_assert_valid(spark):
+    assert X.assert_valid(record(spark)).count() == 1
+    with pytest.raises(ValueError, match="r: .*V21"):
+        X.assert_valid(record(spark, verdict=("refuted", None, "annotated")))
