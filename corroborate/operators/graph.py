@@ -37,7 +37,7 @@ def triple_index(claim_triples: DataFrame, evidence_triples: DataFrame, key: str
     (key, ord, text) first, then evidence triples (key, i, ord, text)."""
     every = claim_triples.select(key, F.lit(-1).cast("long").alias("i"), "ord", "text").unionByName(evidence_triples.select(key, F.col("i").cast("long").alias("i"), "ord", "text"))
     first = every.groupBy(key, "text").agg(F.min(F.struct("i", "ord")).alias("at"))
-    return first.select(key, "text", (F.dense_rank().over(Window.partitionBy(key).orderBy("at")) - 1).alias("t"))
+    return first.select(key, "text", (F.dense_rank().over(Window.partitionBy(key).orderBy("at")) - 1).cast("long").alias("t"))
 
 
 def edges(items: DataFrame, claim_triples: DataFrame, evidence_triples: DataFrame, key: str = "claim_id", k: int = CO_EVIDENCE) -> DataFrame:

@@ -261,7 +261,7 @@ QUERIES = {
     "record_issues": (record_issues, None),
     "answer_text": (answer_text, f"WITH {_CONV} SELECT id || '-q1-a' || CAST(a AS VARCHAR) AS evidence_id, substr(text, 29) AS answer FROM fi2"),
     "template_claims": (template_claims, None),
-    "batch_report": (batch_report, None),
+    "batch_report": (batch_report, "SELECT 200::BIGINT AS n, 90::BIGINT AS n_shortcut, 0::BIGINT AS n_missing, 0::BIGINT AS n_mismatch, 0.45::DOUBLE AS shortcut_fraction, true AS passed"),
     "ntriples": (ntriples, f"SELECT '<{B.BASE}/entities/nation_' || CAST(n_nationkey AS VARCHAR) || '> <{B.BASE}/relations/name> \"' || n_name || '\" .' AS line FROM nation"),
     "embedding_cache": (embedding_cache, f"WITH {B.CL}, h AS (SELECT DISTINCT text FROM cl WHERE doc_id % 3 = 0) SELECT 'hits' AS what, count(*) AS n FROM cl WHERE text IN (SELECT text FROM h) UNION ALL SELECT 'misses', count(DISTINCT text) FROM cl WHERE text NOT IN (SELECT text FROM h)"),
 }

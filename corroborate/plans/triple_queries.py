@@ -220,6 +220,13 @@ _ENT = f"""{B.TR}, mp AS (SELECT node, arg_max(value, ord) AS value FROM (
   SELECT s, regexp_extract(o, 'nation_[0-9]+', 0), ord FROM tr WHERE p = '{REL}/inNation') WHERE value <> '' GROUP BY 1),
 ky AS (SELECT tr.*, coalesce(nullif(regexp_extract(tr.s, 'nation_[0-9]+', 0), ''), nullif(regexp_extract(tr.o, 'nation_[0-9]+', 0), ''), a.value, b.value, 'UNKNOWN') AS key FROM tr LEFT JOIN mp a ON a.node = tr.s LEFT JOIN mp b ON b.node = tr.o)"""
 _SIZES = "SELECT key, count(*) AS n, count(DISTINCT s) AS n_subjects, count(DISTINCT o) AS n_objects FROM {t} GROUP BY 1"
+_TYPE = "regexp_extract(" + B.LOCAL.format(x="{x}") + ", '^([^|_]*)', 1)"
+_BAD = f"""rules AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in RULES)}) t(object_type, receptacle)),
+places AS (SELECT receptacle, arg_min(o, md5('42-' || o)) AS bad_o FROM (SELECT DISTINCT o, {_TYPE.format(x="o")} AS receptacle FROM rw) GROUP BY 1),
+wrong AS (SELECT s, p, o, 0 AS rank, 'boolean_flip' AS how, CASE WHEN lower(trim(o)) IN ('true','1','yes','y','t') THEN 'False' ELSE 'True' END AS bad_o FROM rw WHERE lower(trim(o)) IN ('true','1','yes','y','t','false','0','no','n','f')
+  UNION ALL SELECT s, p, o, 1, 'temperature_change', CASE o WHEN 'Hot' THEN 'Cold' WHEN 'Cold' THEN 'RoomTemp' ELSE 'Hot' END FROM rw WHERE o IN ('Hot', 'Cold', 'RoomTemp')
+  UNION ALL SELECT s, p, o, 2, 'receptacle_substitution', bad_o FROM rw JOIN rules ON lower({_TYPE.format(x="s")}) = rules.object_type JOIN places USING (receptacle) WHERE bad_o <> o),
+bad AS (SELECT s, p, o, arg_min(bad_o, (rank, bad_o)) AS bad_o, arg_min(how, (rank, bad_o)) AS how FROM wrong w WHERE NOT EXISTS (SELECT 1 FROM rw x WHERE x.s = w.s AND x.p = w.p AND x.o = w.bad_o) GROUP BY 1, 2, 3)"""
 _PRESENT = "present AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48), absent AS (SELECT c.context, u.object_type FROM (SELECT DISTINCT context FROM present) c, (SELECT DISTINCT p_name AS object_type FROM part) u WHERE NOT EXISTS (SELECT 1 FROM present x WHERE x.context = c.context AND x.object_type = u.object_type))"
 _CO = f"{B.TURN}, co AS (SELECT a.claim_id, a.i AS src, b.i AS dst, row_number() OVER (PARTITION BY a.claim_id, a.i ORDER BY abs(b.i - a.i), b.i) AS k FROM tn a JOIN tn b ON a.claim_id = b.claim_id AND a.i <> b.i)"
 _IX = f"{_CO}, ct AS (SELECT claim_id, lower(regexp_extract(text, '^([0-9A-Za-z_]*)', 1)) AS text FROM tn WHERE ord = 0), et AS (SELECT claim_id, i, substr(lower(role), 1, 4) AS text FROM tn), ix AS (SELECT claim_id, text, dense_rank() OVER (PARTITION BY claim_id ORDER BY pos) - 1 AS t FROM (SELECT claim_id, text, min(pos) AS pos FROM (SELECT claim_id, text, -1 AS pos FROM ct UNION ALL SELECT claim_id, text, i FROM et) GROUP BY 1, 2))"
@@ -243,8 +250,8 @@ QUERIES = {
     "entity_types": (entity_types, f"WITH {B.TR} SELECT regexp_extract({B.LOCAL.format(x='s')}, '^([^|_]*)', 1) AS type, count(*) AS n, count(*) FILTER (o LIKE 'http://%') AS n_iri FROM tr GROUP BY 1"),
     "degenerate_triples": (degenerate_triples, f"WITH {B.TR} SELECT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00')) AS degenerate, o IN ('Hot', 'Cold', 'RoomTemp') AS temperature, count(*) AS n FROM tr GROUP BY 1, 2"),
     "flipped_booleans": (flipped_booleans, f"WITH {B.TR} SELECT ord, CASE WHEN o = 'true' THEN 'False' ELSE 'True' END AS o FROM tr WHERE p = '{REL}/isUrgent'"),
-    "corrupt_candidates": (corrupt_candidates, None),
-    "generated_claims": (generated_claims, None),
+    "corrupt_candidates": (corrupt_candidates, f"WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE p NOT IN ('{REL}/inScene', '{REL}/hasObject')), {_BAD} SELECT how, regexp_extract(p, '([^/]*)$', 1) AS rel, count(*) AS n FROM bad GROUP BY 1, 2"),
+    "generated_claims": (generated_claims, f"WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD} (SELECT s, p, o, o AS claimed_o, 'supported' AS label FROM rw ORDER BY md5('42-' || s || '|' || p || '|' || o), s, p, o LIMIT 100) UNION ALL (SELECT s, p, o, bad_o, 'refuted' FROM bad ORDER BY md5('43-' || s || '|' || p || '|' || o), s, p, o LIMIT 100)"),
     "conjunction_claims": (conjunction_claims, None),
     "negation_claims": (negation_claims, f"WITH {B.TR} SELECT DISTINCT s, 'False' AS claimed_o, CASE WHEN o = 'true' THEN 'refuted' ELSE 'supported' END AS label FROM tr WHERE p = '{REL}/isUrgent'"),
     "absent_types": (absent_types, f"WITH {_PRESENT} SELECT * FROM absent"),
