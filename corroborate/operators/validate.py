@@ -49,26 +49,29 @@ def words(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def text_issues(text: Column) -> Column:
-    """V8-V17 for a claim's text. An empty text has that one issue."""
-    trimmed = F.regexp_replace(_text(text), r"^\s+|\s+$", "")
-    return V.let(trimmed, lambda t: F.when(t == "", _list(issue("V8", "quality", "error", F.lit(True)))).otherwise(V.let(F.lower(t), lambda low: _text_rules(t, low))))
+def has_words(text: Column, n: int) -> Column:
+    """Whether there are n words or more; reads no further than the n-th."""
+    return text.rlike(r"\S" + r"+\s+\S" * (n - 1))
 
 
-def _text_rules(t: Column, low: Column) -> Column:
-    all_words = words(low)
-    meaningful = F.filter(all_words, lambda x: ~x.isin(*COMMON_WORDS) & (F.length(x) > 2))
-    return _list(
+def text_issues(text: Column) -> Column:
+    """V8-V17 for a claim's text. An empty text has that one issue."""
+    t = F.btrim(_text(text), F.lit(" \t\n\r\x0b\x0c"))
+    low = F.lower(t)
+    # two words of three or more characters that aren't common ones; stops at the second
+    meaningful = r"(?!(?:" + "|".join(COMMON_WORDS) + r")(?!\S))\S{3,}"
+    rules = _list(
         issue("V9", "quality", "warning", F.length(t) < 10),
         issue("V10", "quality", "warning", F.length(t) > 250),
         issue("V11", "quality", "warning", ~t.rlike(r"[.!?]$")),
         issue("V12", "quality", "warning", ~F.substring(t, 1, 1).rlike(r"^\p{Lu}$")),
-        issue("V13", "quality", "warning", F.size(all_words) < 3),
-        issue("V14", "quality", "warning", F.size(meaningful) < 2),
+        issue("V13", "quality", "warning", ~has_words(t, 3)),
+        issue("V14", "quality", "warning", ~low.rlike(rf"(?s)(?<!\S){meaningful}\s(?:.*?\s)?{meaningful}")),
         issue("V15", "quality", "error", t.contains("http://") | t.contains("https://")),
         issue("V16", "quality", "warning", t.contains("|") & t.contains("%")),
         *(issue("V17", "quality", "warning", low.contains(phrase)) for phrase in AWKWARD),
     )
+    return F.when(t == "", _list(issue("V8", "quality", "error", F.lit(True)))).otherwise(rules)
 
 
 def quality_score(text: Column, issues: Column) -> Column:
@@ -79,7 +82,7 @@ def quality_score(text: Column, issues: Column) -> Column:
     bonus = (
         F.when(F.length(t).between(10, 150), 0.05).otherwise(0.0)
         + F.when(t.rlike(r"[.!?]$"), 0.02).otherwise(0.0)
-        + F.when(F.size(words(t)) >= 5, 0.03).otherwise(0.0)
+        + F.when(has_words(t, 5), 0.03).otherwise(0.0)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - lost + bonus))
 
