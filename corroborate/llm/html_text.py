@@ -27,6 +27,15 @@ DROPPED = frozenset(
     "head nav footer aside form button select option input script style noscript iframe template textarea svg math "
     "object embed canvas audio video dialog menu title".split()
 )
+#: Elements that authors mark as texts: the first two raise their density sum, all of them are siblings of one text.
+SECTIONS = ("article", "main", "section")
+#: Elements that hold a part of a text, never all of it.
+PARTS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 header blockquote pre ul ol li dl dt dd figure figcaption address hr br a b i u s em strong small big span font code sub sup "
+    "q cite mark abbr time label kbd samp var img".split()
+)
+#: Bounded bonuses: of the density sum of an <article> or <main>, and of the density of sibling sections.
+MARKED, SIBLING = 1.25, 2.0
 #: Words in the class, id or role of elements that surround an article.
 AROUND = re.compile(
     r"(?:^|[\s_\-])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|comment-?\w*|disqus|cookies?|consent|gdpr|copyright|footer|foot|"
@@ -171,6 +180,13 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _adjusted(c: int, t: int, lc: int, lt: int, body: float) -> float:
+    """What the links of c characters and t tags leave of their density."""
+    base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
+    ratio = c / max(lc, 1) * t / lt
+    return math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else math.log(max(ratio, 1.0))
+
+
 def measure(root: Node) -> list[Node]:
     """Composite text density of every node, and the sum of its children's."""
     nodes = _walk(root)
@@ -188,47 +204,113 @@ def measure(root: Node) -> list[Node]:
     body = root.link_chars / max(root.chars, 1)
     for n in nodes:
         if n.chars:
-            c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
-            base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
-            ratio = c / max(lc, 1) * t / lt
-            n.density = c / t * (math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else math.log(max(ratio, 1.0)))
+            t = max(n.tags, 1)
+            n.density = n.chars / t * _adjusted(n.chars, t, n.link_chars, max(n.link_tags, 1), body)
     for n in nodes:
         n.density_sum = sum(c.density for c in n.children if isinstance(c, Node) and not c.around)
         # a node's own words count as a child without tags
-        n.density_sum += sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        n.density_sum += own if n.tag == "a" else own * _adjusted(own, 1, 0, 1, body)
     return nodes
 
 
-def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum; an <article> or <main> of any weight wins over it.
+def main_nodes(root: Node) -> list[Node]:
+    """The subtree with the largest density sum, or the siblings over which its text is spread.
 
-    The threshold is the least density on the path from the body to the subtree with the largest
-    sum; where an article is spread over siblings that all reach the threshold, their parent is
-    the main node.
+    An <article> or <main> has its sum raised by MARKED. One that encloses the subtree is taken in
+    its place if the densities confirm it: the subtree is half of its text at least, or it isn't
+    much sparser than the page. The threshold is the least density on the path from the body to
+    the subtree. Where siblings reach it, the parent is taken; of a marked element the siblings
+    that reach it, <article>s with a density raised by SIBLING, and the headings before them.
     """
     nodes = measure(root)
-    marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    if marked:
-        best = max(marked, key=lambda n: n.chars)
-        inner = [n for n in marked if n.tag == "article" and n is not best and _inside(n, best)]
-        # one article in a main: what stands beside it there is not part of it
-        if best.tag == "main" and len(inner) == 1 and inner[0].chars * 2 > best.chars:
+    best = max(nodes, key=lambda n: (n.density_sum * (MARKED if n.tag in SECTIONS[:2] else 1), n.tag in SECTIONS[:2]))
+    while best.tag in PARTS and best.parent is not None:  # a paragraph is never all of an article
+        best = best.parent
+    best = _confirmed(_narrowed(best), root)
+    if best.tag == "main":  # one article in a main: what stands beside it there is not part of it
+        inner = [n for n in nodes if n.tag == "article" and _inside(n, best)]
+        if len(inner) == 1 and inner[0].chars * 2 > best.chars:
             best = inner[0]
-        return best
-    best = max(nodes, key=lambda n: n.density_sum)
-    path, n = [], best
-    while n is not None:
-        path.append(n)
-        n = n.parent
-    threshold = min(n.density for n in path)
+    threshold = min(n.density for n in _path(best))
+    marked = best.tag in SECTIONS[:2]
     while best.parent is not None:
         beside = [c for c in best.parent.children if isinstance(c, Node) and not c.around and c.chars and c is not best]
-        if not any(c.density >= threshold and c.link_chars * 2 < c.chars for c in beside):
+        also = [c for c in beside if c.link_chars * 2 < c.chars and _reaches(c, best, threshold, marked)]
+        if also and marked:
+            return _with_headings(best.parent, [best, *also])
+        if not also and best.parent.chars > best.chars:
             break
-        best = best.parent
+        best = best.parent  # the siblings belong to it, or it has no other text
+    return [best]
+
+
+def _reaches(c: Node, best: Node, threshold: float, marked: bool) -> bool:
+    """Whether a sibling of the main node is dense enough to be a part of the same text."""
+    if _sectioned(c) and (marked or c.tag == best.tag):
+        return c.density * SIBLING >= threshold
+    return c.density >= threshold and (not marked or c.chars * 2 >= best.chars)
+
+
+def _sectioned(n: Node) -> bool:
+    """Whether n is an <article>, <main> or <section>, or has no text but that of one."""
+    while n.tag not in SECTIONS:
+        inner = [c for c in n.children if isinstance(c, Node) and not c.around and c.chars]
+        if len(inner) != 1 or inner[0].chars < n.chars:
+            return False
+        n = inner[0]
+    return True
+
+
+def _with_headings(parent: Node, chosen: list[Node]) -> list[Node]:
+    """The chosen children in page order, each after the headings that stand right before it."""
+    out, waiting, ids = [], [], {id(c) for c in chosen}
+    for c in parent.children:
+        if isinstance(c, str) or c.around or not c.chars:
+            continue
+        if id(c) in ids:
+            out += [*waiting, c]
+            waiting = []
+        elif c.tag[:1] == "h" and c.tag[1:].isdigit() and c.link_chars * 2 < c.chars:
+            waiting.append(c)
+        else:
+            waiting = []
+    return out
+
+
+def _narrowed(best: Node) -> Node:
+    """Descend to a container with most of the text, while what stands beside it are only sparser
+    containers of another kind: a single child has its parent's density, so that sums don't tell."""
+    while True:
+        inner = [c for c in best.children if isinstance(c, Node) and not c.around and c.chars]
+        if not inner:
+            return best
+        most = max(inner, key=lambda c: c.chars)
+        beside = [c for c in inner if c is not most]
+        alone = sum(c.chars for c in inner) == best.chars  # no words of its own
+        if most.tag in PARTS or not beside or not alone or most.chars * 4 < best.chars * 3 or best.tag in SECTIONS[:2]:
+            return best
+        threshold = min(most.density, *(n.density for n in _path(best)))
+        if any(c.tag in PARTS or c.tag == most.tag or c.density >= threshold and c.link_chars * 2 < c.chars for c in beside):
+            return best
+        best = most
+
+
+def _confirmed(best: Node, root: Node) -> Node:
+    """The nearest <article> or <main> around the node if the densities confirm it, or else the node."""
+    for n in _path(best):
+        if n.tag in SECTIONS[:2]:
+            return n if best.chars * 2 >= n.chars or n.density * SIBLING >= root.density else best
     return best
 
 
+def _path(n: Node | None) -> Iterator[Node]:
+    """The node and all around it."""
+    while n is not None:
+        yield n
+        n = n.parent
+
+
 def _inside(n: Node, outer: Node) -> bool:
     while n is not None:
         if n is outer:
@@ -274,7 +356,7 @@ def blocks(node: Node) -> list[str]:
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by line feeds; empty if there are none."""
-    return "\n".join(blocks(main_node(parse(html)))) if html else ""
+    return "\n".join(b for n in main_nodes(parse(html)) for b in blocks(n)) if html else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

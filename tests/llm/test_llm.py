@@ -317,6 +317,30 @@ def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = ["This is paragraph number %d of the real text, with a good many words in every one of its lines." % i for i in range(12)]
+PARAGRAPHS = ["<p>" + x + "</p>" for x in LONG]
+
+
+def test_html_teaser_beside_the_text():
+    """A small <article> doesn't hide the text in a <div>, in paragraphs or plain."""
+    teaser = "<article><h2>Next</h2><p>Read our other story.</p></article>"
+    for page in (f"{teaser}<div>{''.join(PARAGRAPHS)}</div>", f"<div class=page><div>{''.join(PARAGRAPHS)}</div>{teaser}</div>"):
+        assert html_text.main_text(f"<body>{page}</body>") == "\n".join(LONG)
+    assert html_text.main_text(f"<body>{teaser}<div>{' '.join(LONG)}</div></body>") == " ".join(LONG)
+    assert html_text.main_text(f"<body>{teaser}<div><p>{' '.join(LONG)}</p></div></body>") == " ".join(LONG)
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div><article>", "</article></div>")])
+def test_html_sibling_articles(open_, close):
+    """A story spread over sibling <article>s is whole; lists of links and teasers beside it stay out."""
+    parts = [PARAGRAPHS[:5], PARAGRAPHS[5:8], PARAGRAPHS[8:]]
+    links = "<ul>" + "<li><a href=x>another page of this site</a>" * 5 + "</ul>"
+    page = links + "".join(open_ + "".join(p) + close for p in parts) + "<article><h3><a href=y>Another story</a></h3><p>Short.</p></article>"
+    assert html_text.main_text(f"<body>{page}</body>") == "\n".join(LONG)
+    sections = "".join(f"<section><h2>S{i}</h2>{''.join(p)}</section>" for i, p in enumerate(parts))
+    assert html_text.main_text(f"<article><h1>T</h1>{sections}</article>").split("\n") == ["T", "S0", *LONG[:5], "S1", *LONG[5:8], "S2", *LONG[8:]]
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a<p>b</article>", "?"), (2, None, None, "?")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract_text(pages).collect()) == [(1, "u", "a\nb"), (2, None, "")]
