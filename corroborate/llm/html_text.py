@@ -46,6 +46,12 @@ AROUND = re.compile(
 )
 #: Of those, the ones that an <article> or <main> can be: a comment, or a pointer to another page.
 BESIDE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|sponsor|advert", re.IGNORECASE)
+#: Of those, the ones that mean a discussion of the text, which can be longer than the text.
+COMMENT = re.compile(r"comment|repl(?:y|ies)|disqus|discussion|respond", re.IGNORECASE)
+HINTS = ("", "around", "beside", "comment")
+#: Classes that tell what an element has, lacks or wraps.
+MODIFIES = re.compile(r"(?:has|have|with|without|no|not|is|show|hide|hides)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|layout)$", re.IGNORECASE)
+WRAPS = re.compile(r"(.+?)[-_]?(?:wrap|wrapper|wrapping)", re.IGNORECASE)
 #: Words that make a header the article's own.
 WITHIN = re.compile(r"(?:^|[\s_\-])(?:article\w*|content|entry|main|post|story|text|body)(?:$|[\s_\-])", re.IGNORECASE)
 #: Elements that a start tag of these kinds closes, if open, and the elements that stop the search.
@@ -64,11 +70,14 @@ SPACES = re.compile(r"\s+")
 
 @dataclass(slots=True)
 class Node:
-    """An element: its children (nodes and strings), and the counts of its subtree."""
+    """An element: its children (nodes and strings), what its class, id or role hints at, the
+    characters of its own strings, and the counts of its subtree."""
 
     tag: str
     parent: Node | None = None
     around: bool = False
+    hint: str = ""
+    own: int = -1
     children: list = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -78,23 +87,34 @@ class Node:
     density_sum: float = 0.0
 
 
-def _is_around(tag: str, attributes: str) -> bool:
-    """Whether an element surrounds the article, by its kind or by its class, id or role."""
+def _is_around(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element surrounds the article by its kind or is hidden; and what its class, id or
+    role hints at: "" (nothing), "around", "beside" or "comment"."""
     if tag in DROPPED:
-        return True
+        return True, ""
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, ""
+    hint = ""
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id", "role") and (found := AROUND.search(value)):
-            if tag in ("article", "main"):
-                if BESIDE.search(value):
-                    return True
-            elif not (found.group(1).lower() == "header" and WITHIN.search(value)):
-                return True
-    return False
+            return True, ""
+        if name in ("class", "id", "role") and AROUND.search(value):
+            value = " ".join(w for w in value.split() if not _modifies(w))
+            found = AROUND.search(value)
+            if tag in ("article", "main") and not BESIDE.search(value):
+                continue
+            if found and (tag in ("article", "main") or not (found.group(1).lower() == "header" and WITHIN.search(value))):
+                this = "comment" if COMMENT.search(value) else "beside" if BESIDE.search(value) else "around"
+                hint = max(hint, this, key=HINTS.index)
+    return False, hint
+
+
+def _modifies(word: str) -> bool:
+    """Whether a class says what an element has or wraps, not what it is; sidebar-wrap is still a sidebar."""
+    if wraps := WRAPS.fullmatch(word):
+        return not AROUND.fullmatch(wraps.group(1)) and not MODIFIES.match(wraps.group(1)) or bool(MODIFIES.match(word))
+    return bool(MODIFIES.match(word))
 
 
 def parse(html: str) -> Node:
@@ -151,7 +171,8 @@ def parse(html: str) -> Node:
             close_to(now)
         attributes = m.group(3)
         inside = tag == "header" and open_element({"article", "main"}, set()) is not None
-        node = Node(tag, now, _is_around(tag, attributes) or tag == "header" and not inside)
+        around, hint = _is_around(tag, attributes)
+        node = Node(tag, now, around or tag == "header" and not inside, hint)
         now.children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
@@ -167,6 +188,7 @@ def parse(html: str) -> Node:
         now = node
     if at < len(html):
         now.children.append(html[at:])
+    _settle(root)
     return root
 
 
@@ -180,18 +202,12 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _adjusted(c: int, t: int, lc: int, lt: int, body: float) -> float:
-    """What the links of c characters and t tags leave of their density."""
-    base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
-    ratio = c / max(lc, 1) * t / lt
-    return math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else math.log(max(ratio, 1.0))
-
-
-def measure(root: Node) -> list[Node]:
-    """Composite text density of every node, and the sum of its children's."""
-    nodes = _walk(root)
+def _count(nodes: list[Node]) -> None:
+    """The characters, tags and link counts of the subtrees of nodes, which come parents first."""
     for n in nodes:
-        n.chars = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        if n.own < 0:
+            n.own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        n.chars, n.tags, n.link_chars, n.link_tags = n.own, 0, 0, 0
     for n in reversed(nodes):
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
@@ -201,6 +217,66 @@ def measure(root: Node) -> list[Node]:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags
+
+
+def _settle(root: Node) -> None:
+    """Decide which of the elements with a hint surround the article.
+
+    The words are evidence, not proof: an element goes if it holds at most half of the page's text,
+    or more link text than other text, and no <article> or <main> without a hint; never if it holds
+    all of the page's text. Two kinds go further. Of elements beside the text, such as lists of
+    related pages, <article>s don't protect if a larger one stands elsewhere. Discussions also go
+    when they are longer than the text: with an <article> outside, or up to nine tenths of the page.
+    """
+    for kinds in (HINTS[3:], HINTS[1:3]):  # what is left of the page without its discussion counts for the rest
+        nodes = _walk(root)
+        if not any(n.hint in kinds for n in nodes if n.hint):
+            continue
+        _count(nodes)
+        at = {id(n): i for i, n in enumerate(nodes)}
+        size = [1] * len(nodes)
+        inner = [0] * len(nodes)  # characters of the largest marked element inside, without what goes
+        enclosed = [0] * len(nodes)  # characters of the largest <article> around
+        for i, n in enumerate(nodes[1:], 1):
+            p = n.parent
+            enclosed[i] = max(enclosed[at[id(p)]], p.chars if p.tag == "article" and not p.hint else 0)
+        for i in range(len(nodes) - 1, 0, -1):
+            size[at[id(nodes[i].parent)]] += size[i]
+        marked = sorted((i for i, n in enumerate(nodes) if n.tag in SECTIONS[:2] and not n.hint and n.chars), key=lambda i: -nodes[i].chars)
+        for i in range(len(nodes) - 1, 0, -1):
+            n = nodes[i]
+            if n.hint in kinds:
+                apart = next((m for m in marked if not m < i < m + size[m]), None)  # the largest that isn't around n
+                outside = apart is not None and not i < apart < i + size[i]
+                n.around = _goes(n, root.chars, inner[i], outside, enclosed[i] > n.chars)
+            if not n.around:
+                p = at[id(n.parent)]
+                inner[p] = max(inner[p], inner[i], n.chars if n.tag in SECTIONS[:2] and not n.hint else 0)
+
+
+def _goes(n: Node, total: int, inner: int, outside: bool, enclosed: bool) -> bool:
+    """Whether an element with a hint surrounds the article. inner: characters of the largest marked
+    element in it; outside: whether a larger one stands apart; enclosed: whether it is in an <article> with more text."""
+    if n.chars == total:
+        return False
+    if inner and (n.hint == "around" or not outside and not enclosed):
+        return False
+    if n.hint == "comment" and (outside or enclosed or n.chars * 10 <= total * 9):
+        return True
+    return n.chars * 2 <= total or n.link_chars * 2 > n.chars
+
+
+def _adjusted(c: int, t: int, lc: int, lt: int, body: float) -> float:
+    """What the links of c characters and t tags leave of their density."""
+    base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
+    ratio = c / max(lc, 1) * t / lt
+    return math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else math.log(max(ratio, 1.0))
+
+
+def measure(root: Node) -> list[Node]:
+    """Composite text density of every node, and the sum of its children's."""
+    nodes = _walk(root)
+    _count(nodes)
     body = root.link_chars / max(root.chars, 1)
     for n in nodes:
         if n.chars:
@@ -209,8 +285,7 @@ def measure(root: Node) -> list[Node]:
     for n in nodes:
         n.density_sum = sum(c.density for c in n.children if isinstance(c, Node) and not c.around)
         # a node's own words count as a child without tags
-        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
-        n.density_sum += own if n.tag == "a" else own * _adjusted(own, 1, 0, 1, body)
+        n.density_sum += n.own if n.tag == "a" else n.own * _adjusted(n.own, 1, 0, 1, body)
     return nodes
 
 
@@ -365,7 +440,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Each page is parsed where it is read, without a shuffle. Every element gets its composite text
     density: characters per tag, lowered by the share of characters and tags in links. Elements
     that surround an article by kind, class, id or role (menus, headers, footers, sidebars,
-    notices, adverts, forms, comments, scripts, styles) are left out of all counts. The main node
+    notices, adverts, forms, comments, scripts, styles) are left out of all counts; a class, id or
+    role is evidence that the element's share of the text must bear out (see _settle). The main node
     is the marked article, or else the subtree with the largest sum of its children's densities,
     widened to siblings above the body-path threshold.
 

@@ -330,6 +330,26 @@ def test_html_teaser_beside_the_text():
     assert html_text.main_text(f"<body>{teaser}<div><p>{' '.join(LONG)}</p></div></body>") == " ".join(LONG)
 
 
+@pytest.mark.parametrize("kind", ["has-sidebar", "content-sidebar-wrap", "with-sidebar", "no-comments", "post legal", "search-result", "sidebar-wrap", "page no-sidebar comments-open", "sponsored", "comments"])
+def test_html_wrapper_with_a_word_in_its_class(kind):
+    """A wrapper of the page isn't taken for what its class mentions, with or without an <article> inside."""
+    text = "".join(PARAGRAPHS)
+    side = "<div class=sidebar><p>Some latest posts to read.</p></div>"
+    for inner in (f"<div>{text}</div>", f"<article>{text}</article>", text):
+        assert html_text.main_text(f"<body><div class='{kind}'>{inner}</div></body>") == "\n".join(LONG)
+        assert html_text.main_text(f"<body><div id=page class='{kind}'>{side}{inner}</div><footer>f</footer></body>") == "\n".join(LONG)
+    assert html_text.main_text(f"<body><div class='{kind}'><article>{PARAGRAPHS[0]}</article></div></body>") == LONG[0]
+
+
+def test_html_classes_still_cut_what_surrounds():
+    text = "".join(PARAGRAPHS)
+    around = "<div class='widget sidebar-wrap'><p>Some latest posts to read in this week.</p></div><div class=related><article><p>A related page of ours.</p></article></div>"
+    assert html_text.main_text(f"<body><article>{text}</article>{around}</body>") == "\n".join(LONG)
+    assert html_text.main_text(f"<body><div>{text}{around}</div></body>").split("\n")[:12] == LONG
+    assert html_text.main_text(f"<body><article>{PARAGRAPHS[0]}</article><div id=comments>{text}</div></body>") == LONG[0]
+    assert html_text.main_text(f"<body><div>{text}</div><div class=search-result>{'<p><a href=x>one more page of this site</a></p>' * 90}</div></body>") == "\n".join(LONG)
+
+
 @pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div><article>", "</article></div>")])
 def test_html_sibling_articles(open_, close):
     """A story spread over sibling <article>s is whole; lists of links and teasers beside it stay out."""
