@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,6 @@ from corroborate.llm.common import bounded_batches, read, text_of
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which on a value counts as a secret, and the shortest such value.
 COST, SHORTEST = 9.0, 6
-#: A value longer than this is not a password that someone guesses; the fixed patterns have it.
-LONGEST = 256
 
 # The patterns of the base kinds, from the contract.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -46,8 +45,12 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[
 _UNLISTED_WORD = 5.3  # one of some 200,000 words of a language
 
 
-def _spans(value: str) -> Iterator[tuple[int, int, float]]:
-    """Segments (start, end, log10 of guesses) that a guesser tries before brute force."""
+def _spans(value: str, limit: float) -> Iterator[tuple[int, int, float]]:
+    """Segments (start, end, log10 of guesses) that a guesser tries before brute force.
+
+    Their number and the time to find them are linear in the value's length: words and dates are
+    bounded, and a repeat whose unit has `limit` characters can't make a value cheaper than that.
+    """
     low = value.lower()
     plain = low.translate(LOOKS)
     n = len(value)
@@ -64,28 +67,32 @@ def _spans(value: str) -> Iterator[tuple[int, int, float]]:
     for i in range(n):
         if m := _DATE.match(value, i):
             yield i, m.end(), 4.6  # a day of about a century
-    for m in re.finditer(r"(.+?)\1+", value):  # a repeat costs its unit and the count
+    for m in _repeats(max(math.ceil(limit), 1)).finditer(value):  # a repeat costs its unit and the count
         yield m.start(), m.end(), len(m.group(1)) + math.log10(len(m.group()) / len(m.group(1)) + 1)
-    i = 0
-    while i < n:  # keyboard walks and runs of neighbouring code points
-        for near in (
-            lambda a, b: a in _PLACE and b in _PLACE and _PLACE[a][0] == _PLACE[b][0] and abs(_PLACE[a][1] - _PLACE[b][1]) == 1,
-            lambda a, b: a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1,
-        ):
-            j = i + 1
-            while j < n and near(low[j - 1], low[j]):
-                j += 1
+    for near in (  # keyboard walks and runs of neighbouring code points, each from any place to its end
+        lambda a, b: a in _PLACE and b in _PLACE and _PLACE[a][0] == _PLACE[b][0] and abs(_PLACE[a][1] - _PLACE[b][1]) == 1,
+        lambda a, b: a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1,
+    ):
+        j = n
+        for i in range(n - 1, -1, -1):
+            if i + 1 < n and not near(low[i], low[i + 1]):
+                j = i + 1
             if j - i >= 3:
                 yield i, j, 1.7 + math.log10(j - i)
-        i += 1
 
 
-def guess_cost(value: str) -> float:
+@lru_cache
+def _repeats(longest: int) -> re.Pattern:
+    return re.compile(rf"(.{{1,{longest}}}?)\1+", re.DOTALL)
+
+
+def guess_cost(value: str, limit: float = COST) -> float:
     """log10 of the guesses for value: the cheapest way to cut it into words, dates, repeats,
     keyboard walks and brute-force spans, where brute force costs one digit per character and
-    every further segment doubles the guesses."""
+    every further segment doubles the guesses. Exact below the limit; from there on, what is
+    returned is at least the limit."""
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _spans(value):
+    for i, j, cost in _spans(value, limit):
         by_end.setdefault(j, []).append((i, cost))
     best = [0.0] + [math.inf] * len(value)  # of any way that ends here
     brute = [math.inf] * (len(value) + 1)  # of those whose last segment is brute force
@@ -117,7 +124,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], cost: float = COST)
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         end = start + len(m.group(1).rstrip(".!?:*#%&$"))
-        if SHORTEST <= end - start <= LONGEST and not any(s <= start and end <= e for s, _, e in base) and guess_cost(text[start:end]) >= cost:
+        if end - start >= SHORTEST and not any(s <= start and end <= e for s, _, e in base) and guess_cost(text[start:end], cost) >= cost:
             found.append((start, 3, end))
     return found
 
@@ -127,7 +134,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each text is scanned whole, where it is read, without a shuffle. The spans of the fixed
     patterns (assign, access, hex) come first; kind `guess` adds values that follow a credential
-    word and that the minimum-cost segmentation finds too dear to guess. Sorted by start, then
+    word and that the minimum-cost segmentation finds too dear to guess, at any length. Sorted by start, then
     kind. Null counts as empty, which has no spans. Repeated rows are scanned each; other columns
     are not read; an empty table gives an empty result.
     """

@@ -181,6 +181,18 @@ def test_guess_cost():
     assert spans("the token is important and the secret: friendship") == [] and spans("password = kR7mQ2pz9x") == []
 
 
+def test_long_values_are_scored():
+    rng = random.Random(12)
+    token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=598))
+    token = token[:40] + "." + token[40:500] + "." + token[500:]
+    spans = lambda t: secret_scan.guess_spans(t, secret_scan.base_spans(t))
+    for before in ("Authorization: Bearer ", "passphrase: ", "pwd=", "private_key="):
+        assert spans(f"x {before}{token} y") == [(2 + len(before), 3, 2 + len(before) + 600)]
+        for cheap in ("a" * 100_000, "qw" * 50_000, "xk7" * 10_000, "ab" * 400):
+            assert spans(f"x {before}{cheap} y") == [], (before, cheap[:9])
+        assert len(spans(f"x {before}{token * 100} y")) == 1
+
+
 # 1: quality rules
 
 
