@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corroborate.llm.common import bounded_batches, read, text_of
 
-#: Least Dice coefficient, and most words without a template bigram inside one passage.
-DICE, GAP = 0.8, 6
+#: Least Dice coefficient.
+DICE = 0.8
 
 # Names of public licences with their SPDX identifiers, and their usual notices.
 NAMES = {
@@ -96,47 +98,59 @@ def dice(a: Counter[Bigram], b: Counter[Bigram]) -> float:
     return 2 * sum((a & b).values()) / max(sum(a.values()) + sum(b.values()), 1)
 
 
-def _passages(hits: list[int]) -> Iterator[list[int]]:
-    """Hits (places of template bigrams) that are at most GAP words apart."""
-    start = 0
-    for i in range(1, len(hits) + 1):
-        if i == len(hits) or hits[i] - hits[i - 1] > GAP:
-            yield hits[start:i]
-            start = i
+def _windows(grams: list[Bigram], hits: list[int], want: Counter[Bigram], m: int, least: float) -> Iterator[tuple[float, int, int]]:
+    """(Dice, start, end) of the windows from a hit to a hit whose Dice with a template reaches the least.
+
+    hits: the places of the template's m bigrams, in order. A window of n bigrams shares at most
+    n of them, so n is within m t / (2 - t) and m (2 - t) / t, and as many are shared as the first
+    of the two says. Words that are no part of the template only count in n.
+    """
+    shared_least, longest = math.ceil(m * least / (2 - least) - 1e-9), math.floor(m * (2 - least) / least + 1e-9)
+    for i in range(len(hits) - shared_least + 1):
+        start = hits[i]
+        if hits[i + shared_least - 1] - start >= longest:
+            continue
+        left, shared = dict(want), 0
+        for j in range(i, len(hits)):
+            n = hits[j] + 1 - start
+            if n > longest:
+                break
+            g = grams[hits[j]]
+            if left[g]:
+                left[g] -= 1
+                shared += 1
+                if (d := 2 * shared / (n + m)) >= least:
+                    yield d, start, hits[j] + 1
 
 
 def find_licenses(text: str, least: float = DICE) -> list[tuple[int, int, str, float]]:
     """(start, end, SPDX id, Dice) of the passages of a text that match a template, in order.
 
-    A passage is compared with the templates that share a bigram with it, from the first to the
-    last shared one, if the size allows the least Dice: of n and m bigrams at most min(n, m) are shared, so m is within n t / (2 - t) and
-    n (2 - t) / t. Of a longer passage the windows of the template's length that start at its hits
-    are compared. Overlapping matches: the highest Dice stays, then the longest, then the first.
+    Every window of the text whose Dice with a template reaches the least counts, however long the
+    words are that stand between the template's own. Only windows from a bigram of the template
+    to one are compared: of others a shorter one has a higher Dice. Overlapping matches: the highest
+    Dice stays, then the longest, then the first.
     """
     known, index = templates()
     words = words_of(text)
     grams = _bigrams([w for w, _, _ in words])
+    places: dict[int, list[int]] = {}
+    for i, g in enumerate(grams):
+        for t in index.get(g, ()):
+            places.setdefault(t, []).append(i)
     found = []
-    for hits in _passages([i for i, g in enumerate(grams) if g in index]):
-        for t in sorted({t for h in hits for t in index[grams[h]]}):
-            spdx, want, m = known[t]
-            own = [h for h in hits if grams[h] in want]
-            size = own[-1] + 1 - own[0]
-            if size < m * least / (2 - least):
-                continue
-            if size <= m * (2 - least) / least:
-                spans = [(own[0], own[-1] + 1)]
-            else:
-                spans = [(h, min(h + m, len(grams))) for h in own]
-            for a, b in spans:
-                if (d := dice(Counter(grams[a:b]), want)) >= least:
-                    found.append((-d, a - b, a, b, spdx))
+    for t, hits in places.items():
+        spdx, want, m = known[t]
+        found += [(-d, a - b, a, b, spdx) for d, a, b in _windows(grams, hits, want, m, least)]
     chosen: list[tuple[int, int, str, float]] = []
+    starts: list[int] = []
     for d, _, a, b, spdx in sorted(found):
-        span = (words[a][1], words[b][2])
-        if all(span[1] <= s or e <= span[0] for s, e, _, _ in chosen):
-            chosen.append((*span, spdx, round(-d, 6)))
-    return sorted(chosen)
+        start, end = words[a][1], words[b][2]
+        at = bisect(starts, start)
+        if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or end <= starts[at]):
+            starts.insert(at, start)
+            chosen.insert(at, (start, end, spdx, round(-d, 6)))
+    return chosen
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = DICE) -> DataFrame:

@@ -406,6 +406,45 @@ def test_license_pruning_loses_nothing():
         assert best < license_scan.DICE or found >= license_scan.DICE  # a passage that matches as a whole is found
 
 
+def brute_licenses(text, least=license_scan.DICE):
+    """By Dice over all windows of all templates, the best of those that overlap."""
+    words = license_scan.words_of(text)
+    grams = license_scan._bigrams([w for w, *_ in words])
+    found = []
+    for spdx, want, m in license_scan.templates()[0]:
+        for a in range(len(grams)):
+            mine, shared = license_scan.Counter(), 0
+            for b in range(a, min(len(grams), a + 2 * m)):  # longer windows have a Dice under 2 / 3
+                mine[grams[b]] += 1
+                shared += mine[grams[b]] <= want[grams[b]]
+                if 2 * shared / (b + 1 - a + m) >= least:
+                    found.append((-2 * shared / (b + 1 - a + m), a - b - 1, a, b + 1, spdx))
+    chosen = []
+    for d, _, a, b, spdx in sorted(found):
+        if all(words[b][2] <= s or e <= words[a][1] for s, e, *_ in chosen):
+            chosen.append((words[a][1], words[b][2], spdx, round(-d, 6)))
+    return sorted(chosen)
+
+
+def test_licenses_with_inserted_clauses():
+    rng = random.Random(13)
+    mit, apache = license_scan.NOTICES["MIT"][0].split(), license_scan.NOTICES["Apache-2.0"][1].split()
+    middle = " ".join([*mit[:33], *[f"unknown{i}" for i in range(8)], *mit[33:]])
+    (found,) = license_scan.find_licenses(middle)
+    assert (found[2], found[1]) == ("MIT", len(middle) - 1) and found[3] > 0.9
+    stretched = list(mit)
+    for i in range(24):  # 1.4 times as long, and a sentence with bigrams of the template after it
+        stretched.insert(10 + i, f"unknown{i}")
+    (found,) = license_scan.find_licenses(" ".join(stretched) + ". In other words, some users of the software and copies of the thing.")
+    assert found[2] == "MIT" and found[3] > 0.8
+    for _ in range(12):
+        words = list(rng.choice([mit, apache]))
+        at = rng.randrange(len(words))
+        words[at:at] = [f"unknown{i}" for i in range(rng.randint(1, 30))]
+        text = "Use of the Software. " + " ".join(words) + " Licensed under the very new MIT License. All of the Software."
+        assert license_scan.find_licenses(text) == brute_licenses(text)
+
+
 # 8: toxicity
 
 
