@@ -18,7 +18,7 @@ from corroborate.llm.common import WORD, bounded_batches, checkpointed, read, te
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Words of a block, output shards, seed of every draw and permutation.
 BLOCK, SHARDS, SEED = 128, 64, 17
-#: Sources are a dimension whose rows the driver draws for; more than this is an error, not a cut.
+#: Sources whose targets are found on the driver and that are broadcast, and sources of one draw; more stay a table.
 MAX_SOURCES = 10_000
 #: Documents of a bucket within which offsets are running sums, and slots that one row unfolds into.
 BUCKET_ROWS, SLOT_ROWS = 2_000, 100_000
@@ -84,6 +84,27 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def place_of(value: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The index at which `permuted` has value: the rounds taken back, and the walk too."""
+    half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.uint64) + np.uint64(1)) // np.uint64(2))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    x, n, key = value.astype(np.uint64), n.astype(np.uint64), key.astype(np.int64).view(np.uint64)
+    todo = np.arange(len(x))
+    while len(todo):
+        h, m, k = half[todo], low[todo], key[todo]
+        left, right = x[todo] >> h, x[todo] & m
+        for i in reversed(range(4)):
+            left, right = right ^ (_mixed(left + k + np.uint64(i * 0x9E3779B9)) & m), left
+        x[todo] = (left << h) | right
+        todo = todo[x[todo] >= n[todo]]
+    return x.astype(np.int64)
+
+
+@F.pandas_udf(LongType())
+def _place_at(block: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(place_of(block.to_numpy(), n.to_numpy(), key.to_numpy()))
+
+
 @F.pandas_udf(LongType())
 def _block_at(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), n.to_numpy(), key.to_numpy()))
@@ -102,27 +123,68 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     )
 
 
-def _sources(sized: DataFrame, block: int) -> DataFrame:
-    """(s, source, source_size, target, n_docs, n_blocks, n_slots); s is the place in code-point order."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    found = []
-    for s, (r, target) in enumerate(zip(rows, targets([r["size"] for r in rows]), strict=True)):
-        blocks = -(-r["size"] // block)
-        found.append((s, r.source, r["size"], target, r["n"], blocks, round(target * blocks / r["size"]) if blocks else 0))
-    kinds = "s int, source string, source_size long, target double, n_docs long, n_blocks long, n_slots long"
-    return sized.sparkSession.createDataFrame(found, kinds)
+def _run_key(run: Column) -> Column:
+    """The key of the permutation of a source's blocks in one of its runs."""
+    return F.xxhash64("s", run.cast("long"), F.lit(SEED))
 
 
-def _laid_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def _with_targets(by_source: DataFrame) -> DataFrame:
+    """`targets` for any number of sources (source, size, n), as a table; s is the place in order.
+
+    A source stops at its cap if its share by weight is over it. The level (words per weight) of
+    the others only rises from round to round, so each round is one aggregate.
+    """
+    placed = by_source.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    rows = checkpointed(by_source.sparkSession.createDataFrame(placed, "s int, source string, size long, n long"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("s") % len(WEIGHTS) + 1).cast("int"))
+    total = rows.agg(F.sum("size")).first()[0]
+    level, stopped = 0.0, -1
+    while True:
+        over = F.lit(level) * weight > CAP * F.col("size")
+        n, words, free = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, CAP * F.col("size"))), F.lit(0)), F.sum(F.when(~over, weight))).first()
+        if n == stopped or not free:
+            break
+        level, stopped = (total - words) / free, n
+    return rows.withColumn("target", F.when(over, CAP * F.col("size")).otherwise(F.lit(level) * weight).cast("double"))
+
+
+def _sources(sized: DataFrame, block: int) -> tuple[DataFrame, bool]:
+    """(s, source, source_size, target, n_docs, n_blocks, n_slots, last), and whether they are few; s is
+    the place in code-point order, last the words that the last slot takes of its block."""
+    by_source = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    few = by_source.count() <= MAX_SOURCES
+    if few:
+        rows = sorted(by_source.collect(), key=lambda r: (r.source is None, r.source or ""))
+        found = [(s, r.source, r["size"], r["n"], t) for s, (r, t) in enumerate(zip(rows, targets([r["size"] for r in rows]), strict=True))]
+        sources = sized.sparkSession.createDataFrame(found, "s int, source string, size long, n long, target double")
+    else:
+        sources = _with_targets(by_source)
+    words, whole = F.round("target").cast("long"), F.greatest("size", F.lit(1))
+    sources = sources.select(
+        "s", "source", F.col("size").alias("source_size"), "target", F.col("n").alias("n_docs"), F.ceil(F.col("size") / block).cast("long").alias("n_blocks"),
+        F.floor(words / whole).cast("long").alias("runs"), (words % whole).alias("rest"),
+    )
+    # of the last run, the blocks up to the one in which the target is reached; the source's last block is shorter
+    sources = sources.withColumn("short_at", _place_at(F.greatest(F.col("n_blocks") - 1, F.lit(0)), F.greatest("n_blocks", F.lit(1)), _run_key(F.col("runs"))))
+    upto = lambda k: k * block - F.when(F.col("short_at") < k, F.col("n_blocks") * block - F.col("source_size")).otherwise(0)
+    k = F.ceil(F.col("rest") / block).cast("long")
+    extra = F.when(upto(k) >= F.col("rest"), k).otherwise(k + 1)
+    sources = sources.withColumn("extra", extra).withColumn("last", F.when(F.col("rest") > 0, F.col("rest") - upto(F.col("extra") - 1)))
+    return checkpointed(sources.withColumn("n_slots", F.col("runs") * F.col("n_blocks") + F.col("extra")).drop("runs", "rest", "short_at", "extra")), few
+
+
+def _beside(sources: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(sources) if few else sources
+
+
+def _laid_out(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """Adds each row's first word in its source's sequence of words.
 
     Within a source, rows stand in hash order. Running sums are taken inside buckets of about
     BUCKET_ROWS rows, and over the buckets' sums, so no task holds all rows of a large source.
     """
-    rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    sources = sources.drop("n_slots", "last")
+    rows = sized.join(_beside(sources, few), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     mixed = F.xxhash64("doc_id", F.lit(SEED))
     rows = rows.withColumn("bucket", F.pmod(mixed, F.floor(F.col("n_docs") / BUCKET_ROWS) + 1)).withColumn("o", mixed)
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,23 +198,34 @@ def _laid_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _taken_blocks(spark: SparkSession, sources: DataFrame, shards: int) -> DataFrame:
-    """(s, block, times): the blocks that the slots of all output shards point at."""
-    rows = sources.orderBy("s").collect()  # MAX_SOURCES at most
-    counts = draw_counts([r.n_slots for r in rows], shards)
-    first = np.cumsum(counts, axis=0) - counts
-    plan = [(k, r.s, int(counts[k, i]), int(first[k, i])) for i, r in enumerate(rows) for k in range(shards) if counts[k, i]]
-    pieces = spark.createDataFrame(plan, "shard int, s int, n long, first long").select(
+def _taken_blocks(sources: DataFrame, few: bool, block: int, shards: int) -> DataFrame:
+    """(s, block, lo, hi, times): how often the slots of all output shards take words lo..hi of a block."""
+
+    def drawn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s")
+        counts = draw_counts(rows["n_slots"].tolist(), shards)
+        first = np.cumsum(counts, axis=0) - counts
+        shard, at = np.nonzero(counts)
+        return pd.DataFrame({"shard": shard, "s": rows["s"].to_numpy()[at], "n": counts[shard, at], "first": first[shard, at]})
+
+    groups = sources.select("s", "n_slots").groupBy(F.floor(F.col("s") / MAX_SOURCES))  # each draws for its own sources
+    pieces = groups.applyInPandas(drawn, "shard int, s int, n long, first long").select(
         "shard", "s", "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOT_ROWS))).alias("piece")
     )
     begin = F.col("piece") * SLOT_ROWS
     slots = pieces.repartition("shard", "s", "piece").select(
         "s", F.explode(F.sequence(F.col("first") + begin, F.col("first") + F.least(begin + SLOT_ROWS, F.col("n")) - 1)).alias("slot")
     )
-    slots = slots.join(F.broadcast(sources.select("s", "n_blocks")), "s")
+    slots = slots.join(_beside(sources.select("s", "n_blocks", "n_slots", "last"), few), "s")
     # a source's slots run through its blocks again and again, each time in another order
-    key = F.xxhash64("s", F.floor(F.col("slot") / F.col("n_blocks")), F.lit(SEED))
-    return slots.select("s", _block_at(F.col("slot") % F.col("n_blocks"), "n_blocks", key).alias("block")).groupBy("s", "block").agg(F.count("*").alias("times"))
+    key = _run_key(F.floor(F.col("slot") / F.col("n_blocks")))
+    part = F.when(F.col("slot") == F.col("n_slots") - 1, F.col("last"))  # the last slot takes what is left of the target
+    taken = slots.select("s", _block_at(F.col("slot") % F.col("n_blocks"), "n_blocks", key).alias("block"), part.alias("part"))
+    taken = taken.groupBy("s", "block").agg(F.count("*").alias("times"), F.max("part").alias("part"))
+    of = lambda lo, hi, times: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), times.cast("long").alias("times"))
+    zero, all_, times = F.lit(0), F.lit(block), F.col("times")
+    split = F.when(F.col("part").isNull(), F.array(of(zero, all_, times))).otherwise(F.array(of(zero, F.col("part"), times), of(F.col("part"), all_, times - 1)))
+    return taken.select("s", "block", F.inline(split))
 
 
 def _pieces(laid: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
@@ -160,9 +233,11 @@ def _pieces(laid: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     document are taken `times` times (null: never). A document without words has one row."""
     last = F.floor((F.col("first") + F.col("size") - 1) / block)
     held = laid.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), last))).alias("block"))
-    begin = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
-    return held.withColumn("begin", begin).withColumn("end", end).join(blocks, ["s", "block"], "left")
+    held = held.join(blocks, ["s", "block"], "left")
+    at = F.col("block") * block - F.col("first")
+    begin = F.greatest(at + F.coalesce("lo", F.lit(0)), F.lit(0))
+    end = F.least(at + F.coalesce("hi", F.lit(block)), F.col("size"))
+    return held.withColumn("begin", begin).withColumn("end", end).where("size = 0 or begin < end").drop("lo", "hi")
 
 
 def mix_sources(
@@ -174,9 +249,10 @@ def mix_sources(
     The target of a source, in blocks, is dealt to the output shards by multinomial draws. Its
     slots are numbered through all shards; slot q takes block perm(q mod n) of its n blocks, with
     a new permutation for each run through them, so no block is taken more than CAP times, and a
-    document neither. Documents and slots meet in a join on (source, block): a source with a third
-    of all rows is spread over all tasks like any other. The number of sources is checked (at most
-    MAX_SOURCES), and only they are broadcast.
+    document neither. The last slot takes the beginning of its block up to the target, so a source
+    lands within a word of it, however small. Documents and slots meet in a join on (source, block): a source with a third
+    of all rows is spread over all tasks like any other. Up to MAX_SOURCES sources
+    are broadcast; more are joined like any table, and shards draw for each MAX_SOURCES of them.
 
     A null text has no words, and a document without words takes none. A null source is a source
     of its own, last in order. Repeated rows are documents of their own; null ids are allowed. Ties
@@ -194,8 +270,8 @@ def mix_sources(
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shards: int) -> tuple[DataFrame, DataFrame]:
     sized = _sized(docs, id_col, text_col, source_col)
-    sources = _sources(sized, block)
-    return _laid_out(sized, sources), _taken_blocks(docs.sparkSession, sources, shards)
+    sources, few = _sources(sized, block)
+    return _laid_out(sized, sources, few), _taken_blocks(sources, few, block, shards)
 
 
 def _cut(columns: list[str], text_col: str):

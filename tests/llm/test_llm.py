@@ -308,6 +308,18 @@ def test_source_mix(docs_of):
     assert words == {k: r.taken for k, r in got.items() if r.taken}
 
 
+@pytest.mark.parametrize("limit", [10_000, 7])
+def test_source_mix_reaches_every_target(docs_of, monkeypatch, limit):
+    """Small sources, and more of them than the driver draws for, land within a word of their targets."""
+    monkeypatch.setattr(source_mix, "MAX_SOURCES", limit)
+    rows = [(i, " ".join(["w"] * (100 + i % 5)), f"s{i:03}") for i in range(30)] + [(99, "a b c", "s100"), (100, " ".join(["w"] * 1000), "s101"), (101, "", "s102")]
+    got = source_mix.mix_sources(docs_of(rows)).collect()
+    want = dict(zip([r[0] for r in rows], source_mix.targets([len(r[1].split()) for r in rows]), strict=True))
+    assert len(got) == len(rows) and all(abs(r.taken - want[r.doc_id]) <= 1 and r.target == pytest.approx(want[r.doc_id]) for r in got)
+    n, key = np.array([1, 2, 9, 100]), np.array([5, -6, 7, 8])
+    assert source_mix.permuted(source_mix.place_of(n - 1, n, key), n, key).tolist() == (n - 1).tolist()
+
+
 # 6: HTML
 
 
