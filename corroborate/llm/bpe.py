@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, read, text_of
+from corroborate.llm.common import map_batches, read, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk, and of its overlap with each neighbour.
@@ -147,7 +147,7 @@ def encode(
     ranks = _ranks(docs.sparkSession, ranks_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     each = _encode_batches(ranks, pattern)
-    short = bounded_batches(rows.where(F.length("text") <= chunk)).mapInArrow(each, "doc_id long, ids binary")
+    short = map_batches(rows.where(F.length("text") <= chunk), each, "doc_id long, ids binary")
     chunks = (
         rows.where(F.length("text") > chunk)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -173,7 +173,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = No
             texts = [None if ids is None else b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
-    return bounded_batches(encoded).mapInArrow(each, encoded.withColumn("decoded", F.col(ids_col)).schema)
+    return map_batches(encoded, each, encoded.withColumn("decoded", F.col(ids_col)).schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import SPACE, checkpointed, read, text_of
+from corroborate.llm.common import SPACE, checkpointed, read, spare, text_of
 
 
 def normalised(text: str = "text") -> Column:
@@ -67,9 +67,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     don't take each other's verdicts. Of rows that repeat both one stays.
     """
     named = lambda sha: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), sha)
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(named(F.col("text_sha256")).alias("_document"))
-    rows = docs.withColumn("_document", named(F.sha2(normalised(text_col), 256)))
-    return rows.join(kept, "_document", "left_semi").dropDuplicates(["_document"]).drop("_document")
+    name = spare("_document", docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(named(F.col("text_sha256")).alias(name))
+    rows = docs.withColumn(name, named(F.sha2(normalised(text_col), 256)))
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)  # the join has dealt rows by name already
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

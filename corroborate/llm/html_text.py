@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, read, text_of
+from corroborate.llm.common import map_batches, read, text_of
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -457,7 +457,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in whole), "text string"])
-    return bounded_batches(pages.select(id_col, *keep, text_of(html_col).alias("_html"))).mapInArrow(each, kinds)
+    return map_batches(pages.select(id_col, *keep, text_of(html_col).alias("_html")), each, kinds)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

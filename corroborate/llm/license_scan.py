@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, read, text_of
+from corroborate.llm.common import map_batches, read, text_of
 
 #: Least Dice coefficient.
 DICE = 0.8
@@ -170,7 +170,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     out = "doc_id long, licenses array<struct<start: long, end: long, license: string, dice: double>>"
-    return bounded_batches(rows).mapInArrow(each, out).withColumnRenamed("doc_id", id_col)
+    return map_batches(rows, each, out).withColumnRenamed("doc_id", id_col)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

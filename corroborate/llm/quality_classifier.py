@@ -6,16 +6,18 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
-from corroborate.llm.common import bounded_batches, read, text_of
-from corroborate.llm.text_stats import counts, labelled_sample
+from corroborate.llm.common import map_batches, read, spare
+from corroborate.llm.text_stats import counts, labelled_sample, one_per_id
 
 #: Most labelled rows that the machine is fitted on.
 TRAIN_ROWS = 6_000
@@ -29,20 +31,28 @@ DENSE = 12
 _TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
 
 
+@lru_cache(maxsize=1 << 16)
+def buckets(word: bytes) -> tuple[int, ...]:
+    """The bucket of a word in lower case without its trailing marks, and that of the marks if it has any."""
+    w = word.lower()
+    core = _TAIL.sub(b"", w)
+    own = zlib.crc32(core) % BUCKETS
+    return (own,) if core == w else (own, zlib.crc32(b"\0" + w[len(core) : len(core) + 4]) % BUCKETS)
+
+
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of a text: hashed words (lower case) and their trailing marks, weighted by
     log frequency and scaled to length one, then structure statistics, then metadata (n_chars)."""
-    words = text.encode().lower().split()
+    raw = text.encode()
+    words = raw.split()
     seen: Counter[int] = Counter()
     for w, n in Counter(words).items():
-        core = _TAIL.sub(b"", w)
-        seen[zlib.crc32(core) % BUCKETS] += n
-        if core != w:
-            seen[zlib.crc32(b"\0" + w[len(core) : len(core) + 4]) % BUCKETS] += n
+        for bucket in buckets(w):
+            seen[bucket] += n
     index = np.fromiter(seen.keys(), np.int64, len(seen))
     value = np.log1p(np.fromiter(seen.values(), np.float64, len(seen)))
     value /= max(1.0, float(np.sqrt(value @ value)))
-    n_words, chars, symbols, dup, repeat, lines, distinct, longest, capitals, digits, marks = counts(text)
+    n_words, chars, symbols, dup, repeat, lines, distinct, longest, capitals, digits, marks = counts(text, raw, words)
     size = max(n_words, 1)
     dense = [
         min(1.0, math.log1p(n_words) / 10), symbols / max(chars, 1) * 3, dup / max(lines, 1), repeat / size,
@@ -67,9 +77,17 @@ class Machine:
         total = vx.sum(axis=0)
         return float(self.bias + self.weights[index] @ value + 0.5 * (total @ total - (vx * vx).sum()))
 
-    def score(self, text: str, n_chars: int | None) -> float:
-        z = self.logit(*features(text, n_chars))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    def scores(self, texts: Iterable[tuple[str, int | None]]) -> np.ndarray:
+        """The scores of texts with their n_chars; the sums over factors are taken for all at once."""
+        made = [features(t or "", n) for t, n in texts]
+        if not made:
+            return np.zeros(0)
+        index, value = (np.concatenate(x) for x in zip(*made, strict=True))
+        start = np.cumsum([0, *(len(i) for i, _ in made[:-1])])
+        vx = self.factors[index] * value[:, None]
+        pair = 0.5 * (np.add.reduceat(vx, start) ** 2 - np.add.reduceat(vx * vx, start)).sum(axis=1)
+        z = self.bias + np.add.reduceat(self.weights[index] * value, start) + pair
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Machine:
@@ -116,26 +134,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> Machine:
     """A machine from up to `rows` labelled documents outside the held-out fold (a documented bound).
 
-    Features are made where the texts are; index and value arrays of the sample come to the driver.
+    Features are made where the texts are; index and value arrays of the sample, one row per id,
+    come to the driver. No labels give the score 0.5.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [features(t, n) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            made = [features(t, n) for t, n in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
+                [b.column("doc_id"), b.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
                 ["doc_id", "y", "i", "v"],
             )
 
-    sample = labelled_sample(docs, labels, label, rows, ~held_out())
-    known = bounded_batches(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", text_of().alias("text"), n_chars_of(docs)))
-    found = sorted(known.mapInArrow(each, "doc_id long, y int, i binary, v binary").collect())
+    sample = labelled_sample(docs, labels, label, rows, ~held_out(), (n_chars_of(docs).alias("n_chars"),))
+    found = sorted(one_per_id(map_batches(sample, each, "doc_id long, y int, i binary, v binary")).collect())
     unpacked = [(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.v, "<f4").astype(np.float64)) for r in found]
     return fit(unpacked, np.array([r.y for r in found], float))
 
 
 def n_chars_of(docs: DataFrame) -> Column:
-    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars")
+    """The metadata n_chars as a number; null where docs has none, or something else by that name."""
+    known = {f.name.lower(): f.dataType for f in docs.schema}.get("n_chars")
+    return F.col("n_chars").try_cast("long") if isinstance(known, NumericType | StringType) else F.lit(None).cast("long")
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,12 +172,12 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Machine(*sent.value)
         for b in batches:
-            scores = [here.score(t or "", n) for t, n in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            scores = here.scores(zip(b.columns[-2].to_pylist(), b.columns[-1].to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(scores, pa.float64())], [*b.schema.names[:-2], "score"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("_text"), n_chars_of(docs).alias("_n_chars"))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in whole), "score double"])
-    return bounded_batches(rows).mapInArrow(each, kinds)
+    return map_batches(rows, each, kinds)
 
 
 def predicted() -> Column:
@@ -167,16 +187,15 @@ def predicted() -> Column:
 def accepted(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the machine scores at THRESHOLD or more."""
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights.astype("f4"), machine.factors.astype("f4")))
-    text, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    text = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Machine(*sent.value)
         for b in batches:
-            n_chars = [None] * b.num_rows if chars is None else b.column(chars).to_pylist()
-            scores = (here.score(t or "", n) for t, n in zip(b.column(text).to_pylist(), n_chars, strict=True))
-            yield b.filter(pa.array([x >= THRESHOLD for x in scores], pa.bool_()))
+            scores = here.scores(zip(b.column(text).to_pylist(), b.columns[-1].to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(scores >= THRESHOLD, pa.bool_()))
 
-    return bounded_batches(docs).mapInArrow(each, docs.schema)
+    return map_batches(docs.withColumn(spare("_n_chars", docs.columns), n_chars_of(docs)), each, docs.schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

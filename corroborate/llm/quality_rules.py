@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, read, text_of
-from corroborate.llm.text_stats import COUNTS, base_failed, counts, labelled_sample
+from corroborate.llm.common import map_batches, read, text_of
+from corroborate.llm.text_stats import COUNTS, base_failed, counts, labelled_sample, one_per_id
 
 #: Most labelled rows that a list is learned from, conditions of a rule, rules of a list.
 TRAIN_ROWS, MAX_CONDITIONS, MAX_RULES = 20_000, 4, 16
@@ -137,18 +137,17 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in found)], ["doc_id", *also, *COUNTS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, text_of(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(each, ", ".join(["doc_id long", *kinds, *(f"{c} long" for c in COUNTS)]))
+    return map_batches(rows, each, ", ".join(["doc_id long", *kinds, *(f"{c} long" for c in COUNTS)]))
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Rule]:
-    """Rules from up to `rows` labelled documents that pass the base conditions (a documented bound)."""
-    found = (
-        text_counts(labelled_sample(docs, labels, "quality", rows), also=("y",))
-        .where(~base_failed())
-        .select("doc_id", "y", *(statistic(n).alias(f"s_{n}") for n in STATISTICS))
-        .toPandas()
-        .sort_values(["doc_id", "y"])
-    )
+    """Rules from up to `rows` labelled documents that pass the base conditions (a documented bound).
+
+    Of rows that repeat an id one is learned from; no labels, or of one kind, give no rules.
+    """
+    known = text_counts(labelled_sample(docs, labels, "quality", rows), also=("y",)).where(~base_failed())
+    stats = known.select("doc_id", "y", *(statistic(n).alias(f"s_{n}") for n in STATISTICS))
+    found = one_per_id(stats).toPandas().sort_values(["doc_id", "y"])
     order = np.random.default_rng(7).permutation(len(found))
     return learn_rules({n: found[f"s_{n}"].to_numpy()[order] for n in STATISTICS}, found["y"].to_numpy()[order] == 0)
 

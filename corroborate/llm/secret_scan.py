@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, read, text_of
+from corroborate.llm.common import map_batches, read, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which on a value counts as a secret, and the shortest such value.
@@ -149,7 +149,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    found = bounded_batches(rows).mapInArrow(each, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    found = map_batches(rows, each, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
     return found.withColumnRenamed("doc_id", id_col)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from corroborate.llm.common import WORD, bounded_batches, checkpointed, read, text_of
+from corroborate.llm.common import WORD, checkpointed, map_batches, read, spare, text_of
 
 #: Weights of the sources in order, and the most times that a source may be repeated.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -185,7 +185,7 @@ def _laid_out(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """
     sources = sources.drop("n_slots", "last")
     rows = sized.join(_beside(sources, few), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    mixed = F.xxhash64("doc_id", F.lit(SEED))
+    mixed = F.xxhash64("doc_id", "h", F.lit(SEED))  # spreads repeated and null ids too
     rows = rows.withColumn("bucket", F.pmod(mixed, F.floor(F.col("n_docs") / BUCKET_ROWS) + 1)).withColumn("o", mixed)
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n")).select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -259,7 +259,7 @@ def mix_sources(
     in hash order are broken by id, size and place. Other columns are not read. An empty table gives
     an empty result. The same rows give the same mix at every run.
     """
-    laid, blocks = _planned(docs, id_col, text_col, source_col, block, shards)
+    _, laid, blocks = _planned(docs, id_col, text_col, source_col, block, shards)
     return (
         _pieces(laid, blocks, block)
         .groupBy("row", "doc_id", "size", "source_size", "target")
@@ -268,14 +268,14 @@ def mix_sources(
     )
 
 
-def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shards: int) -> tuple[DataFrame, DataFrame]:
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     sized = _sized(docs, id_col, text_col, source_col)
     sources, few = _sources(sized, block)
-    return _laid_out(sized, sources, few), _taken_blocks(sources, few, block, shards)
+    return sized, _laid_out(sized, sources, few), _taken_blocks(sources, few, block, shards)
 
 
-def _cut(columns: list[str], text_col: str):
-    """mapInArrow function: rows with `_pieces` -> a row for each time that words of it are taken."""
+def _cut(columns: list[str], text_col: str, taken_col: str):
+    """mapInArrow function: rows with their pieces in the last column -> a row for each time that words of it are taken."""
     word = re.compile(WORD)
 
     def texts(text: str, pieces: list[dict]) -> Iterator[str]:
@@ -287,7 +287,7 @@ def _cut(columns: list[str], text_col: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place, made = [], []
-            for i, (text, pieces) in enumerate(zip(b.column(text_col).to_pylist(), b.column("_pieces").to_pylist(), strict=True)):
+            for i, (text, pieces) in enumerate(zip(b.column(text_col).to_pylist(), b.column(taken_col).to_pylist(), strict=True)):
                 for t in texts(text, pieces):
                     place.append(i)
                     made.append(t)
@@ -310,21 +310,24 @@ def mixed_documents(
     A document whose words are all taken comes back as it is; one of which nothing is taken, or
     that has no words, is not in the mix. See mix_sources for the rest.
     """
-    laid, blocks = _planned(docs, id_col, text_col, source_col, block, shards)
+    sized, laid, blocks = _planned(docs, id_col, text_col, source_col, block, shards)
     same = ["doc_id", "source", "h"]
+    names = [spare(f"_{c}", docs.columns) for c in (*same, "copy")]
+    nth, pieces = spare("_nth", docs.columns), spare("_pieces", docs.columns)
     taken = (
         _pieces(laid, blocks, block)
         .where("times > 0")
         .groupBy("row", *same)
-        .agg(F.array_sort(F.collect_list(F.struct("begin", "end", "times"))).alias("_pieces"))
-        .withColumn("k", F.row_number().over(Window.partitionBy(*same).orderBy("row")))
-        .select(*(F.col(c).alias(f"_{c}") for c in (*same, "k")), "_pieces")
+        .agg(F.array_sort(F.collect_list(F.struct("begin", "end", "times"))).alias("taken"))
+        .withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("row")))
+        .select(*(F.col(c).alias(n) for c, n in zip((*same, "copy"), names, strict=True)), F.col("taken").alias(pieces))
     )
     own: list[Column] = [F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.xxhash64(text_col)]
-    numbered = docs.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
-    keys = zip([*own, F.col("_n")], ("_doc_id", "_source", "_h", "_k"), strict=True)
-    both = numbered.join(taken, [a.eqNullSafe(taken[b]) for a, b in keys]).select(*docs.columns, "_pieces")
-    return bounded_batches(both).mapInArrow(_cut(docs.columns, text_col), docs.schema)
+    # rows that repeat id, source and text are told apart by a number; without such rows texts aren't moved for it
+    repeats = not sized.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))) if repeats else F.lit(1))
+    both = numbered.join(taken, [a.eqNullSafe(taken[b]) for a, b in zip([*own, F.col(nth)], names, strict=True)]).select(*docs.columns, pieces)
+    return map_batches(both, _cut(docs.columns, text_col, pieces), docs.schema)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import bounded_batches, checkpointed, read, text_of
+from corroborate.llm.common import map_batches, read, text_of
 from corroborate.llm.quality_classifier import held_out
-from corroborate.llm.text_stats import labelled_sample
+from corroborate.llm.text_stats import labelled_sample, one_per_id
 
 #: Most labelled rows that features are chosen and weights fitted on, features, and grades above 0.
 TRAIN_ROWS, FEATURES, LEVELS = 10_000, 800, 2
@@ -107,34 +107,44 @@ def fit(x: np.ndarray, grade: np.ndarray, levels: int = LEVELS) -> tuple[np.ndar
     return w, free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))]
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: texts with y -> (term, context, y), each pair of a batch once with its largest y."""
+    for b in batches:
+        found: dict[tuple[str, int], int] = {}
+        for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for t, (_, context) in terms(text).items():
+                found[t, context] = max(found.get((t, context), y), y)
+        columns = ([t for t, _ in found], [c for _, c in found], list(found.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["term", "context", "y"])
+
+
+def _cells(place: dict[str, int]):
+    """mapInArrow function: texts -> one row each, with the places and counts of the chosen terms in it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted((place[t], n) for t, (n, _) in terms(text).items() if t in place) for text in b.column("text").to_pylist()]
+            lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "at", "n"])
+
+    return each
+
+
 def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from up to `rows` labelled documents outside the held-out fold (a documented bound).
 
     The labels say toxic or not. Severity among the toxic ones comes from how much they use the terms
-    that set them apart: up to the median is grade 1, above it grade 2. Terms are
-    counted in Spark; the FEATURES that tell most come to the driver, then the counts of those.
+    that set them apart: up to the median is grade 1, above it grade 2. Terms are counted in Spark;
+    the FEATURES that tell most come to the driver, then one sparse row per labelled id with their
+    counts. Labels of one kind only, or none, give a model that finds nothing toxic.
     """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = terms(text)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array([y] * n, pa.int32()), pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*found.values(), strict=True))]
-                    if n
-                    else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())],
-                    ["doc_id", "y", "term", "n", "context"],
-                )
-
-    sample = bounded_batches(labelled_sample(docs, labels, "toxic", rows, ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "y", text_of().alias("text")))
+    sample = labelled_sample(docs, labels, "toxic", rows, ~held_out())
     totals = sample.agg(F.count("*").alias("n"), F.sum("y").alias("k")).first()
     if not totals["k"] or totals["k"] == totals["n"]:
         return Model({}, [40.0] * LEVELS)
-    counted = checkpointed(sample.mapInArrow(each, "doc_id long, y int, term string, n long, context long"))
     share = totals["k"] / totals["n"]
     # a passage that was copied into many texts is one context, however many copies are labelled
-    contexts = counted.groupBy("term", "context").agg(F.max("y").alias("y"))
+    contexts = map_batches(sample, _contexts, "term string, context long, y int").groupBy("term", "context").agg(F.max("y").alias("y"))
     by_term = contexts.groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("k")).where(F.col("d") >= LEAST_CONTEXTS)
     z = (F.col("k") - F.col("d") * share) / F.sqrt(F.col("d") * share * (1 - share))
     chosen = by_term.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "term").limit(FEATURES)
@@ -142,15 +152,11 @@ def learn_from(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     place = {t: i for i, t in enumerate(sorted(strength))}
     if not place:
         return Model({}, [40.0] * LEVELS)
-    names = docs.sparkSession.createDataFrame([(t,) for t in place], "term string")
-    cells = counted.join(F.broadcast(names), "term").select("doc_id", "term", "n").collect()
-    label = {r.doc_id: r.y for r in sample.select("doc_id", "y").collect()}
-    ids = sorted(label)
-    row = {d: i for i, d in enumerate(ids)}
-    x = np.zeros((len(ids), len(place)))
-    for c in cells:
-        x[row[c.doc_id], place[c.term]] = weight(c.n)
-    toxic = np.array([label[d] for d in ids])
+    found = sorted(one_per_id(map_batches(sample, _cells(place), "doc_id long, y int, at array<int>, n array<int>")).collect())
+    x = np.zeros((len(found), len(place)))
+    for i, r in enumerate(found):
+        x[i, r["at"]] = [weight(n) for n in r["n"]]
+    toxic = np.array([r["y"] for r in found])
     marks = x @ np.array([strength[t] > 0 for t in place], float)
     grade = toxic * (1 + (marks > np.median(marks[toxic == 1])))
     w, cuts = fit(x, grade.astype(int))
@@ -175,7 +181,7 @@ def grade_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return bounded_batches(rows).mapInArrow(each, "doc_id long, severity double, grade int, p_toxic double, toxic boolean").withColumnRenamed("doc_id", id_col)
+    return map_batches(rows, each, "doc_id long, severity double, grade int, p_toxic double, toxic boolean").withColumnRenamed("doc_id", id_col)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
