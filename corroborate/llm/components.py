@@ -15,13 +15,13 @@ def _oriented(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to its smallest neighbour."""
     both = links.select(F.col("u").alias("s"), F.col("v").alias("t")).union(links.select("v", "u"))
-    least = both.groupBy("s").agg(F.least(F.min("t"), F.col("s")).alias("m"))
+    least = checkpointed(both.groupBy("s").agg(F.least(F.min("t"), F.col("s")).alias("m")))
     return both.join(least, "s").where("t > s").select(F.col("t").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least).distinct()
 
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until a step changes nothing, which takes about the
     logarithm of the longest chain. Each step only takes minima by node, so a node with very many
-    links is a partial aggregate, not a list. Every round is checkpointed, so a lost executor
+    links is a partial aggregate, not a list. Minima are written out before they are joined, so that
+    Spark can split a node that very many links share. Every round is checkpointed, so a lost executor
     costs one round. No links give an empty result.
     """
     now = checkpointed(_oriented(links))
@@ -48,4 +49,4 @@ def components(links: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = tuple(row)
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(checkpointed(_large_star(now))))

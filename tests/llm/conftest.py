@@ -22,5 +22,5 @@ def odd(spark):
         (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n ", "en", "a", 4), (4, "word", "en", "b", 4), (4, "word", "en", "b", 4), (None, "a null id here", None, "b", 14),
         (5, "many words " * 30_000, "en", "a", None), (6, "x" * 200_000, "en", None, None), (7, "tie tie", "de", "c", 7), (8, "tie tie", "de", "c", 7),
     ]
-    clashing = [f"{c} string" for c in ("kept", "fp", "row", "size", "spans", "ids", "score", "id", "_id", "h", "y", "text_sha256", "block", "n_words")]
+    clashing = [f"{c} string" for c in ("kept", "fp", "row", "size", "spans", "ids", "score", "id", "_id", "h", "y", "text_sha256", "block", "n_words", "_gone_id", "_gone", "_document", "_n", "_k", "_doc_id", "_source", "_h", "_copy", "_nth", "_pieces", "_n_chars", "_text")]
     return spark.createDataFrame([(*r, *["?"] * len(clashing)) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *clashing]))

@@ -69,7 +69,10 @@ def brute_components(fps, radius=3):
     return label
 
 
-def test_simhash(docs_of):
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_simhash(docs_of, monkeypatch, hot):
+    """Also where shards are hot and are cut by finer keys."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = random.Random(1)
     words = [f"Wörd{i}" for i in range(50)]
     texts = [" ".join(rng.choices(words, k=120)) for _ in range(8)]
@@ -87,6 +90,69 @@ def test_simhash(docs_of):
     assert kept == set(brute_components(fps))
 
 
+def brute_jaccard(texts):
+    """Jaccard similarity of the sets of 5-word shingles of each pair."""
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    return {(i, j): len(a & b) / len(a | b) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])}
+
+
+@pytest.mark.parametrize("hot", [4096, 6])
+def test_similar_documents(docs_of, monkeypatch, hot):
+    """Pairs of 0.8 and more are in one component, pairs under 0.5 only by way of others; also with hot shards."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        w = rng.choices([f"word{i}" for i in range(5000)], k=rng.randint(60, 400))
+        for edits in (0, 1, 2, 3, len(w) // 10, len(w) // 4):
+            v = list(w)
+            for _ in range(edits):
+                v[rng.randrange(len(v))] = f"other{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    shared = " ".join(f"boiler{i}" for i in range(55))  # a passage that many texts share is no reason to link them
+    texts += [shared + " " + " ".join(f"own{k}x{i}" for i in range(120)) for k in range(20)]
+    texts += [None, "", "  ", "One two", "one  TWO", "one"]
+    docs = docs_of(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    near = brute_jaccard(texts)
+    linked = [got[i] == got[j] for (i, j), x in near.items() if x >= 0.8]
+    assert len(linked) > 100 and np.mean(linked) > 0.95
+    label = list(range(len(texts)))
+    for (i, j), x in sorted(near.items()):
+        if x >= 0.5 and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if y == b else y for y in label]
+    assert all(label[i] == label[got[i]] for i in range(len(texts)))
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == set(got.values())
+
+
+def test_wide_trees_find_all_neighbours():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64).repeat(12, axis=0)
+    fp ^= np.uint64(1) << rng.integers(0, 64, fp.shape, dtype=np.uint64)
+    shard = np.sort(rng.integers(0, 2, len(fp)))
+    roots, key, child = simhash.build_forest(fp, shard)
+    got = {p for q, m in simhash.search(fp, np.arange(len(fp)), roots[shard], key, child, 5) for p in zip(q.tolist(), m.tolist(), strict=True)}
+    bits = lambda i, j: sum(bin(int(a ^ b)).count("1") for a, b in zip(fp[i], fp[j], strict=True))
+    assert got == {(i, j) for i in range(len(fp)) for j in range(len(fp)) if shard[i] == shard[j] and bits(i, j) <= 5}
+
+
+def test_finer_keys_keep_every_link(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), rng.randint(1, 3)):
+            y ^= 1 << b
+        rows += [(i, v - (1 << 64) if v >> 63 else v) for v in (x, y)]
+    df = spark.createDataFrame(rows, "pair int, fp long").select("pair", "fp", F.explode(F.array(*simhash.shard_keys(1))).alias("s")).select("pair", "fp", "s.t")
+    df = df.select("pair", F.explode(simhash.finer_keys(1)).alias("s"))
+    assert df.groupBy("pair", "s.t", "s.k").count().where("count > 1").select("pair").distinct().count() == 300
+
+
 @pytest.mark.parametrize("n", [1, 1 << 26, 1 << 36, 1 << 45])
 def test_shard_keys_keep_every_link(spark, n):
     """Any two fingerprints within the radius share a key, whatever the number of fingerprints."""
@@ -499,12 +565,14 @@ def test_without_labels(docs_of, spark):
 
 
 MACHINE = quality_classifier.fit([], np.zeros(0))
+LABELS = [(1, 1, 0), (2, 0, 1), (4, 1, 1), (5, 0, 0), (6, 1, None), (7, None, 1), (8, 1, 0), (None, 1, 1), (4, 1, 1)]
 APPLIED = {
     "rules": lambda d: quality_rules.quality_rules(d, []), "mix": source_mix.mix_sources, "mixed": source_mix.mixed_documents, "licences": license_scan.scan_licenses, "simhash": simhash.near_duplicates,
     "near": simhash.drop_near_duplicates, "score": lambda d: quality_classifier.score(d, MACHINE), "accepted": lambda d: quality_classifier.accepted(d, MACHINE), "dedup": exact_dedup.exact_dedup,
+    "similar": simhash.similar_documents, "no similar": simhash.drop_similar, "html": lambda d: html_text.extract_text(d, "doc_id", "text", ("source", "h")),
     "copies": exact_dedup.drop_copies, "toxicity": lambda d: toxicity.grade_toxicity(d, toxicity.Model({}, [40.0, 40.0])), "bpe": bpe.round_trip, "secrets": secret_scan.scan_secrets,
 }
-PER_ROW = {"rules", "mix", "licences", "simhash", "score", "dedup", "toxicity", "bpe", "secrets"}
+PER_ROW = {"rules", "mix", "licences", "simhash", "similar", "html", "score", "dedup", "toxicity", "bpe", "secrets"}
 
 
 @pytest.mark.parametrize("name", APPLIED)
@@ -523,3 +591,35 @@ def test_odd_results(odd):
     assert near[1] == near[2] == near[3] == 1 and near[8] == 7 and near[None] is None
     mix = source_mix.mix_sources(odd).collect()
     assert all(r.taken == 0 for r in mix if r.size == 0) and all(r.taken <= 3 * r.size for r in mix)
+
+
+@pytest.mark.parametrize("learn", [quality_rules.learn_from, quality_classifier.learn_from, toxicity.learn_from])
+def test_learning_on_odd_tables(odd, spark, learn):
+    """Clashing names in both tables, null labels and ids, an id that is repeated very often, empty tables."""
+    labels = spark.createDataFrame([(*r, "?", "?", "?") for r in LABELS], "doc_id long, quality int, toxic int, y string, text string, n_chars string")
+    many = odd.union(odd.where("doc_id = 4").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("_"))
+    first, again = learn(odd, labels), learn(many, labels)
+    assert isinstance(again, type(first))
+    learn(odd.limit(0), labels), learn(odd, labels.limit(0))
+    text = odd.drop("n_chars").withColumn("n_chars", F.lit("not a number"))
+    learn(text, labels)
+
+
+def test_rows_of_an_id_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 50} of some words") for i in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    assert text_stats.one_per_id(text_stats.labelled_sample(docs, labels, "quality", 30)).count() == 30
+
+
+def test_n_chars_that_is_no_number(docs_of):
+    docs = docs_of(["some text here", "other"]).drop("n_chars")
+    want = {r.doc_id: r.score for r in quality_classifier.score(docs, MACHINE).collect()}
+    for other in (F.lit("many"), F.array(F.lit(1)), F.lit(None)):
+        got = {r.doc_id: r.score for r in quality_classifier.score(docs.withColumn("n_chars", other), MACHINE).collect()}
+        assert got == want and quality_classifier.accepted(docs.withColumn("n_chars", other), MACHINE).count() == 0
+
+
+def test_session_settings_stay(docs_of, spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    secret_scan.scan_secrets(docs_of(["x"])).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

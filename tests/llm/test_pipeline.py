@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corroborate.llm import quality_classifier
+from tests.llm.test_llm import brute_jaccard
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -30,6 +31,13 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after.collect()} == want and after.count() == len(want)
     before, after = seen["simhash_near_dedup"]
     assert after.join(before, "doc_id", "left_semi").count() == after.count() <= before.count()
+    texts = {r.doc_id: r.text for r in before.collect()}
+    ids, kept = sorted(texts), {r.doc_id for r in after.collect()}
+    near = {(ids[i], ids[j]): x for (i, j), x in brute_jaccard([texts[i] for i in ids]).items() if x >= 0.5}
+    alone = set(ids) - {i for pair in near for i in pair}
+    assert alone <= kept  # what is like nothing else stays
+    assert all(not {a, b} <= kept for (a, b), x in near.items() if x >= 0.8)  # of a near pair one stays at most
+    assert all(any(i in pair for pair in near) for i in set(ids) - kept)
     before, after = seen["source_mix"]
     words = lambda d: d.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert words(after) == pytest.approx(words(before), rel=0.05)
@@ -38,6 +46,17 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.want) for r in both.collect()) == sorted((r.doc_id, r.decoded_sha256) for r in after.collect())
 
 
+@pytest.mark.parametrize("stage", [x for x, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(odd, spark, stage, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing and repeated names, no rows: no stage fails."""
+    spark.createDataFrame([(1, 1, "?"), (4, 0, "?"), (None, 1, "?")], "doc_id long, quality int, y string").write.parquet(str(tmp_path / "labels.parquet"))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, odd, str(tmp_path))
+    assert stage == "byte_level_bpe" or out.columns == odd.columns
+    assert out.count() > 0 or stage == "quality_classifier"
+    assert run(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
