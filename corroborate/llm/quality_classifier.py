@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +26,8 @@ THRESHOLD = 0.7
 
 #: Structure statistics and metadata, after the words' buckets; DENSE of them.
 DENSE = 12
-_TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
-
-
-@lru_cache(maxsize=1 << 16)
-def buckets(word: bytes) -> tuple[int, ...]:
-    """The bucket of a word in lower case without its trailing marks, and that of the marks if it has any."""
-    w = word.lower()
-    core = _TAIL.sub(b"", w)
-    own = zlib.crc32(core) % BUCKETS
-    return (own,) if core == w else (own, zlib.crc32(b"\0" + w[len(core) : len(core) + 4]) % BUCKETS)
+#: Bytes that aren't part of a word at its end: ASCII but for letters and digits.
+MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +35,14 @@ def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     log frequency and scaled to length one, then structure statistics, then metadata (n_chars)."""
     raw = text.encode()
     words = raw.split()
-    seen: Counter[int] = Counter()
-    for w, n in Counter(words).items():
-        for bucket in buckets(w):
-            seen[bucket] += n
+    seen: dict[int, int] = {}
+    for w, n in Counter(raw.lower().split()).items():
+        core = w.rstrip(MARKS)
+        bucket = zlib.crc32(core) % BUCKETS
+        seen[bucket] = seen.get(bucket, 0) + n
+        if len(core) < len(w):
+            bucket = zlib.crc32(b"\0" + w[len(core) : len(core) + 4]) % BUCKETS
+            seen[bucket] = seen.get(bucket, 0) + n
     index = np.fromiter(seen.keys(), np.int64, len(seen))
     value = np.log1p(np.fromiter(seen.values(), np.float64, len(seen)))
     value /= max(1.0, float(np.sqrt(value @ value)))
