@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ ABSENCE = "There is no {o} in this scene."
 TEMPERATURE_TEXT = {"RoomTemp": "at room temperature", "Hot": "hot", "Cold": "cold"}
 
 
+def template_fields(template: str) -> set[str]:
+    """names of the fields in braces."""
+    return set(re.findall(r"\{(\w+)\}", template))
+
+
+def filled(template: str, required: set[str] | None = None, **fields: Column) -> Column:
+    """a template with its fields filled in; ValueError if it lacks a required field, or a field has no value."""
+    found = template_fields(template)
+    if lacking := (required or set()) - found:
+        raise ValueError(f"template without {sorted(lacking)}: {template}")
+    if lacking := found - set(fields):
+        raise ValueError(f"no value for {sorted(lacking)}: {template}")
+    return _fill(template, **fields)
+
+
 def _fill(template: str, **fields: Column) -> Column:
     out, rest = [], template
     while "{" in rest:

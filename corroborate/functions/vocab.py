@@ -34,6 +34,7 @@ TRAINING_TYPES = EVIDENCE_TYPES[:-1]
 SUPPORT_THRESHOLD, REFUTE_THRESHOLD, CONFLICT_FLOOR = 0.75, 0.75, 0.40
 DEFAULT_TRUST, DEFAULT_STRENGTH = 0.40, 0.6
 DECISION_THETA = 0.35
+PATHS = ("symbolic_supported", "symbolic_refuted", "vh_conflict", "vh_fallback")
 TRUST_CAP, STRENGTH_FLOOR = 0.45, 0.10
 
 #: Integer codes of verdicts and stances; a stance that isn't decisive is 2.

@@ -35,7 +35,7 @@ def convert(name: str, raw: DataFrame, **options) -> DataFrame:
 
 
 def _sorted_types(evidence: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(evidence, lambda e: e["evidence_types"]))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(evidence, lambda e: F.coalesce(e["evidence_types"], F.array().cast("array<string>"))))))
 
 
 @converter("averitec")
@@ -154,13 +154,13 @@ def simulator_claims_legacy(raw: DataFrame) -> DataFrame:
         F.lit("sensor").alias("modality"), stance.alias("stance"), types_of(strategy, has).alias("evidence_types"), F.lit("sensor_perception").alias("source_id"),
         F.lit(1.0).alias("inference_strength"), F.lit(None).cast("string").alias("source_url"),
     )
-    return raw.withColumn("evidence", F.array(item)).select(
+    return raw.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "id", F.trim("claim").alias("claim"),
         F.struct(label.alias("label"), justification(label, e["predicate"], F.col("claim_triples"), triples).alias("justification"), F.lit("annotated").alias("derivation_method")).alias("verdict"),
-        F.struct(_sorted_types(F.col("evidence")).alias("evidence_types_all"), F.lit("simulator").alias("assignment_method")).alias("epistemic"),
+        F.struct(_sorted_types(F.array(item)).alias("evidence_types_all"), F.lit("simulator").alias("assignment_method")).alias("epistemic"),
         U.normalised_triples(F.col("claim_triples")).alias("claim_triples"),
         F.struct(F.lit("one_hop").alias("structural"), F.when(strategy == "spatial_reasoning", "spatial_comparison").when(strategy == "action_testing", "multi_hop_inference").otherwise(strategy).alias("strategy")).alias("reasoning"),
-        "evidence",
+        F.array(item).alias("evidence"),
         F.struct(F.lit("ai2thor").alias("dataset"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("context_id")).alias("provenance"),
         F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("1970-01-01T00:00:00Z").alias("created_utc")).alias("meta"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import formula
@@ -77,8 +77,13 @@ def clean(evidence: DataFrame, text: str = "text") -> DataFrame:
 
 def first_seen(evidence: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
     """Of items with the same text (trimmed, lower case) under the same keys, the first in order."""
-    window = Window.partitionBy(*keys, F.lower(F.trim(text))).orderBy(*order)
-    return evidence.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    row = F.min_by(F.struct(*evidence.columns), F.struct(*order)).alias("x")  # copies meet in the partial aggregate
+    return evidence.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.lower(F.trim(text)).alias("_text")).agg(row).select("x.*")
+
+
+def claims_with_text(records: DataFrame, claim: str = "claim") -> DataFrame:
+    """Records whose claim isn't blank."""
+    return records.where(F.trim(F.coalesce(claim, F.lit(""))) != "")
 
 
 def types_of_claims(evidence: DataFrame, key: str = "claim_id") -> DataFrame:

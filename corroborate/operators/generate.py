@@ -8,25 +8,37 @@ from pyspark.sql import functions as F
 from corroborate.functions import formula
 from corroborate.functions import uris as U
 from corroborate.functions.realize import decapitalised
-from corroborate.functions.vocab import EVIDENCE_WEIGHTS
-from corroborate.operators.splits import apportion, seeded_order
+from corroborate.functions.vocab import DEFAULT_TRUST, EVIDENCE_WEIGHTS, lookup
+from corroborate.operators.profile import distributions
+from corroborate.operators.splits import _ranked, apportion, seeded_order
 
 def _key() -> Column:
     return F.concat_ws("|", "s", "p", "o")
 
 
-def absent_types(universe: DataFrame, present: DataFrame, most: int = 10_000) -> DataFrame:
-    """(context, object_type) of the universe (object_type) that a context doesn't have.
+# Strings that leak into types of objects but name none.
+NO_TYPES = ("true", "false", "yes", "no", "null", "none")
+#: Types that one row meets at once when contexts are paired with the universe.
+TYPES_PER_BLOCK = 1000
 
-    present: (context, object_type). The universe is an ontology: its size is checked (ValueError
-    above `most`), and each context takes its own types away from it. No pairs of tables are made.
+
+def is_object_type(name: Column) -> Column:
+    """Not a boolean or null that was written as a type."""
+    return ~F.lower(F.trim(name)).isin(*NO_TYPES)
+
+
+def absent_types(universe: DataFrame, present: DataFrame) -> DataFrame:
+    """(context, object_type) of the universe (object_type) that a context doesn't have.
+
+    present: (context, object_type). Of any size: the types are dealt to blocks by hash, each
+    context meets each block in an equi-join, and what is present is anti-joined. The result holds
+    every absent pair, so it grows with contexts x types; only its rows are made.
     """
-    types = [r[0] for r in universe.select("object_type").distinct().orderBy("object_type").limit(most + 1).collect()]
-    if len(types) > most:
-        raise ValueError(f"more than {most} object types")
-    have = present.distinct().groupBy("context").agg(F.collect_list("object_type").alias("have"))
-    every = F.array(*map(F.lit, types)).cast("array<string>")
-    return have.select("context", F.explode(F.array_except(every, "have")).alias("object_type"))
+    types = universe.select("object_type").where(F.col("object_type").isNotNull() & is_object_type(F.col("object_type"))).distinct()
+    n = max(1, -(-types.count() // TYPES_PER_BLOCK))
+    blocks = types.withColumn("block", F.pmod(F.xxhash64("object_type"), F.lit(n)))
+    contexts = present.select("context").distinct().select("context", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    return contexts.join(blocks, "block").select("context", "object_type").join(present.select("context", "object_type"), ["context", "object_type"], "left_anti")
 
 
 def preferred_receptacles(triples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -83,19 +95,50 @@ def negation_claims(triples: DataFrame) -> DataFrame:
     return rows.withColumn("claimed_o", F.lit("False")).withColumn("label", F.when(U.flip_boolean(F.col("o")) == "True", F.lit("supported")).otherwise(F.lit("refuted")))
 
 
+def _seeded_choice(key: Column, n: int, seed: int) -> Column:
+    """0 to n - 1 (n: 2, 4, 8 or 16) by the first hex digit of the seeded order."""
+    return ((F.instr(F.lit("0123456789abcdef"), F.substring(seeded_order(key, seed), 1, 1)) - 1) % n).cast("int")
+
+
 def conjunction_claims(triples: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
-    """Each triple with the next of its subject; mode 0 both true, 1 and 2 one of them corrupted."""
-    rows = triples.dropDuplicates(["s", "p", "o"])
-    after = Window.partitionBy("s").orderBy("p", "o")
-    pairs = rows.select("*", F.lead(F.struct("p", "o")).over(after).alias("second")).where("second is not null")
+    """Claims of two triples, each with the next of its subject: (s, p, o, p2, o2, mode, label,
+    true_o, true_o2).
+
+    Mode 0 claims both as they are; 1 corrupts the first, 2 the second, 3 both. A claim of modes 1 to 3
+    that no corruption changes isn't made; one that is changed is refuted. Degenerate triples are no claims.
+    """
+    rows = triples.dropDuplicates(["s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("s", "p", "o")
     bad = corruption_candidates(rows, rules, seed).select("s", "p", "o", "bad_o")
-    joined = pairs.join(bad, ["s", "p", "o"], "left")
-    mode = F.pmod(F.xxhash64("s", "p", "o", F.lit(seed)), F.lit(3)).cast("int")
-    wrong = (mode > 0) & F.col("bad_o").isNotNull()
-    return joined.select(
-        "s", "p", F.when(wrong, F.col("bad_o")).otherwise(F.col("o")).alias("o"), F.col("second.p").alias("p2"), F.col("second.o").alias("o2"),
-        mode.alias("mode"), F.when(wrong, F.lit("refuted")).otherwise(F.lit("supported")).alias("label"),
+    after = Window.partitionBy("s").orderBy("p", "o")
+    both = rows.join(bad, ["s", "p", "o"], "left").withColumn("n", F.lead(F.struct("p", "o", "bad_o")).over(after)).where("n is not null")
+    mode = _seeded_choice(_key(), 4, seed)
+    claimed = lambda true, wrong, modes: F.when(mode.isin(*modes), F.coalesce(wrong, true)).otherwise(true)
+    made = both.select(
+        "s", "p", claimed(F.col("o"), F.col("bad_o"), (1, 3)).alias("o"), F.col("n.p").alias("p2"), claimed(F.col("n.o"), F.col("n.bad_o"), (2, 3)).alias("o2"),
+        mode.alias("mode"), F.col("o").alias("true_o"), F.col("n.o").alias("true_o2"),
     )
+    same = (F.col("o") == F.col("true_o")) & (F.col("o2") == F.col("true_o2"))
+    return made.where((F.col("mode") == 0) | ~same).withColumn("label", F.when(F.col("mode") == 0, F.lit("supported")).otherwise(F.lit("refuted")))
+
+
+def with_structure(claims: DataFrame, structure: str, labels: tuple[str, ...]) -> DataFrame:
+    """Claims of one structure (column structural) with one of some labels."""
+    return claims.where((F.col("structural") == structure) & F.col("label").isin(*labels))
+
+
+def first_contexts(contexts: DataFrame, n: int) -> DataFrame:
+    """The n first contexts in order, of a table (context, ...), with all their rows."""
+    return contexts.join(contexts.select("context").distinct().orderBy("context").limit(n), "context", "left_semi")
+
+
+def context_claims(triples: DataFrame, rules: DataFrame, per_context: int, seed: int = 42) -> DataFrame:
+    """One-hop claims of every context (columns key, s, p, o): up to per_context // 2 true and
+    corrupted ones each, in the seeded order; (key, s, p, o, claimed_o, label)."""
+    usable = triples.dropDuplicates(["key", "s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("key", "s", "p", "o")
+    bad = corruption_candidates(usable.select("s", "p", "o"), rules, seed).select("s", "p", "o", F.col("bad_o").alias("claimed_o"))
+    both = usable.select("*", F.col("o").alias("claimed_o"), F.lit("supported").alias("label")).unionByName(usable.join(bad, ["s", "p", "o"]).withColumn("label", F.lit("refuted")))
+    ranked = _ranked(both.withColumn("_key", F.concat_ws("|", "s", "p", "o", "claimed_o")), "_key", [F.col("key"), F.col("label")], seed)
+    return ranked.where(F.col("_place") <= per_context // 2).drop("_key", "_place", "_all")
 
 
 def absence_claims(universe: DataFrame, present: DataFrame, per_context: int, seed: int = 42) -> DataFrame:
@@ -106,48 +149,79 @@ def absence_claims(universe: DataFrame, present: DataFrame, per_context: int, se
     return pick(absent_types(universe, present), "supported").unionByName(pick(present.distinct(), "refuted"))
 
 
-# Shares of the templates of synthetic claims, in percent: (name, verdict, stances, trust, type, strength, shortcut, share).
+# The templates of synthetic claims: name, whether it breaks the shortcut from stance to
+# verdict, default share, and items (stance, source, type, strength).
 TEMPLATES = (
-    ("high_trust_support", "supported", ("supports", "supports"), 0.85, "testimony", 0.8, False, 15.0),
-    ("high_trust_refute", "refuted", ("refutes", "refutes"), 0.85, "testimony", 0.8, False, 15.0),
-    ("low_trust_support", "not_enough_evidence", ("supports",), 0.35, "testimony", 0.6, True, 15.0),
-    ("unknown_refute", "not_enough_evidence", ("refutes",), 0.40, "testimony", 0.5, True, 15.0),
-    ("both_sides", "conflicting_evidence", ("supports", "refutes"), 0.85, "testimony", 0.8, False, 15.0),
-    ("sensor_support", "supported", ("supports",), 1.0, "perception", 1.0, False, 10.0),
-    ("weak_inference", "not_enough_evidence", ("supports", "supports"), 0.90, "inference", 0.5, True, 15.0),
-)
-
-
-def template_table(spark) -> DataFrame:
-    """G13."""
-    kinds = "ord int, template string, expected string, stances array<string>, trust double, type string, strength double, is_shortcut_breaking boolean, share double"
-    return spark.createDataFrame([(i, n, v, list(s), t, k, x, b, w) for i, (n, v, s, t, k, x, b, w) in enumerate(TEMPLATES)], kinds)
-
-
-def synthetic_claims(spark, n: int) -> DataFrame:
-    """N claims in the templates' shares, with scores and verdict from the formula."""
-    plan = apportion(template_table(spark), n)
-    rows = plan.where("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
-    weight = F.round(F.create_map(*(F.lit(x) for kv in EVIDENCE_WEIGHTS.items() for x in kv))[F.col("type")], 4)
-    confidence = formula.evidence_confidence(F.col("trust"), weight, F.col("strength"))
-    score = lambda s: F.round(1 - F.aggregate(F.filter("stances", lambda x: x == s), F.lit(1.0), lambda a, _: a * (1 - F.col("ec"))), 4)
-    scored = rows.withColumn("ec", confidence).withColumn("support", score("supports")).withColumn("refute", score("refutes"))
-    return scored.select(
-        F.format_string("synthetic-%s-%06d", F.col("template"), F.col("k")).alias("id"), "template", "expected", "is_shortcut_breaking",
-        "ec", "support", "refute", formula.verdict(F.col("support"), F.col("refute")).alias("verdict"),
+    ("high_trust_supported", False, 0.06, (("supports", "reuters_web_text", "testimony", 0.8), ("supports", "apnews_web_text", "testimony", 0.8))),
+    ("low_trust_nee", True, 0.07, (("supports", "social_media_web_text", "testimony", 0.6),)),
+    ("high_trust_refuted", False, 0.06, (("refutes", "reuters_web_text", "testimony", 0.8), ("refutes", "apnews_web_text", "testimony", 0.8))),
+    ("low_trust_refuted_nee", True, 0.07, (("refutes", "unknown_web", "testimony", 0.5),)),
+    ("conflicting", True, 0.07, (("supports", "reuters_web_text", "testimony", 0.8), ("refutes", "apnews_web_text", "testimony", 0.8))),
+    ("strong_support_weak_refute", True, 0.09, (("supports", "reuters_web_text", "testimony", 0.8), ("supports", "apnews_web_text", "testimony", 0.8), ("refutes", "social_media_web_text", "testimony", 0.4))),
+    ("weak_support_strong_refute", True, 0.09, (("supports", "social_media_web_text", "testimony", 0.6), ("refutes", "reuters_web_text", "testimony", 0.8), ("refutes", "apnews_web_text", "testimony", 0.8))),
+    ("weak_vs_weak_nee", True, 0.09, (("supports", "unknown_web", "testimony", 0.5), ("refutes", "social_media_web_text", "testimony", 0.4))),
+    ("corroborating_3", False, 0.06, (("supports", "reuters_web_text", "testimony", 0.8), ("supports", "apnews_web_text", "testimony", 0.8), ("supports", "bbc_web_text", "testimony", 0.7))),
+    ("perception_direct", False, 0.07, (("supports", "sensor_perception", "perception", 1.0),)),
+    ("inference_nee", True, 0.07, (("supports", "academic_pdf", "inference", 0.5), ("supports", "academic_pdf", "inference", 0.5))),
+    ("comparison_supported", False, 0.06, (("supports", "reuters_web_text", "comparison_analogy", 0.7), ("supports", "apnews_web_text", "comparison_analogy", 0.7))),
+    ("non_apprehension_absent", False, 0.03, (("supports", "sensor_perception", "non_apprehension", 0.8),)),
+    ("non_apprehension_refuted", False, 0.04, (("refutes", "sensor_perception", "non_apprehension", 0.8),)),
+    ("non_apprehension_weak_nee", True, 0.07, (("not_enough_evidence", "general_web_text", "non_apprehension", 0.6),)),
+)
+
+
+def template_table(spark, shares: dict[str, float] | None = None) -> DataFrame:
+    """The templates in order, with the default shares or the given ones (others are left out)."""
+    kinds = "ord int, template string, is_shortcut_breaking boolean, share double, items array<struct<stance: string, source_id: string, type: string, strength: double>>"
+    given = [(i, name, breaks, share if shares is None else shares.get(name, 0.0), list(items)) for i, (name, breaks, share, items) in enumerate(TEMPLATES)]
+    return spark.createDataFrame([x for x in given if x[3] > 0], kinds)
+
+
+def synthetic_claims(templates: DataFrame, registry: DataFrame, n: int) -> DataFrame:
+    """N claims in the templates' shares (template_table), with the items' confidences by
+    the registry's trust (source_id, source_trust) and scores and verdict from the formula.
+
+    Scores are made once per template, in joins of the short tables; claims unfold from the templates.
+    """
+    items = templates.select("template", F.posexplode("items").alias("pos", "i")).select("template", "pos", "i.*").join(registry.select("source_id", "source_trust"), "source_id", "left")
+    trust, weight = F.coalesce("source_trust", F.lit(DEFAULT_TRUST)), F.round(lookup(EVIDENCE_WEIGHTS, F.col("type")), 4)
+    scored = items.withColumn("ec", formula.evidence_confidence(trust, weight, F.col("strength")))
+    score = lambda side: F.round(formula.stance_score(F.col("stance"), F.col("ec"), side), 4)
+    made = scored.groupBy("template").agg(score("supports").alias("support"), score("refutes").alias("refute"), F.array_sort(F.collect_list(F.struct("pos", "stance", "source_id", "ec"))).alias("evidence"))
+    rows = apportion(templates, n).where("n > 0").select("template", "is_shortcut_breaking", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    return rows.join(made, "template").select(
+        F.format_string("synthetic-%s-%06d", "template", "k").alias("id"), "template", "is_shortcut_breaking", "support", "refute",
+        formula.verdict(F.col("support"), F.col("refute")).alias("verdict"), F.transform("evidence", lambda e: e.dropFields("pos")).alias("evidence"),
     )
 
 
+def _unit(key: Column, salt: str) -> Column:
+    """A number above 0 and up to 1 from eight hex digits of a seeded hash, the same in any engine that has md5."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+
+
 def jittered(strength: Column, key: Column, sigma: float = 0.05) -> Column:
-    """normal noise from a hash of the key (Box-Muller), so reruns agree; within 0.1 and 1."""
-    unit = lambda salt: (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    noise = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    """normal noise from hashes of the key (Box-Muller), so reruns agree; within 0.1 and 1."""
+    noise = F.sqrt(-2 * F.log(_unit(key, "a"))) * F.cos(2 * F.pi() * _unit(key, "b"))
     return F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), strength + sigma * noise)), 4)
 
 
-def generation_stats(claims: DataFrame) -> DataFrame:
-    """Claims by label and way of corruption."""
-    return claims.groupBy("label").agg(F.count("*").alias("n"))
+def generation_counts(claims: DataFrame) -> DataFrame:
+    """(dim, key, n) of made claims (s, label, how): labels, ways of corruption, types of subjects."""
+    return distributions(claims, {"label": F.col("label"), "how": F.when(F.col("how").isNotNull(), F.array("how")), "type": U.entity_type(F.col("s"))})
+
+
+def generation_rates(claims: DataFrame, n_triples: int) -> DataFrame:
+    """One row: claims of either label, corruptions that worked or didn't (label refuted, with and
+    without `how`), and the rates in percent; without refuted claims the ratio is null."""
+    pct = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 4)
+    made = (F.col("label") == "supported") | F.col("how").isNotNull()
+    out = claims.agg(
+        F.count_if(F.col("label") == "supported").alias("n_supported"), F.count_if((F.col("label") == "refuted") & made).alias("n_refuted"),
+        F.count_if((F.col("label") == "refuted") & ~made).alias("n_failed"),
+    )
+    s, r, f = F.col("n_supported"), F.col("n_refuted"), F.col("n_failed")
+    return out.select("*", pct(r, r + f).alias("corruption_success"), pct(s + r, F.lit(n_triples)).alias("claim_rate"), F.round(F.try_divide(s.cast("double"), r), 4).alias("supported_to_refuted"))
 
 
 #: Phrases that open a weak item, and a second or later item of a stance.

@@ -86,17 +86,50 @@ def per_group_accuracy(df: DataFrame, group: str, pred: str = "pred", label: str
 
 
 def path_stats(df: DataFrame, path: str = "path", source: str = "source", pred: str = "pred", label: str = "label") -> DataFrame:
-    """Rows and accuracy of each decision path, overall and by source, in one pass of grouping sets."""
+    """Rows and accuracy of each decision path, overall (source null) and by source.
+
+    One pass of grouping sets; every path has a row under every source, with 0 rows and no accuracy
+    where it doesn't occur: the array of all paths is unfolded beside each source's counts.
+    """
     hit = (F.col(pred) == F.col(label)).cast("double")
-    sets = df.groupingSets([[F.col(path)], [F.col(source), F.col(path)], []], F.col(path), F.col(source))
-    return sets.agg(F.grouping(path).alias("all_paths"), F.grouping(source).alias("all_sources"), F.count("*").alias("n"), F.round(F.avg(hit), 4).alias("accuracy"))
+    sets = df.groupingSets([[F.col(path)], [F.col(source), F.col(path)]], F.col(path), F.col(source))
+    counts = sets.agg(F.grouping(source).alias("every"), F.count("*").alias("n"), F.avg(hit).alias("a"))
+    found = counts.groupBy("every", source).agg(F.map_from_entries(F.collect_list(F.struct(F.col(path), F.struct("n", "a")))).alias("by_path"))
+    rows = found.select(source, "by_path", F.explode(F.array(*map(F.lit, V.PATHS))).alias(path))
+    cell = F.try_element_at("by_path", F.col(path))
+    return rows.select(source, path, F.coalesce(cell["n"], F.lit(0)).alias("n"), F.round(cell["a"], 4).alias("accuracy"))
+
+
+def path_summary(df: DataFrame, path: str = "path") -> DataFrame:
+    """One row: decisions by the scores and by the learned head, and the former's percentage."""
+    symbolic = F.col(path).startswith("symbolic_")
+    out = df.agg(F.count_if(symbolic).alias("n_symbolic"), F.count_if(~symbolic).alias("n_learned"), F.count("*").alias("n"))
+    return out.withColumn("symbolic_pct", F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.col("n_symbolic"), F.col("n")), F.lit(0.0)), 1))
+
 
+def conflict_cases(df: DataFrame, key: str, path: str = "path", pred: str = "pred", label: str = "label") -> DataFrame:
+    """The predictions on conflicting scores, with scores at 4 digits and whether they are right."""
+    scores = (F.round(c, 4).alias(c) for c in ("support", "refute"))
+    return df.where(F.col(path) == "vh_conflict").select(key, "source", label, pred, *scores, (F.col(pred) == F.col(label)).alias("correct"))
 
-def layer_metrics(df: DataFrame, path: str = "path", pred: str = "pred", label: str = "label") -> DataFrame:
-    """Coverage and accuracy of the symbolic and of the learned layer."""
+
+def macro_f1(classes: tuple, pred: str = "pred", label: str = "label") -> Column:
+    """A24 as an aggregate over given classes; a class without hits has 0."""
+    both = lambda c: F.count_if((F.col(pred) == c) & (F.col(label) == c))
+    of = lambda c: F.coalesce(F.try_divide(F.lit(2.0) * both(c), F.count_if(F.col(pred) == c) + F.count_if(F.col(label) == c)), F.lit(0.0))
+    return F.round(sum((of(c) for c in classes), F.lit(0.0)) / len(classes), 4)
+
+
+def layer_metrics(df: DataFrame, classes: tuple, path: str = "path", pred: str = "pred", label: str = "label") -> DataFrame:
+    """Coverage, accuracy and macro F1 of the symbolic and of the learned layer."""
     layer = F.when(F.col(path).startswith("symbolic_"), F.lit("ec_symbolic")).otherwise(F.lit("verdicthead"))
-    each = df.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"), F.avg((F.col(pred) == F.col(label)).cast("double")).alias("a"))
-    return each.select("layer", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("coverage"), F.round("a", 4).alias("accuracy"))
+    each = df.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"), F.avg((F.col(pred) == F.col(label)).cast("double")).alias("a"), macro_f1(classes, pred, label).alias("macro_f1"))
+    return each.select("layer", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("coverage"), F.round("a", 4).alias("accuracy"), "macro_f1")
+
+
+def subset_metrics(df: DataFrame, classes: tuple, pred: str = "pred", label: str = "label") -> DataFrame:
+    """Rows, accuracy and macro F1 of a subset, such as the claims made to break shortcuts."""
+    return df.agg(F.count("*").alias("n"), F.round(F.avg((F.col(pred) == F.col(label)).cast("double")), 4).alias("accuracy"), macro_f1(classes, pred, label).alias("macro_f1"))
 
 
 def class_weights(df: DataFrame, classes: int, label: str = "label") -> DataFrame:
@@ -118,7 +151,7 @@ def majority(df: DataFrame, by: str, label: str) -> DataFrame:
 def failure_pattern(
     support: Column, refute: Column, pred: Column, label: Column, placeholder: Column, qa_format: Column, theta: float = 0.35, low: float = 0.20
 ) -> Column:
-    """Kind of each prediction: missing, right, against the scores, without scores, on
+    """A44 (fixed values: the names of the kinds): kind of each prediction: missing, right, against the scores, without scores, on
     placeholder or question-answer texts, or plainly wrong, in this order."""
     against = ((refute > theta) & (pred != "refuted")) | ((support > theta) & (pred != "supported"))
     return (

@@ -29,6 +29,23 @@ def by_decision(scores: DataFrame, theta: float = DECISION_THETA) -> DataFrame:
 
 
 MODELS: dict[str, Scorer] = {"thresholds": by_thresholds, "decision": by_decision}
+#: Models that are compared in pairs.
+MOST_MODELS = 1000
+
+
+def by_head(model) -> Scorer:
+    """The verdict of a fitted head (fit_verdict_head)."""
+    return lambda scores: apply_verdict_head(model, scores).drop("nei")
+
+
+def by_hybrid(model, theta: float = DECISION_THETA) -> Scorer:
+    """The decision path where the scores decide (F45), the fitted head's verdict elsewhere."""
+
+    def scored(scores: DataFrame) -> DataFrame:
+        both = with_decision_path(by_head(model)(scores).withColumnRenamed("pred", "_head"), theta)
+        return both.withColumn("pred", F.when(F.col("path").startswith("symbolic_"), F.col("final")).otherwise(F.col("_head"))).drop("_head", "final", "path")
+
+    return scored
 
 
 def verdict_head(seed: int = 42, epochs: int = 60) -> Pipeline:
@@ -84,8 +101,9 @@ def pass_rates(probes: DataFrame, by: str) -> DataFrame:
 
 
 def payload(items: DataFrame, scores: DataFrame, key: str = "claim_id", digits: int = 3) -> DataFrame:
-    """A prediction with its path, reason and sorted evidence breakdown, numbers rounded."""
-    r = lambda c: F.round(c, digits)
+    """A prediction with its path, reason and sorted evidence breakdown, numbers rounded half up
+    from their four decimal digits (as decimals, so that ties don't depend on binary fractions)."""
+    r = lambda c: F.round(F.col(c).cast("decimal(10,4)"), digits).cast("double")
     rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), F.col("source_id"), F.col("stance"), r("confidence").alias("confidence")))).alias("evidence"))
     reason = F.format_string("support %.4f, refute %.4f: %s", F.col("support"), F.col("refute"), F.col("path"))
     return with_decision_path(scores).join(rows, key).select(key, "final", "path", r("support").alias("support"), r("refute").alias("refute"), reason.alias("reason"), F.transform("evidence", lambda e: e.dropFields("rank")).alias("evidence"))
@@ -113,9 +131,18 @@ def parent_relations(objects: DataFrame, hanging: tuple[str, ...] = (), surfaces
     return up.join(kinds, "o").select("s", p.alias("p"), "o")
 
 
-def positions(claims: DataFrame, by: str = "split", order: str = "line_idx") -> DataFrame:
-    """Place of each kept claim among its split's graphs, from 0 (only kept ones are given, Q12)."""
-    return claims.withColumn("graph", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+def positions(claims: DataFrame, by: str = "split", order: str = "line_idx", cell: int = 100_000) -> DataFrame:
+    """Place of each kept claim among its split's graphs, from 0 (only kept ones are given, Q12).
+
+    order is a whole number, such as the line of a record. A split may hold most claims, so they are
+    ranked inside ranges of `cell` numbers and shifted by the counts of the ranges before.
+    """
+    celled = claims.withColumn("_cell", F.floor(F.col(order) / cell))
+    inside = Window.partitionBy(by, "_cell").orderBy(order)
+    before = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = celled.groupBy(by, "_cell").agg(F.count("*").alias("_n")).select(F.col(by).alias("_by"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = celled.withColumn("_r", F.row_number().over(inside)).join(sizes, F.col(by).eqNullSafe(F.col("_by")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    return ranked.select(*claims.columns, (F.col("_before") + F.col("_r") - 1).alias("graph"))
 
 
 def skipped(ids: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
@@ -130,9 +157,11 @@ def distinct_claims(corpus: DataFrame) -> DataFrame:
 
 
 def model_pairs(names: DataFrame, column: str = "model") -> DataFrame:
-    """Unordered pairs of the (few) models."""
-    other = names.select(F.col(column).alias("b"))
-    return names.select(F.col(column).alias("a")).join(other, F.col("a") < F.col("b"))
+    """Unordered pairs of the models, from one sorted list of up to MOST_MODELS (an error above that)."""
+    models = names.agg(F.sort_array(F.collect_set(column)).alias("ms"))
+    checked = F.when(F.size("ms") > MOST_MODELS, F.raise_error(F.lit(f"more than {MOST_MODELS} models"))).otherwise(F.col("ms"))
+    each = models.select(checked.alias("ms")).select("ms", F.posexplode("ms").alias("i", "a"))
+    return each.select("a", F.explode(F.slice("ms", F.col("i") + 2, F.size("ms"))).alias("b"))
 
 
 def extracted_json(text: Column, schema: str) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def distributions(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
-    """(dim, key, n) for several columns at once; array columns count each entry.
+def distributions(df: DataFrame, dims: dict[str, Column], split: Column | None = None) -> DataFrame:
+    """(dim, key, n) for several columns at once, by split if one is given; array columns count each entry.
 
     One pass: a row becomes a pair per dimension, and equal pairs meet in the partial aggregate.
     """
@@ -19,7 +19,40 @@ def distributions(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("dim"), F.coalesce(v, F.lit("null")).alias("key")))
 
     every = F.concat(*(pairs(n, c) for n, c in dims.items()))
-    return df.select(F.explode(every).alias("x")).groupBy("x.dim", "x.key").agg(F.count("*").alias("n"))
+    by = [] if split is None else [split.alias("split")]
+    return df.select(*by, F.explode(every).alias("x")).groupBy(*(["split"] if by else []), "x.dim", "x.key").agg(F.count("*").alias("n"))
+
+
+def unique_labels(df: DataFrame, label: str = "label") -> DataFrame:
+    """The labels that occur, in order."""
+    return df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label)
+
+
+def with_label(df: DataFrame, value: str, label: str = "label") -> DataFrame:
+    """One label's part of a table; written tables are better partitioned by the label."""
+    return df.where(F.col(label) == value)
+
+
+def split_profile(records: DataFrame) -> DataFrame:
+    """(split, dim, key, n) of v3.0 records: sources, verdicts, and modalities, stances and types of
+    their items, in one pass."""
+    split = F.coalesce("provenance.split", F.lit("null"))
+    types = lambda e: F.coalesce(e["evidence_types"], F.array().cast("array<string>"))
+    dims = {
+        "source": F.col("provenance.dataset"), "verdict": F.col("verdict.label"), "modality": F.transform("evidence", lambda e: e["modality"]),
+        "stance": F.transform("evidence", lambda e: e["stance"]), "type": F.flatten(F.transform("evidence", types)),
+    }
+    return distributions(records, dims, split)
+
+
+def split_averages(records: DataFrame) -> DataFrame:
+    """Per split the records, and the averages of items with a text and of claim triples."""
+    texts = F.size(F.filter(F.coalesce("evidence", F.array()), lambda e: F.trim(F.coalesce(e["text"], F.lit(""))) != ""))
+    triples = F.coalesce(F.size("claim_triples"), F.lit(0))
+    average = lambda c: F.round(F.sum(c) / F.count("*"), 2)
+    return records.groupBy(F.coalesce("provenance.split", F.lit("null")).alias("split")).agg(
+        F.count("*").alias("n"), average(texts).alias("avg_evidence"), average(F.when(F.col("claim_triples").isNull(), 0).otherwise(triples)).alias("avg_triples")
+    )
 
 
 def with_share(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:

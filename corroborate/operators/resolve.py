@@ -90,6 +90,11 @@ def enriched_registry(registry: DataFrame, curated: DataFrame) -> DataFrame:
     return registry.unionByName(entries.select(*(c for c in registry.columns if c in entries.columns)), allowMissingColumns=True)
 
 
+def trust_averages(registry: DataFrame) -> DataFrame:
+    """Mean and median trust of a registry."""
+    return registry.agg(F.round(F.avg("source_trust"), 4).alias("mean_trust"), F.round(F.median("source_trust"), 4).alias("median_trust"), F.count("*").alias("n"))
+
+
 def trust_ranges(registry: DataFrame) -> DataFrame:
     """Least and most trust of each source type."""
     return registry.groupBy("source_type").agg(F.min("source_trust").alias("min_trust"), F.max("source_trust").alias("max_trust"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import uris as U
@@ -17,8 +17,8 @@ def dedupe(triples: DataFrame, order: str | None = None) -> DataFrame:
     """Each triple once; with an order column, the first of its copies."""
     if order is None:
         return triples.dropDuplicates(SPO)
-    window = Window.partitionBy(*SPO).orderBy(order)
-    return triples.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*triples.columns), order).alias("x")  # copies meet in the partial aggregate
+    return triples.groupBy(*(F.col(c).alias(f"_{c}") for c in SPO)).agg(first).select("x.*")
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -131,3 +131,18 @@ def scene_triples(objects: DataFrame, ontology: DataFrame, base: str) -> DataFra
     links = objects.select(entity.alias("s"), F.explode("relations").alias("r")).select("s", F.col("r.predicate").alias("name"), U.mint(base, "entities", F.col("r.object")).alias("o"))
     mapped = data.unionByName(links).join(ontology.select("name", F.col("uri").alias("p")), "name").select(*SPO)
     return member.unionByName(kind).unionByName(mapped).distinct()
+
+
+def with_labels(triples: DataFrame, predicates: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Adds p_label and form by the lexicon of predicates (predicate, label, form), and s_label.
+
+    Triples with an unknown predicate are dropped. entities (entity, label) names subjects by their
+    local name; without an entry the label is that name in lower case.
+    """
+    known = predicates.select(F.col("predicate").alias("_p"), F.col("label").alias("p_label"), "form")
+    named = triples.join(known, U.relation_name(F.col("p")) == F.col("_p")).drop("_p")
+    local = U.short_uri(F.col("s"))
+    if entities is None:
+        return named.withColumn("s_label", F.lower(local))
+    labels = entities.select(F.col("entity").alias("_e"), F.col("label").alias("s_label"))
+    return named.join(labels, local == F.col("_e"), "left").drop("_e").withColumn("s_label", F.coalesce("s_label", F.lower(local)))

@@ -211,15 +211,38 @@ def web_issues() -> Column:
     )
 
 
+#: Rules of one dataset by its name, as an expression over a record's columns.
+DatasetRules = Callable[[], Column]
+_DATASET_RULES: dict[str, DatasetRules] = {"ai2thor": simulator_issues, "averitec": web_issues}
+
+
+def register_rules(dataset: str, rules: DatasetRules) -> None:
+    """The rules that records of a dataset must follow besides the shared ones."""
+    _DATASET_RULES[dataset] = rules
+
+
+def dataset_issues(dataset: Column) -> Column:
+    """The issues by the rules of a record's dataset; none where it has no rules."""
+    found = F.array().cast(f"array<{ISSUE}>")
+    for name, rules in _DATASET_RULES.items():
+        found = F.when(dataset == name, rules()).otherwise(found)
+    return found
+
+
+def missing_fields(records: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """Adds n_missing_fields, the required columns that a record has null or that aren't there."""
+    absent = [F.col(c).isNull().cast("int") if c in records.columns else F.lit(1) for c in required]
+    return records.withColumn("n_missing_fields", sum(absent, F.lit(0)))
+
+
 def validated(records: DataFrame) -> DataFrame:
     """Adds issues (all families), is_valid (no error) and quality (F44; 0 for a record without text)."""
     shared = F.concat(schema_issues(), semantic_issues(), text_issues(F.col("claim")), consistency_issues())
-    dataset = F.when(F.col("provenance.dataset") == "ai2thor", simulator_issues()).when(F.col("provenance.dataset") == "averitec", web_issues())
     out = records.withColumn("issues", shared)
     return (
         out.withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
         .withColumn("quality", quality_score(F.col("claim"), F.col("issues")))
-        .withColumn("dataset_issues", F.coalesce(dataset, F.array().cast(f"array<{ISSUE}>")))
+        .withColumn("dataset_issues", dataset_issues(F.col("provenance.dataset")))
     )
 
 

@@ -120,12 +120,13 @@ LOCAL = "regexp_extract(replace({x}, '%7C', '|'), '([^#/]*)$', 1)"
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits of ten classes from the first ten numbers of a vector, and the label."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
+    """Logits of ten classes, each the sum of every tenth number of a vector, and the label."""
+    every_tenth = lambda k: F.filter("embedding", lambda x, i: i % 10 == k)
+    logits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.aggregate(every_tenth(k), F.lit(0.0), lambda a, x: a + x.cast("double")) * 10)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), logits.alias("logits"), F.concat(F.lit("g"), (F.col("vec_id") % 4).cast("string")).alias("source"))
 
 
-PRED = """pr0 AS (SELECT vec_id, CAST(label AS INTEGER) AS label, [CAST(x AS DOUBLE) * 10 FOR x IN embedding[1:10]] AS logits, 'g' || CAST(vec_id % 4 AS VARCHAR) AS source FROM embeddings),
+PRED = """pr0 AS (SELECT vec_id, CAST(label AS INTEGER) AS label, [list_sum([CAST(x AS DOUBLE) FOR x IN embedding[k:len(embedding):10]]) * 10 FOR k IN range(1, 11)] AS logits, 'g' || CAST(vec_id % 4 AS VARCHAR) AS source FROM embeddings),
 pr AS (SELECT vec_id, label, logits, source, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred, exp(0) / list_sum([exp(x - list_max(logits)) FOR x IN logits]) AS conf FROM pr0)"""
 
 

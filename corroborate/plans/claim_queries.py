@@ -170,27 +170,11 @@ def schema_gate(spark, d):
     return kept.select(F.lit("kept").alias("what"), "id").unionByName(dropped.select(F.lit("dropped").alias("what"), "id")).groupBy("what").agg(F.count("*").alias("n"))
 
 
-def record_issues(spark, d):
-    checked = X.validated(C.web_claims(_web_raw(spark, d), B.web_registry(spark)))
-    both = checked.select(F.concat("issues", "dataset_issues").alias("issues"))
-    return X.issue_counts(both)
-
-
 def answer_text(spark, d):
     e = converted_evidence(spark, d)
     return e.select("evidence_id", W.answer_only(F.col("text")).alias("answer"))
 
 
-def template_claims(spark, d):
-    n = 200
-    return G.synthetic_claims(spark, n)
-
-
-def batch_report(spark, d):
-    c = G.synthetic_claims(spark, 200)
-    return X.batch_report(c.select("id", "verdict", F.col("expected").alias("recomputed"), "is_shortcut_breaking", F.lit(0).alias("n_missing_fields")))
-
-
 def ntriples(spark, d):
     t = B.table(spark, d, "nation").select(F.concat(F.lit(f"{B.BASE}/entities/nation_"), F.col("n_nationkey").cast("string")).alias("s"), F.lit(f"{B.BASE}/relations/name").alias("p"), F.col("n_name").alias("o"))
     return t.select(R.ntriples_line(F.col("s"), F.col("p"), F.col("o")).alias("line"))
@@ -205,7 +189,7 @@ def embedding_cache(spark, d):
 
 _WORDS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 _COMMON = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
-_TXT = f"""{B.CL}, tx AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM cl),
+_RULES = f"""tx AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM cl),
 iss AS (SELECT doc_id, text, CASE WHEN t = '' THEN ['V8'] ELSE list_filter([
   CASE WHEN length(t) < 10 THEN 'V9' END, CASE WHEN length(t) > 250 THEN 'V10' END, CASE WHEN NOT regexp_matches(t, '[.!?]$') THEN 'V11' END,
   CASE WHEN NOT regexp_matches(substr(t, 1, 1), '^\\p{{Lu}}$') THEN 'V12' END, CASE WHEN len({_WORDS.format(x="lower(t)")}) < 3 THEN 'V13' END,
@@ -214,6 +198,9 @@ iss AS (SELECT doc_id, text, CASE WHEN t = '' THEN ['V8'] ELSE list_filter([
   CASE WHEN contains(lower(t), 'is temperature') THEN 'V17' END, CASE WHEN contains(lower(t), ' is true.') THEN 'V17' END, CASE WHEN contains(lower(t), ' is false.') THEN 'V17' END], lambda r: r IS NOT NULL) END AS rules FROM tx),
 qs AS (SELECT doc_id, round(greatest(0.0, least(1.0, 1 - list_sum([CASE WHEN r IN ('V8', 'V15') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END FOR r IN rules]) + CASE WHEN length(text) BETWEEN 10 AND 150 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[.!?]\\n?$') THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN len({_WORDS.format(x="text")}) >= 5 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS quality FROM (SELECT doc_id, text, CASE WHEN len(rules) = 0 THEN ['none'] ELSE rules END AS rules0, rules FROM iss)),
 bk AS (SELECT doc_id, quality, CASE WHEN quality >= 0.9 THEN 'excellent' WHEN quality >= 0.7 THEN 'good' WHEN quality >= 0.5 THEN 'fair' ELSE 'poor' END AS bucket FROM qs)""".replace("list_sum([CASE", "coalesce(list_sum([CASE").replace("FOR r IN rules])", "FOR r IN rules]), 0)")
+#: SQL: tables of text rules by doc_id (tx, iss, qs, bk) over a table cl (doc_id, text).
+SHARED_TEXT_RULES = _RULES
+_TXT = f"{B.CL}, {_RULES}"
 _CLASS = f"{B.PRED}, sp AS (SELECT CAST(k AS INTEGER) AS class FROM range(10) t(k)), cc AS (SELECT class, (SELECT count(*) FROM pr WHERE label = class) AS support, (SELECT count(*) FROM pr WHERE pred = class) AS predicted, (SELECT count(*) FROM pr WHERE pred = class AND label = class) AS tp FROM sp), pc AS (SELECT class, support, CASE WHEN predicted = 0 THEN 0.0 ELSE tp::DOUBLE / predicted END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END AS r FROM cc), pf AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f FROM pc)"
 _MD5 = "md5('42-' || CAST({k} AS VARCHAR))"
 _STRAT = f"{B.CL}, rk AS (SELECT doc_id, label, lang, row_number() OVER (PARTITION BY label ORDER BY {_MD5.format(k='doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM cl), ss AS (SELECT doc_id, label, lang, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM rk)"
@@ -258,10 +245,7 @@ QUERIES = {
     "converted_claims": (converted_claims, f"WITH {_CONV} SELECT id, label, CASE i % 3 WHEN 0 THEN 'spatial_comparison' WHEN 1 THEN 'multi_hop_inference' ELSE 'testimonial_lookup' END AS strategy, array_to_string(list_sort(list_distinct(flatten(list(list_filter(string_split(types, ','), lambda w: w <> ''))))), ',') AS types, count(*) AS n FROM fi2 GROUP BY i, id, label"),
     "converted_evidence": (converted_evidence, f"WITH {_CONV} SELECT id || '-q1-a' || CAST(a AS VARCHAR) AS evidence_id, modality, stance, source_id, inference_strength, types, text FROM fi2"),
     "schema_gate": (schema_gate, f"WITH {_CONV} SELECT 'kept' AS what, count(DISTINCT id) AS n FROM fi2"),
-    "record_issues": (record_issues, None),
     "answer_text": (answer_text, f"WITH {_CONV} SELECT id || '-q1-a' || CAST(a AS VARCHAR) AS evidence_id, substr(text, 29) AS answer FROM fi2"),
-    "template_claims": (template_claims, None),
-    "batch_report": (batch_report, "SELECT 200::BIGINT AS n, 90::BIGINT AS n_shortcut, 0::BIGINT AS n_missing, 0::BIGINT AS n_mismatch, 0.45::DOUBLE AS shortcut_fraction, true AS passed"),
     "ntriples": (ntriples, f"SELECT '<{B.BASE}/entities/nation_' || CAST(n_nationkey AS VARCHAR) || '> <{B.BASE}/relations/name> \"' || n_name || '\" .' AS line FROM nation"),
     "embedding_cache": (embedding_cache, f"WITH {B.CL}, h AS (SELECT DISTINCT text FROM cl WHERE doc_id % 3 = 0) SELECT 'hits' AS what, count(*) AS n FROM cl WHERE text IN (SELECT text FROM h) UNION ALL SELECT 'misses', count(DISTINCT text) FROM cl WHERE text NOT IN (SELECT text FROM h)"),
 }

@@ -52,32 +52,53 @@ def decision_path(spark, d):
 
 
 def _judged(spark, d):
-    """Claims with verdict as label, decision as prediction, and the parity of the user as source."""
+    """Claims with verdict as label, decision as prediction, sources by user, and three flags: made to
+    break shortcuts, placeholder texts, question-answer texts."""
     s = E.with_decision_path(_scores(spark, d).withColumn("label", formula.verdict(F.col("support"), F.col("refute"))))
     user = F.substring_index("claim_id", "-", 1).cast("long")
-    return s.withColumn("source", F.concat(F.lit("s"), (user % 3).cast("string"))).withColumnRenamed("final", "pred")
+    flags = {"is_shortcut_breaking": user % 4 == 0, "placeholder": user % 7 == 0, "qa_format": user % 5 == 0}
+    return s.withColumn("source", F.concat(F.lit("s"), (user % 3).cast("string"))).withColumns(flags).withColumnRenamed("final", "pred")
 
 
 JUDGED = f"""{B.SCORES}, judged AS (SELECT claim_id, support, refute, {B.VERDICT} AS label, {B.PATH} AS path,
   CASE {B.PATH} WHEN 'symbolic_supported' THEN 'supported' WHEN 'symbolic_refuted' THEN 'refuted' ELSE 'not_enough_evidence' END AS pred,
-  's' || CAST(CAST(split_part(claim_id, '-', 1) AS BIGINT) % 3 AS VARCHAR) AS source FROM scores)"""
+  's' || CAST(u % 3 AS VARCHAR) AS source, u % 4 = 0 AS is_shortcut_breaking, u % 7 = 0 AS placeholder, u % 5 = 0 AS qa_format FROM (SELECT *, CAST(split_part(claim_id, '-', 1) AS BIGINT) AS u FROM scores))"""
+_LABELS = ("supported", "refuted", "not_enough_evidence", "conflicting_evidence")
+
+
+def _macro_f1(of: str, by: str) -> str:
+    """SQL: (by, macro_f1) of the rows of a table with pred and label, over all verdicts."""
+    each = " UNION ALL ".join(
+        f"SELECT {by} AS k, CASE WHEN count(*) FILTER (pred = '{v}' OR label = '{v}') = 0 OR count(*) FILTER (pred = '{v}' AND label = '{v}') = 0 THEN 0.0 "
+        f"ELSE 2.0 * count(*) FILTER (pred = '{v}' AND label = '{v}') / (count(*) FILTER (pred = '{v}') + count(*) FILTER (label = '{v}')) END AS f FROM {of} GROUP BY 1"
+        for v in _LABELS
+    )
+    return f"SELECT k, round(avg(f), 4) AS macro_f1 FROM ({each}) GROUP BY 1"
 
 
 def path_stats(spark, d):
     return M.path_stats(_judged(spark, d))
 
 
+def path_summary(spark, d):
+    return M.path_summary(_judged(spark, d))
+
+
+def conflict_cases(spark, d):
+    return M.conflict_cases(_judged(spark, d), "claim_id")
+
+
 def layer_metrics(spark, d):
-    return M.layer_metrics(_judged(spark, d))
+    return M.layer_metrics(_judged(spark, d), V.VERDICTS)
 
 
 def failure_patterns(spark, d):
-    kind = M.failure_pattern(F.col("support"), F.col("refute"), F.col("pred"), F.col("label"), F.lit(False), F.lit(False))
+    kind = M.failure_pattern(F.col("support"), F.col("refute"), F.col("pred"), F.col("label"), F.col("placeholder"), F.col("qa_format"))
     return _judged(spark, d).groupBy(kind.alias("pattern")).agg(F.count("*").alias("n"))
 
 
 def shortcut_subset(spark, d):
-    return M.per_group_accuracy(_judged(spark, d).where(F.col("support") > F.col("refute")), "source")
+    return M.subset_metrics(_judged(spark, d).where("is_shortcut_breaking"), V.VERDICTS)
 
 
 def model_deltas(spark, d):
@@ -175,6 +196,10 @@ def trust_ranges(spark, d):
     return R.trust_ranges(B.registry(spark))
 
 
+def trust_averages(spark, d):
+    return R.trust_averages(B.registry(spark))
+
+
 def trust_update(spark, d):
     e = B.evidence(spark, d).groupBy("source_id").agg(F.count_if(F.col("stance") == "supports").alias("c"), F.count("*").alias("n"))
     return e.select("source_id", F.round(formula.updated_trust(F.lit(2.0), F.lit(2.0), F.col("c"), F.col("n")), 4).alias("trust"))
@@ -218,10 +243,12 @@ QUERIES = {
     "raw_scores": (raw_scores, f"WITH {B.ITEMS}, x AS (SELECT claim_id, 1 - coalesce(product(1 - confidence) FILTER (stance = 'supports'), 1.0) AS s, 1 - coalesce(product(1 - confidence) FILTER (stance = 'refutes'), 1.0) AS r FROM items GROUP BY 1) SELECT claim_id, round(s, 6) AS support, round(r, 6) AS refute, round(1 - greatest(s, r), 6) AS nei FROM x"),
     "soft_scores": (soft_scores, f"WITH {B.ITEMS}, x AS (SELECT claim_id, 1 - product(1 - confidence * CASE stance WHEN 'supports' THEN 0.8::DOUBLE WHEN 'refutes' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END) AS s, 1 - product(1 - confidence * CASE stance WHEN 'supports' THEN 0.1::DOUBLE WHEN 'refutes' THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END) AS r FROM items GROUP BY 1) SELECT claim_id, round(s, 6) AS support, round(r, 6) AS refute, round(1 - greatest(s, r), 6) AS nei FROM x"),
     "decision_path": (decision_path, f"WITH {JUDGED} SELECT claim_id, path, pred AS final FROM judged"),
-    "path_stats": (path_stats, f"WITH {JUDGED} SELECT path, source, CAST(grouping(path) AS TINYINT) AS all_paths, CAST(grouping(source) AS TINYINT) AS all_sources, count(*) AS n, round(avg(CAST(pred = label AS DOUBLE)), 4) AS accuracy FROM judged GROUP BY GROUPING SETS ((path), (source, path), ())"),
-    "layer_metrics": (layer_metrics, f"WITH {JUDGED} SELECT CASE WHEN path LIKE 'symbolic%' THEN 'ec_symbolic' ELSE 'verdicthead' END AS layer, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM judged), 4) AS coverage, round(avg(CAST(pred = label AS DOUBLE)), 4) AS accuracy FROM judged GROUP BY 1"),
-    "failure_patterns": (failure_patterns, f"WITH {JUDGED} SELECT CASE WHEN pred = label THEN 'correct' WHEN (refute > 0.35 AND pred <> 'refuted') OR (support > 0.35 AND pred <> 'supported') THEN 'ec_override_fix' WHEN greatest(support, refute) < 0.20 THEN 'all_neutral_ec' ELSE 'genuine_error' END AS pattern, count(*) AS n FROM judged GROUP BY 1"),
-    "shortcut_subset": (shortcut_subset, f"WITH {JUDGED} SELECT source, round(avg(CAST(pred = label AS DOUBLE)), 4) AS accuracy, count(*) AS support FROM judged WHERE support > refute GROUP BY 1"),
+    "path_stats": (path_stats, f"WITH {JUDGED}, ks AS (SELECT unnest(['symbolic_supported', 'symbolic_refuted', 'vh_conflict', 'vh_fallback']) AS path), sr AS (SELECT DISTINCT source FROM judged UNION ALL SELECT NULL), c AS (SELECT path, source, count(*) AS n, avg(CAST(pred = label AS DOUBLE)) AS a FROM judged GROUP BY GROUPING SETS ((path), (source, path))) SELECT sr.source, ks.path, coalesce(c.n, 0) AS n, round(a, 4) AS accuracy FROM ks CROSS JOIN sr LEFT JOIN c ON c.path = ks.path AND c.source IS NOT DISTINCT FROM sr.source"),
+    "path_summary": (path_summary, f"WITH {JUDGED} SELECT count(*) FILTER (path LIKE 'symbolic%') AS n_symbolic, count(*) FILTER (path LIKE 'vh%') AS n_learned, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (path LIKE 'symbolic%') / count(*), 1) AS symbolic_pct FROM judged"),
+    "conflict_cases": (conflict_cases, f"WITH {JUDGED} SELECT claim_id, source, label, pred, support, refute, pred = label AS correct FROM judged WHERE path = 'vh_conflict'"),
+    "layer_metrics": (layer_metrics, f"WITH {JUDGED}, ly AS (SELECT *, CASE WHEN path LIKE 'symbolic%' THEN 'ec_symbolic' ELSE 'verdicthead' END AS layer FROM judged), f AS ({_macro_f1('ly', 'layer')}) SELECT layer, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM judged), 4) AS coverage, round(avg(CAST(pred = label AS DOUBLE)), 4) AS accuracy, max(macro_f1) AS macro_f1 FROM ly JOIN f ON f.k = layer GROUP BY 1"),
+    "failure_patterns": (failure_patterns, f"WITH {JUDGED} SELECT CASE WHEN pred = label THEN 'correct' WHEN (refute > 0.35 AND pred <> 'refuted') OR (support > 0.35 AND pred <> 'supported') THEN 'ec_override_fix' WHEN greatest(support, refute) < 0.20 THEN 'all_neutral_ec' WHEN placeholder THEN 'placeholder_ev' WHEN qa_format THEN 'qa_format_ev' ELSE 'genuine_error' END AS pattern, count(*) AS n FROM judged GROUP BY 1"),
+    "shortcut_subset": (shortcut_subset, f"WITH {JUDGED}, sb AS (SELECT * FROM judged WHERE is_shortcut_breaking), f AS ({_macro_f1('sb', 'true')}) SELECT count(*) AS n, round(avg(CAST(pred = label AS DOUBLE)), 4) AS accuracy, (SELECT macro_f1 FROM f) AS macro_f1 FROM sb"),
     "model_deltas": (model_deltas, f"WITH {JUDGED}, a AS (SELECT path, avg(CAST(pred = label AS DOUBLE)) AS v FROM judged WHERE source = 's0' GROUP BY 1), b AS (SELECT path, avg(CAST(pred = label AS DOUBLE)) AS v FROM judged WHERE source = 's1' GROUP BY 1) SELECT coalesce(a.path, b.path) AS metric, round(a.v, 4) AS a, round(b.v, 4) AS b, round(b.v - a.v, 4) AS delta FROM a FULL JOIN b ON a.path = b.path"),
     "probe_pairs": (probe_pairs, f"WITH {B.SCORES}, x AS (SELECT split_part(claim_id, '-', 1) AS user, substr(claim_id, instr(claim_id, '-') + 1) AS day, support FROM scores) SELECT a.user, a.day AS day_a, round(b.support - a.support, 4) AS delta FROM x a JOIN x b ON a.user = b.user AND CAST(a.day AS DATE) + 1 = CAST(b.day AS DATE)"),
     "claim_types": (claim_types, f"WITH {B.EV}, {_TYPES} SELECT claim_id, types FROM tp"),
@@ -241,6 +268,7 @@ QUERIES = {
     "registry_gaps": (registry_gaps, f"WITH {B.REG} SELECT DISTINCT source_type || '_' || modality AS source_id FROM reg r WHERE NOT EXISTS (SELECT 1 FROM reg x WHERE x.source_id = r.source_type || '_' || r.modality)"),
     "registry_search": (registry_search, f"WITH {B.REG} SELECT source_id, source_trust, source_type, modality FROM reg WHERE (lower(source_id) LIKE '%s%' OR lower(source_name) LIKE '%s%' OR lower(source_type) LIKE '%s%') AND modality IN ('web_text', 'pdf') AND source_trust BETWEEN 0.4 AND 0.8 ORDER BY source_trust DESC, source_id LIMIT 20"),
     "trust_ranges": (trust_ranges, f"WITH {B.REG} SELECT source_type, min(source_trust) AS min_trust, max(source_trust) AS max_trust FROM reg GROUP BY 1"),
+    "trust_averages": (trust_averages, f"WITH {B.REG} SELECT round(avg(source_trust), 4) AS mean_trust, round(median(source_trust), 4) AS median_trust, count(*) AS n FROM reg"),
     "trust_update": (trust_update, f"WITH {B.EV} SELECT source_id, round((2.0::DOUBLE + count(*) FILTER (stance = 'supports')) / (4.0::DOUBLE + count(*)), 4) AS trust FROM ev GROUP BY 1"),
     "source_category_counts": (source_category_counts, f"WITH {B.EV}, {B.REG} SELECT CASE source_type WHEN 'news_media' THEN 'news_media' WHEN 'government' THEN 'government' WHEN 'scientific_paper' THEN 'academic' WHEN 'social_media' THEN 'social_media' WHEN 'sensor' THEN 'sensor' ELSE 'unknown' END AS category, count(*) AS n FROM ev LEFT JOIN reg USING (source_id) GROUP BY 1"),
     "resolve_source": (resolve_source, f"WITH {B.WEB} SELECT page_id, domain, modality, source_id FROM resolved"),

@@ -72,7 +72,7 @@ def extracted_json(spark, d):
 
 
 def prompts(spark, d):
-    t = B.turns(spark, d).where("ord < 2").groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.substring("text", 1, 20).alias("t")))), lambda x: x["t"]).alias("ev"))
+    t = B.turns(spark, d).groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("t")))), lambda x: x["t"]).alias("ev"))
     return t.select("claim_id", F.sha2(O.prompt(F.lit("it holds"), F.col("ev")), 256).alias("hash"))
 
 
@@ -109,6 +109,7 @@ def _flip(t: str) -> str:
     return f"SELECT '{t}' AS type, claim_id, {side('supports')} AS support, {side('refutes')} AS refute FROM items GROUP BY claim_id"
 
 
+_UNIT = "(CAST(('0x' || substr(md5('{salt}-' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)::DOUBLE + 1) / 4294967296.0::DOUBLE"
 _LABELLED = f"{B.SCORES}, lb AS (SELECT *, {B.VERDICT} AS label FROM scores)"
 _AT = "CASE WHEN support > {t} AND refute > {t} THEN 'not_enough_evidence' WHEN support > {t} THEN 'supported' WHEN refute > {t} THEN 'refuted' ELSE 'not_enough_evidence' END"
 
@@ -124,10 +125,10 @@ QUERIES = {
     "model_pairs": (model_pairs, "WITH m AS (SELECT DISTINCT o_orderpriority AS x FROM orders) SELECT a.x AS a, b.x AS b FROM m a JOIN m b ON a.x < b.x"),
     "parent_relations": (parent_relations, "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS s, CASE WHEN n_regionkey % 2 = 0 THEN 'onTopOf' ELSE 'inside' END AS p, 'r' || CAST(n_regionkey AS VARCHAR) AS o FROM nation"),
     "extracted_json": (extracted_json, "SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
-    "prompts": (prompts, f"WITH {B.TURN} SELECT claim_id, sha256('Claim: it holds' || chr(10) || 'Evidence:' || chr(10) || string_agg(CAST(i + 1 AS VARCHAR) || '. ' || substr(text, 1, 20), chr(10) ORDER BY ord)) AS hash FROM tn WHERE ord < 2 GROUP BY 1"),
+    "prompts": (prompts, f"WITH {B.TURN} SELECT claim_id, sha256('Claim: it holds' || chr(10) || 'Evidence:' || chr(10) || string_agg(CAST(i + 1 AS VARCHAR) || '. ' || text, chr(10) ORDER BY ord)) AS hash FROM tn GROUP BY 1"),
     "latest_runs": (latest_runs, "SELECT event_type AS model, arg_max(event_id, ts) AS run_id FROM events GROUP BY 1"),
-    "prediction_payload": (prediction_payload, f"WITH {_LABELLED}, k AS (SELECT claim_id, count(*) AS n, max(round(confidence, 3)) AS top FROM items GROUP BY 1) SELECT claim_id, {_AT.format(t='0.35::DOUBLE')} AS final, printf('support %.4f, refute %.4f: %s', support, refute, {B.PATH}) AS reason, n, top FROM lb JOIN k USING (claim_id)"),
+    "prediction_payload": (prediction_payload, f"WITH {_LABELLED}, k AS (SELECT claim_id, count(*) AS n, max(CAST(round(CAST(confidence AS DECIMAL(10,4)), 3) AS DOUBLE)) AS top FROM items GROUP BY 1) SELECT claim_id, {_AT.format(t='0.35::DOUBLE')} AS final, printf('support %.4f, refute %.4f: %s', support, refute, {B.PATH}) AS reason, n, top FROM lb JOIN k USING (claim_id)"),
     "verdict_head": (verdict_head, None),
-    "jittered_strength": (jittered_strength, None),
+    "jittered_strength": (jittered_strength, f"WITH {B.EV}, u AS (SELECT event_id, inference_strength AS x, {_UNIT.format(salt='a')} AS a, {_UNIT.format(salt='b')} AS b FROM ev) SELECT event_id, round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, x + 0.05::DOUBLE * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)))), 4) AS strength FROM u"),
     "valid_timestamps": (valid_timestamps, "SELECT event_id % 9 <> 0 AS valid, count(*) AS n FROM events GROUP BY 1"),
 }

@@ -46,7 +46,7 @@ def triples_by_predicate(spark, d):
 
 
 def triples_by_subject(spark, d):
-    t = T.group_by(B.triples(spark, d).where(F.col("p") != f"{REL}/placedBy"), "subject")
+    t = T.group_by(B.triples(spark, d), "subject")
     return t.select("key", F.size("triples").cast("long").alias("n"), F.array_join(F.transform("triples", lambda x: x["o"]), ",").alias("objects"))
 
 
@@ -73,7 +73,7 @@ def build_stats(spark, d):
 
 
 def uri_local_name(spark, d):
-    return B.triples(spark, d).where("ord % 7 = 0").select("ord", U.short_uri(F.col("s")).alias("s"), U.relation_name(F.col("p")).alias("p"), U.short_uri(F.col("o")).alias("o"))
+    return B.triples(spark, d).select("ord", U.short_uri(F.col("s")).alias("s"), U.relation_name(F.col("p")).alias("p"), U.short_uri(F.col("o")).alias("o"))
 
 
 def entity_types(spark, d):
@@ -98,8 +98,7 @@ def _rules(spark):
 
 
 def corrupt_candidates(spark, d):
-    t = B.triples(spark, d).where(~F.col("p").isin(f"{REL}/inScene", f"{REL}/hasObject"))
-    return G.corruption_candidates(t, _rules(spark)).groupBy("how", U.relation_name(F.col("p")).alias("rel")).agg(F.count("*").alias("n"))
+    return G.corruption_candidates(B.triples(spark, d), _rules(spark)).groupBy("how", U.relation_name(F.col("p")).alias("rel")).agg(F.count("*").alias("n"))
 
 
 def generated_claims(spark, d):
@@ -107,9 +106,33 @@ def generated_claims(spark, d):
 
 
 def conjunction_claims(spark, d):
-    t = B.triples(spark, d).where(F.col("p").isin(f"{REL}/mass", f"{REL}/temperature"))
-    c = G.conjunction_claims(t, _rules(spark))
-    return c.groupBy("mode", "label").agg(F.count("*").alias("n"))
+    return G.conjunction_claims(B.triples(spark, d), _rules(spark))
+
+
+def _made(spark, d):
+    """Every usable triple as a claim, and every attempt to corrupt one, with the way or none."""
+    t = B.triples(spark, d).dropDuplicates(["s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("s", "p", "o")
+    tried = t.join(G.corruption_candidates(t, _rules(spark)).select("s", "p", "o", "how"), ["s", "p", "o"], "left").withColumn("label", F.lit("refuted"))
+    return t.withColumn("how", F.lit(None).cast("string")).withColumn("label", F.lit("supported")).unionByName(tried)
+
+
+def generation_counts(spark, d):
+    return G.generation_counts(_made(spark, d))
+
+
+def generation_rates(spark, d):
+    return G.generation_rates(_made(spark, d), 1000)
+
+
+def context_claims(spark, d):
+    keyed = T.by_context(B.triples(spark, d), "contexts")
+    return G.context_claims(G.first_contexts(keyed.withColumnRenamed("key", "context"), 3).withColumnRenamed("context", "key"), _rules(spark), 20)
+
+
+def structured_claims(spark, d):
+    claims = G.negation_claims(B.triples(spark, d)).select("s", "label", F.lit("negation").alias("structural"))
+    claims = claims.unionByName(G.conjunction_claims(B.triples(spark, d), _rules(spark)).select("s", "label", F.lit("conjunction").alias("structural")))
+    return G.with_structure(claims, "negation", ("refuted",)).groupBy("structural", "label").agg(F.count("*").alias("n"))
 
 
 def negation_claims(spark, d):
@@ -118,16 +141,22 @@ def negation_claims(spark, d):
 
 
 def _present(spark, d):
+    """What each order (a context) holds: names of parts, and true or none where a flag leaked in."""
     li = B.table(spark, d, "lineitem").join(B.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.where("l_quantity > 48").select((F.col("l_suppkey") % 10).cast("string").alias("context"), F.col("p_name").alias("object_type")).distinct()
+    return li.select(F.col("l_orderkey").cast("string").alias("context"), F.col("p_name").alias("object_type")).distinct()
+
+
+def _types(spark, d):
+    leaked = spark.createDataFrame([("True",), (" none ",)], "object_type string")
+    return B.table(spark, d, "part").select(F.col("p_name").alias("object_type")).union(leaked)
 
 
 def absent_types(spark, d):
-    return G.absent_types(B.table(spark, d, "part").select(F.col("p_name").alias("object_type")), _present(spark, d))
+    return G.absent_types(_types(spark, d), _present(spark, d))
 
 
 def absence_claims(spark, d):
-    return G.absence_claims(B.table(spark, d, "part").select(F.col("p_name").alias("object_type")), _present(spark, d), 3)
+    return G.absence_claims(_types(spark, d), _present(spark, d), 3)
 
 
 def semantic_map(spark, d):
@@ -137,16 +166,14 @@ def semantic_map(spark, d):
 
 
 def _lexed(spark, d):
-    """Part triples with the predicate's form and label."""
-    t = B.triples(spark, d).where(F.col("p").isin(f"{REL}/temperature", f"{REL}/mass", f"{REL}/isUrgent"))
-    name = U.relation_name(F.col("p"))
-    form = F.when(name == "temperature", "prop_value").when(name == "mass", "prop_verb").otherwise("adj")
-    label = F.when(name == "temperature", "temperature").when(name == "mass", "weighs").otherwise("urgent")
-    subject = F.lower(F.translate(U.short_uri(F.col("s")), "|_", "  "))
-    return t.select("ord", subject.alias("s"), label.alias("p"), F.col("o"), form.alias("form"))
+    """Triples whose predicate the lexicon knows, with its form and label, and the subject's label."""
+    predicates = spark.createDataFrame([("temperature", "temperature", "prop_value"), ("mass", "weighs", "prop_verb"), ("isUrgent", "urgent", "adj")], "predicate string, label string, form string")
+    entities = spark.createDataFrame([("Part|1", "first part"), ("order_1", "first order")], "entity string, label string")
+    t = T.with_labels(B.triples(spark, d), predicates, entities)
+    return t.select("ord", F.translate("s_label", "|_", "  ").alias("s"), F.col("p_label").alias("p"), "o", "form")
 
 
-LEX = f"""{B.TR}, lx AS (SELECT ord, lower(translate({B.LOCAL.format(x='s')}, '|_', '  ')) AS s, regexp_extract(p, '([^/]*)$', 1) AS rel, o FROM tr
+LEX = f"""{B.TR}, lx AS (SELECT ord, CASE {B.LOCAL.format(x='s')} WHEN 'Part|1' THEN 'first part' WHEN 'order_1' THEN 'first order' ELSE lower(translate({B.LOCAL.format(x='s')}, '|_', '  ')) END AS s, regexp_extract(p, '([^/]*)$', 1) AS rel, o FROM tr
   WHERE p IN ('{REL}/temperature', '{REL}/mass', '{REL}/isUrgent')), st AS (SELECT ord, s, rel, CASE rel
   WHEN 'temperature' THEN 'The ' || s || ' is ' || CASE o WHEN 'Hot' THEN 'hot' WHEN 'Cold' THEN 'cold' ELSE 'at room temperature' END || '.'
   WHEN 'mass' THEN 'The ' || s || ' weighs ' || o || ' kg.' ELSE 'The ' || s || CASE WHEN o = 'false' THEN ' is not urgent.' ELSE ' is urgent.' END END AS sentence FROM lx)"""
@@ -158,8 +185,12 @@ def realize_triples(spark, d):
 
 def realize_conjunction(spark, d):
     t = _lexed(spark, d).withColumn("sentence", Z.triple_text(F.col("s"), F.col("p"), F.col("o"), F.col("form"))).where("form <> 'adj'")
-    a, b = t.where("form = 'prop_value'").select("s", F.col("sentence").alias("one")), t.where("form = 'prop_verb'").select(F.col("s").alias("s2"), F.col("sentence").alias("two"))
-    return a.join(b, F.col("s") == F.col("s2")).select("s", Z.joined_text(F.col("one"), F.col("two"), F.lit(True), F.col("s")).alias("sentence"))
+    heat, mass = t.where("form = 'prop_value'"), t.where("form = 'prop_verb'")
+    part = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("long")
+    # a part's weight and its heat, and a part's weight and the heat of the next one
+    pairs = mass.select(F.col("s").alias("a"), F.col("sentence").alias("one"), F.explode(F.array(part(F.col("s")), part(F.col("s")) + 1)).alias("n"))
+    both = pairs.join(heat.select(F.col("s").alias("b"), F.col("sentence").alias("two"), part(F.col("s")).alias("n")), "n")
+    return both.select("a", "b", Z.joined_text(F.col("one"), F.col("two"), F.col("a") == F.col("b"), F.col("a")).alias("sentence"))
 
 
 def realize_absence(spark, d):
@@ -167,13 +198,14 @@ def realize_absence(spark, d):
 
 
 def sentence_normalise(spark, d):
-    return B.table(spark, d, "benchmark").select("item_id", Z.sentence(F.substring("text", 1, 60)).alias("sentence"), Z.shortened(F.col("text"), 80).alias("short"), Z.text_hash(F.col("text")).alias("hash"))
+    return B.table(spark, d, "benchmark").select("item_id", Z.sentence(F.col("text")).alias("sentence"), Z.shortened(F.col("text"), 80).alias("short"), Z.text_hash(F.col("text")).alias("hash"))
 
 
 def _turn_parts(spark, d):
     items = N.indexed_evidence(B.turns(spark, d))
-    claim = items.where("ord = 0").select("claim_id", F.lit(0).cast("long").alias("ord"), F.lower(F.regexp_extract("text", r"^(\w*)", 1)).alias("text"))
-    ev = items.select("claim_id", "i", F.lit(0).cast("long").alias("ord"), F.substring(F.lower("role"), 1, 4).alias("text"))
+    claim = items.where("ord = 0").select("claim_id", F.lit(0).cast("long").alias("ord"), F.lower("text").alias("text"))
+    texts = F.array(F.lower("role"), F.lower("text"))  # two triples per item: who speaks, and what
+    ev = items.select("claim_id", "i", F.posexplode(texts).alias("ord", "text")).withColumn("ord", F.col("ord").cast("long"))
     return items, claim, ev
 
 
@@ -202,7 +234,7 @@ def attention(spark, d):
 def features(spark, d):
     """Sizes and mass of the evidence features (rows only: hashes differ between engines)."""
     items = B.turns(spark, d)
-    f = N.evidence_features(N.hashed_embedding(F.substring("text", 1, 400), 64), F.lit("web_text"), F.array(F.lit("testimony")), F.lit("news_media"))
+    f = N.evidence_features(N.hashed_embedding(F.col("text"), 64), F.lit("web_text"), F.array(F.lit("testimony")), F.lit("news_media"))
     return items.select("claim_id", "ord", F.size(f).alias("size"), F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x * x), 3).alias("mass"))
 
 
@@ -227,9 +259,10 @@ wrong AS (SELECT s, p, o, 0 AS rank, 'boolean_flip' AS how, CASE WHEN lower(trim
   UNION ALL SELECT s, p, o, 1, 'temperature_change', CASE o WHEN 'Hot' THEN 'Cold' WHEN 'Cold' THEN 'RoomTemp' ELSE 'Hot' END FROM rw WHERE o IN ('Hot', 'Cold', 'RoomTemp')
   UNION ALL SELECT s, p, o, 2, 'receptacle_substitution', bad_o FROM rw JOIN rules ON lower({_TYPE.format(x="s")}) = rules.object_type JOIN places USING (receptacle) WHERE bad_o <> o),
 bad AS (SELECT s, p, o, arg_min(bad_o, (rank, bad_o)) AS bad_o, arg_min(how, (rank, bad_o)) AS how FROM wrong w WHERE NOT EXISTS (SELECT 1 FROM rw x WHERE x.s = w.s AND x.p = w.p AND x.o = w.bad_o) GROUP BY 1, 2, 3)"""
-_PRESENT = "present AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48), absent AS (SELECT c.context, u.object_type FROM (SELECT DISTINCT context FROM present) c, (SELECT DISTINCT p_name AS object_type FROM part) u WHERE NOT EXISTS (SELECT 1 FROM present x WHERE x.context = c.context AND x.object_type = u.object_type))"
+_MADE = f"{B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD}"
+_PRESENT = "present AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey), absent AS (SELECT c.context, u.object_type FROM (SELECT DISTINCT context FROM present) c, (SELECT DISTINCT p_name AS object_type FROM part) u WHERE NOT EXISTS (SELECT 1 FROM present x WHERE x.context = c.context AND x.object_type = u.object_type))"
 _CO = f"{B.TURN}, co AS (SELECT a.claim_id, a.i AS src, b.i AS dst, row_number() OVER (PARTITION BY a.claim_id, a.i ORDER BY abs(b.i - a.i), b.i) AS k FROM tn a JOIN tn b ON a.claim_id = b.claim_id AND a.i <> b.i)"
-_IX = f"{_CO}, ct AS (SELECT claim_id, lower(regexp_extract(text, '^([0-9A-Za-z_]*)', 1)) AS text FROM tn WHERE ord = 0), et AS (SELECT claim_id, i, substr(lower(role), 1, 4) AS text FROM tn), ix AS (SELECT claim_id, text, dense_rank() OVER (PARTITION BY claim_id ORDER BY pos) - 1 AS t FROM (SELECT claim_id, text, min(pos) AS pos FROM (SELECT claim_id, text, -1 AS pos FROM ct UNION ALL SELECT claim_id, text, i FROM et) GROUP BY 1, 2))"
+_IX = f"{_CO}, ct AS (SELECT claim_id, lower(text) AS text FROM tn WHERE ord = 0), et AS (SELECT claim_id, i, 0 AS o, lower(role) AS text FROM tn UNION ALL SELECT claim_id, i, 1, lower(text) FROM tn), ix AS (SELECT claim_id, text, dense_rank() OVER (PARTITION BY claim_id ORDER BY pos) - 1 AS t FROM (SELECT claim_id, text, min(pos) AS pos FROM (SELECT claim_id, text, -1 AS pos FROM ct UNION ALL SELECT claim_id, text, 2 * i + o FROM et) GROUP BY 1, 2))"
 _ED = f"{_IX}, ed AS (SELECT claim_id, 'has_evidence' AS kind, 0 AS src, i AS dst FROM tn UNION ALL SELECT claim_id, 'connected_to', i, 0 FROM tn UNION ALL SELECT claim_id, 'co_evidence', src, dst FROM co WHERE k <= 5 UNION ALL SELECT claim_id, 'has_triple', 0, t FROM ct JOIN ix USING (claim_id, text) UNION ALL SELECT claim_id, 'from_triple', i, t FROM et JOIN ix USING (claim_id, text))"
 
 QUERIES = {
@@ -240,27 +273,37 @@ QUERIES = {
     "triples_exists": (triples_exists, f"WITH {B.TR} SELECT count(*) > 0 AS found FROM tr WHERE p = '{REL}/inRegion' AND o = '{ENT}/region_2'"),
     "triples_boolean_pred": (triples_boolean_pred, f"WITH {B.TR}, x AS (SELECT s, p, bool_or(lower(trim(o)) IN ('true','1','yes','y','t','false','0','no','n','f')) AS is_boolean FROM tr WHERE p IN ('{REL}/isUrgent', '{REL}/segment', '{REL}/mass') GROUP BY 1, 2) SELECT p, is_boolean, count(*) AS n FROM x GROUP BY 1, 2"),
     "triples_by_predicate": (triples_by_predicate, f"WITH {B.TR} " + _SIZES.format(t="(SELECT *, p AS key FROM tr)")),
-    "triples_by_subject": (triples_by_subject, f"WITH {B.TR} SELECT s AS key, count(*) AS n, string_agg(o, ',' ORDER BY p, o) AS objects FROM tr WHERE p <> '{REL}/placedBy' GROUP BY 1"),
+    "triples_by_subject": (triples_by_subject, f"WITH {B.TR} SELECT s AS key, count(*) AS n, string_agg(o, ',' ORDER BY p, o) AS objects FROM tr GROUP BY 1"),
     "triples_by_context": (triples_by_context, f"WITH {_CTX} " + _SIZES.format(t="(SELECT * FROM ky WHERE key IS NOT NULL)")),
     "triples_by_pattern": (triples_by_pattern, f"WITH {B.TR} " + _SIZES.format(t=f"(SELECT *, o AS key FROM tr WHERE p = '{REL}/inNation' AND contains(o, '/nation_1'))")),
     "triples_by_entity": (triples_by_entity, f"WITH {_ENT} " + _SIZES.format(t="ky")),
     "triples_dedupe": (triples_dedupe, "SELECT CAST(l_suppkey AS VARCHAR) AS s, 'supplied' AS p, CAST(l_partkey % 50 AS VARCHAR) AS o, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY 1, 2, 3"),
     "build_stats": (build_stats, f"WITH {B.TR} SELECT count(*) AS n, count(DISTINCT s) AS n_subjects, count(DISTINCT p) AS n_predicates, count(DISTINCT o) FILTER (p = '{REL}/hasObject') AS n_objects, count(DISTINCT s) FILTER (p = '{REL}/hasObject') AS n_contexts FROM tr"),
-    "uri_local_name": (uri_local_name, f"WITH {B.TR} SELECT ord, {B.LOCAL.format(x='s')} AS s, regexp_extract(p, '([^/]*)$', 1) AS p, {B.LOCAL.format(x='o')} AS o FROM tr WHERE ord % 7 = 0"),
+    "uri_local_name": (uri_local_name, f"WITH {B.TR} SELECT ord, {B.LOCAL.format(x='s')} AS s, regexp_extract(p, '([^/]*)$', 1) AS p, {B.LOCAL.format(x='o')} AS o FROM tr"),
     "entity_types": (entity_types, f"WITH {B.TR} SELECT regexp_extract({B.LOCAL.format(x='s')}, '^([^|_]*)', 1) AS type, count(*) AS n, count(*) FILTER (o LIKE 'http://%') AS n_iri FROM tr GROUP BY 1"),
     "degenerate_triples": (degenerate_triples, f"WITH {B.TR} SELECT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00')) AS degenerate, o IN ('Hot', 'Cold', 'RoomTemp') AS temperature, count(*) AS n FROM tr GROUP BY 1, 2"),
     "flipped_booleans": (flipped_booleans, f"WITH {B.TR} SELECT ord, CASE WHEN o = 'true' THEN 'False' ELSE 'True' END AS o FROM tr WHERE p = '{REL}/isUrgent'"),
-    "corrupt_candidates": (corrupt_candidates, f"WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE p NOT IN ('{REL}/inScene', '{REL}/hasObject')), {_BAD} SELECT how, regexp_extract(p, '([^/]*)$', 1) AS rel, count(*) AS n FROM bad GROUP BY 1, 2"),
+    "corrupt_candidates": (corrupt_candidates, f"WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr), {_BAD} SELECT how, regexp_extract(p, '([^/]*)$', 1) AS rel, count(*) AS n FROM bad GROUP BY 1, 2"),
     "generated_claims": (generated_claims, f"WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD} (SELECT s, p, o, o AS claimed_o, 'supported' AS label FROM rw ORDER BY md5('42-' || s || '|' || p || '|' || o), s, p, o LIMIT 100) UNION ALL (SELECT s, p, o, bad_o, 'refuted' FROM bad ORDER BY md5('43-' || s || '|' || p || '|' || o), s, p, o LIMIT 100)"),
-    "conjunction_claims": (conjunction_claims, None),
+    "conjunction_claims": (conjunction_claims, f"""WITH {B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD},
+lk AS (SELECT s, p, o, bad_o, lead(p) OVER w AS p2, lead(o) OVER w AS n_o, lead(bad_o) OVER w AS n_bad, (instr('0123456789abcdef', substr(md5('42-' || s || '|' || p || '|' || o), 1, 1)) - 1) % 4 AS mode FROM rw LEFT JOIN bad USING (s, p, o) WINDOW w AS (PARTITION BY s ORDER BY p, o)),
+md AS (SELECT s, p, CASE WHEN mode IN (1, 3) THEN coalesce(bad_o, o) ELSE o END AS o, p2, CASE WHEN mode IN (2, 3) THEN coalesce(n_bad, n_o) ELSE n_o END AS o2, CAST(mode AS INTEGER) AS mode, o AS true_o, n_o AS true_o2 FROM lk WHERE p2 IS NOT NULL)
+SELECT *, CASE WHEN mode = 0 THEN 'supported' ELSE 'refuted' END AS label FROM md WHERE mode = 0 OR o <> true_o OR o2 <> true_o2"""),
+    "generation_counts": (generation_counts, f"""WITH {_MADE}, mk AS (SELECT s, 'supported' AS label, NULL AS how FROM rw UNION ALL SELECT s, 'refuted', how FROM rw LEFT JOIN bad USING (s, p, o))
+SELECT 'label' AS dim, label AS key, count(*) AS n FROM mk GROUP BY 2 UNION ALL SELECT 'how', how, count(*) FROM mk WHERE how IS NOT NULL GROUP BY 2 UNION ALL SELECT 'type', {_TYPE.format(x="s")}, count(*) FROM mk GROUP BY 2"""),
+    "generation_rates": (generation_rates, f"""WITH {_MADE}, c AS (SELECT (SELECT count(*) FROM rw) AS s, (SELECT count(*) FROM bad) AS r) SELECT s AS n_supported, r AS n_refuted, s - r AS n_failed, round(100.0::DOUBLE * r / s, 4) AS corruption_success, round(100.0::DOUBLE * (s + r) / 1000, 4) AS claim_rate, round(s::DOUBLE / r, 4) AS supported_to_refuted FROM c"""),
+    "context_claims": (context_claims, f"""WITH {_CTX}, kx AS (SELECT DISTINCT key, s, p, o FROM ky WHERE key IN (SELECT DISTINCT key FROM ky WHERE key IS NOT NULL ORDER BY 1 LIMIT 3) AND NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), rw AS (SELECT DISTINCT s, p, o FROM kx), {_BAD},
+al AS (SELECT key, s, p, o, o AS claimed_o, 'supported' AS label FROM kx UNION ALL SELECT key, s, p, o, bad_o, 'refuted' FROM kx JOIN bad USING (s, p, o)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' || s || '|' || p || '|' || o || '|' || claimed_o), s || '|' || p || '|' || o || '|' || claimed_o) AS k FROM al) SELECT key, s, p, o, claimed_o, label FROM rk WHERE k <= 10"""),
+    "structured_claims": (structured_claims, f"WITH {B.TR} SELECT 'negation' AS structural, 'refuted' AS label, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM tr) WHERE lower(trim(o)) IN ('true','1','yes','y','t')"),
     "negation_claims": (negation_claims, f"WITH {B.TR} SELECT DISTINCT s, 'False' AS claimed_o, CASE WHEN o = 'true' THEN 'refuted' ELSE 'supported' END AS label FROM tr WHERE p = '{REL}/isUrgent'"),
     "absent_types": (absent_types, f"WITH {_PRESENT} SELECT * FROM absent"),
     "absence_claims": (absence_claims, f"WITH {_PRESENT}, r AS (SELECT *, 'supported' AS label, row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) AS k FROM absent UNION ALL SELECT *, 'refuted', row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) FROM present) SELECT context, object_type, label FROM r WHERE k <= 3"),
     "semantic_map": (semantic_map, "SELECT c_mktsegment AS object_type, string_agg(DISTINCT 'region_' || CAST(n_regionkey AS VARCHAR), ',' ORDER BY 'region_' || CAST(n_regionkey AS VARCHAR)) AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "realize_triples": (realize_triples, f"WITH {LEX} SELECT ord, sentence FROM st"),
-    "realize_conjunction": (realize_conjunction, f"WITH {LEX} SELECT a.s, rtrim(a.sentence, '.') || ' and ' || lower(b.sentence) AS sentence FROM st a JOIN st b ON a.s = b.s AND a.rel = 'temperature' AND b.rel = 'mass'"),
+    "realize_conjunction": (realize_conjunction, f"WITH {LEX}, pt AS (SELECT *, TRY_CAST(regexp_extract(s, '([0-9]+)$', 1) AS BIGINT) AS n FROM st WHERE rel <> 'isUrgent') SELECT a.s AS a, b.s AS b, rtrim(a.sentence, '.') || ' and ' || CASE WHEN a.s = b.s THEN regexp_replace(lower(b.sentence), '^the .* is ', '') ELSE lower(b.sentence) END AS sentence FROM pt a JOIN pt b ON a.rel = 'mass' AND b.rel = 'temperature' AND b.n IN (a.n, a.n + 1)"),
     "realize_absence": (realize_absence, f"WITH {_PRESENT} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM absent"),
-    "sentence_normalise": (sentence_normalise, "WITH x AS (SELECT item_id, text, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, upper(substr(t, 1, 1)) || substr(t, 2) || CASE WHEN regexp_matches(t, '[.!?]$') THEN '' ELSE '.' END AS sentence, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS short, substr(sha256(text), 1, 16) AS hash FROM x"),
+    "sentence_normalise": (sentence_normalise, "WITH x AS (SELECT item_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, upper(substr(t, 1, 1)) || substr(t, 2) || CASE WHEN regexp_matches(t, '[.!?]$') THEN '' ELSE '.' END AS sentence, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS short, substr(sha256(text), 1, 16) AS hash FROM x"),
     "coevidence_edges": (coevidence_edges, f"WITH {_CO} SELECT claim_id, src, dst FROM co WHERE k <= 5"),
     "triple_index": (triple_index, f"WITH {_IX} SELECT * FROM ix"),
     "graph_edges": (graph_edges, f"WITH {_ED} SELECT * FROM ed"),

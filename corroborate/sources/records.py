@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -210,3 +212,31 @@ def seed_pool(pool: DataFrame) -> DataFrame:
     side = lambda stance, c: F.struct(F.lit(stance).alias("stance"), F.col(c).alias("text"))
     both = F.explode(F.array(side("supports", "supporting_evidence"), side("refutes", "refuting_evidence"))).alias("x")
     return pool.select("evidence_type", "claim", both).select("evidence_type", "claim", "x.stance", "x.text").where("text is not null")
+
+
+def load_config(path: str) -> dict:
+    """A configuration file as a dictionary on the driver: JSON, or YAML where a reader for it is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"no YAML reader is installed for {path}") from e
+        return yaml.safe_load(f)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Metric reports, JSON documents in a folder per model (model=...), as one frame with the model."""
+    return spark.read.json(path)
+
+
+def cached_frame(spark: SparkSession, path: str, stamp: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that was written under this stamp (such as its input's time of change), or else the
+    one that build makes, written there first. path is a folder that driver and executors share."""
+    at = f"{path.rstrip('/')}/stamp={stamp}"
+    try:
+        return spark.read.parquet(at)
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(at)
+        return spark.read.parquet(at)

@@ -11,6 +11,10 @@ def test_head_and_registry(spark):
     s = spark.createDataFrame([*rows, ("d", 0.9, 0.9, "conflicting_evidence")], "claim_id string, support double, refute double, verdict string")
     out = O.apply_verdict_head(O.fit_verdict_head(s), s).where("verdict <> 'conflicting_evidence'")
     assert out.where("pred = verdict").count() >= 25
+    head = O.fit_verdict_head(s)
+    hybrid = O.by_hybrid(head)(s)
+    assert hybrid.columns == [*s.columns, "pred"] and hybrid.where("verdict <> 'conflicting_evidence' and pred = verdict").count() >= 25
+    assert O.by_head(head)(s).columns == hybrid.columns
     assert all(f(s).where("pred = verdict").count() >= 27 for f in O.MODELS.values())
     assert O.theta_search(s.withColumnRenamed("verdict", "label"), thetas=(0.5,)).first().accuracy == round(27 / 28, 4)
 
@@ -38,4 +42,9 @@ def test_reports(spark):
     df = spark.createDataFrame([("a", 2), ("b", 1)], "k string, n int")
     text = reports.report("Title", {"Counts": df})
     assert "# Title" in text and "| a | 2 |" in text and "Only the first 1 rows" in reports.markdown_table(df, 1)
+    deltas = spark.createDataFrame([("acc", 0.5, 0.7, 0.2), ("ece", 0.1, 0.1, 0.0), ("rmse", 0.1, 0.3, -0.2)], "metric string, a double, b double, delta double")
+    assert "| acc | 0.5 | 0.7 | 0.2 | new |" in (both := reports.comparison("old", "new", deltas)) and "| rmse | 0.1 | 0.3 | -0.2 | old |" in both
+    assert "## Layers" in reports.evaluation_summary("m", {"Counts": df}, df, df, df)
+    long = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("n"))
+    assert len(reports.bars(long, "k", "n").splitlines()) == 300 and reports.export("m", {"x": long}).count('"n"') == 300  # nothing is cut
     assert reports.bars(df, "k", "n").splitlines()[0].count("#") == 40 and '"n": 2' in reports.export("m", {"x": df})

@@ -11,6 +11,7 @@ from corroborate.operators import convert as C
 from corroborate.operators import generate as G
 from corroborate.operators import graph as N
 from corroborate.operators import metrics as M
+from corroborate.operators import models as O
 from corroborate.operators import profile as P
 from corroborate.operators import resolve as R
 from corroborate.operators import splits as S
@@ -220,12 +221,79 @@ def test_generation(spark):
     claims = G.one_hop_claims(t, rules, 6).collect()
     truth = set(rows)
     assert all(((c.s, c.p, c.claimed_o) in truth) == (c.label == "supported") for c in claims) and len(claims) == 6
-    synthetic = G.synthetic_claims(spark, 100)
-    assert synthetic.count() == 100 and synthetic.where("verdict <> expected").isEmpty()
+    registry = spark.createDataFrame([("reuters_web_text", 0.85), ("apnews_web_text", 0.82), ("bbc_web_text", 0.85), ("social_media_web_text", 0.35), ("sensor_perception", 1.0), ("academic_pdf", 0.9), ("general_web_text", 0.55)], "source_id string, source_trust double")
+    synthetic = {r.template: r.verdict for r in G.synthetic_claims(G.template_table(spark), registry, 300).collect()}
+    assert len(synthetic) == 15
+    for name, verdict in synthetic.items():  # a template's name says what its items should come to
+        want = "supported" if name in ("corroborating_3", "perception_direct", "non_apprehension_absent", "strong_support_weak_refute") or name.endswith("_supported") else None
+        want = want or ("not_enough_evidence" if name.endswith("_nee") else "conflicting_evidence" if name == "conflicting" else "refuted")
+        assert verdict == want or name == "inference_nee", name
+    some = G.synthetic_claims(G.template_table(spark, {"conflicting": 0.5, "perception_direct": 0.5}), registry, 7)
+    assert sorted(r["count"] for r in some.groupBy("template").count().collect()) == [3, 4]
     present = spark.createDataFrame([("k1", "mug"), ("k2", "cup")], "context string, object_type string")
     assert sorted(tuple(r) for r in G.absent_types(present, present).collect()) == [("k1", "cup"), ("k2", "mug")]
 
 
+def test_absence_has_no_limit(spark):
+    """50,000 types and a few that are none; what is absent is exact."""
+    universe = spark.range(50_000).select(F.concat(F.lit("t"), "id").alias("object_type")).union(spark.createDataFrame([("None",), ("true",), (None,)], "object_type string"))
+    present = spark.range(0, 50_000, 2).select(F.lit("k").alias("context"), F.concat(F.lit("t"), "id").alias("object_type")).union(spark.createDataFrame([("other", "t1")], "context string, object_type string"))
+    found = G.absent_types(universe, present)
+    assert {r.context: r["count"] for r in found.groupBy("context").count().collect()} == {"k": 25_000, "other": 49_999}
+    assert found.join(present, ["context", "object_type"]).isEmpty()
+
+
+def test_conjunctions(spark):
+    """Each mode corrupts what it says, what can't be corrupted isn't made, labels follow."""
+    rows = [(f"e{i}", p, o) for i in range(40) for p, o in (("is", "true"), ("temperature", "Hot"), ("zname", f"n{i}"))]
+    claims = G.conjunction_claims(spark.createDataFrame(rows, "s string, p string, o string"), spark.createDataFrame([], "object_type string, receptacle string")).collect()
+    assert {c["mode"] for c in claims} == {0, 1, 2, 3}
+    for c in claims:
+        first, second = c.o != c.true_o, c.o2 != c.true_o2
+        assert (c.label == "supported") == (c["mode"] == 0) == (not first and not second)
+        assert not (c["mode"] == 1 and second) and not (c["mode"] == 2 and first)
+    assert any(c.o != c.true_o and c.o2 != c.true_o2 for c in claims)
+
+
+def test_contexts(spark):
+    t = spark.createDataFrame([(f"k{i % 4}", f"e{i}", "is", "true") for i in range(40)], "key string, s string, p string, o string")
+    rules = spark.createDataFrame([], "object_type string, receptacle string")
+    made = G.context_claims(t, rules, 6)
+    assert {(r.key, r.label): r["count"] for r in made.groupBy("key", "label").count().collect()} == {(f"k{i}", x): 3 for i in range(4) for x in ("supported", "refuted")}
+    assert {r.context for r in G.first_contexts(t.withColumnRenamed("key", "context"), 2).collect()} == {"k0", "k1"}
+
+
+def test_templates_of_sentences(spark):
+    assert value(spark, Z.filled("The {s} is {o}.", {"s", "o"}, s=F.lit("cup"), o=F.lit("red"))) == "The cup is red."
+    with pytest.raises(ValueError, match="without"):
+        Z.filled("The {s}.", {"s", "o"}, s=F.lit("cup"), o=F.lit("red"))
+    with pytest.raises(ValueError, match="no value"):
+        Z.filled("The {s} {x}.", s=F.lit("cup"))
+
+
+def test_dataset_rules_are_pluggable(spark):
+    X.register_rules("other", lambda: F.array(F.struct(F.lit("X1").alias("rule"), F.lit("dataset").alias("category"), F.lit("error").alias("severity"))))
+    row = lambda d: spark.range(1).select(F.from_json(F.lit('{"provenance": {"dataset": "%s"}}' % d), IO.RECORD).alias("x")).select("x.*")
+    rules = lambda d: [i.rule for i in X.validated(row(d)).first().dataset_issues]
+    assert rules("other") == ["X1"] and rules("none") == [] and "V28" in rules("ai2thor") and "V38" in rules("averitec")
+    del X._DATASET_RULES["other"]
+
+
+def test_positions_across_ranges(spark):
+    c = spark.createDataFrame([("a", i) for i in range(0, 500, 3)] + [("b", i) for i in range(7)], "split string, line_idx long")
+    got = {(r.split, r.line_idx): r.graph for r in O.positions(c, cell=10).collect()}
+    assert got == {**{("a", i): k for k, i in enumerate(range(0, 500, 3))}, **{("b", i): i for i in range(7)}}
+
+
+def test_config_and_cache(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 1}}')
+    assert IO.load_config(str(tmp_path / "c.json")) == {"a": {"b": 1}}
+    at = str(tmp_path / "cache")
+    build = lambda n: lambda: spark.range(n)
+    assert IO.cached_frame(spark, at, "1", build(3)).count() == 3
+    assert IO.cached_frame(spark, at, "1", build(5)).count() == 3 and IO.cached_frame(spark, at, "2", build(5)).count() == 5
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("a", ["x", "y"]), ("a", ["x"]), ("b", None)], "k string, t array<string>")
     counts = P.distributions(df, {"k": F.col("k"), "t": F.col("t")})
