@@ -336,7 +336,7 @@ QUERIES = {
     "record_gate": (record_gate, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, i NOT IN (SELECT i FROM {SHARED['V0'][1]}) AS kept FROM rec"),
     "split_profile": (split_profile, f"WITH {REC}, sp AS (SELECT coalesce(split, 'null') AS split, * EXCLUDE (split) FROM rec), si AS (SELECT sp.split, it.* FROM it JOIN sp USING (i)) SELECT split, 'source' AS dim, dataset AS key, count(*) AS n FROM sp GROUP BY ALL UNION ALL SELECT split, 'verdict', coalesce(label, 'null'), count(*) FROM sp GROUP BY ALL UNION ALL SELECT split, 'modality', coalesce(modality, 'null'), count(*) FROM si GROUP BY ALL UNION ALL SELECT split, 'stance', coalesce(stance, 'null'), count(*) FROM si GROUP BY ALL UNION ALL SELECT split, 'type', t, count(*) FROM (SELECT split, unnest(types) AS t FROM si) GROUP BY ALL"),
     "split_averages": (split_averages, f"WITH {REC}, w AS (SELECT i, count(*) AS n FROM it WHERE trim(coalesce(text, '')) <> '' GROUP BY 1) SELECT coalesce(split, 'null') AS split, count(*) AS n, round(sum(coalesce(w.n, 0))::DOUBLE / count(*), 2) AS avg_evidence, round(sum(coalesce(n_triples, 0))::DOUBLE / count(*), 2) AS avg_triples FROM rec LEFT JOIN w USING (i) GROUP BY 1"),
-    "simulator_records": (simulator_records, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, CASE WHEN label IN {V.VERDICTS} THEN label END AS label, array_to_string(types, ',') AS types, 'simulator' AS method, n_triples - n_broken AS n_triples, CASE WHEN n_items = 0 THEN NULL WHEN first_triple THEN 'http://e.org/x|1,in,box' ELSE '' END AS first FROM wh WHERE dataset = 'ai2thor'"),
+    "simulator_records": (simulator_records, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, CASE WHEN label IN {V.VERDICTS} THEN label END AS label, array_to_string(types, ',') AS types, 'simulator' AS method, CAST(n_triples - n_broken AS BIGINT) AS n_triples, CASE WHEN n_items = 0 THEN NULL WHEN first_triple THEN 'http://e.org/x|1,in,box' ELSE '' END AS first FROM wh WHERE dataset = 'ai2thor'"),
     "legacy_records": (legacy_records, f"""WITH x AS (SELECT event_id AS i, event_id % 2 = 0 AS good, event_id % 6 = 0 AS none, {_at(_PREDICATES, "event_id")} AS p, 'v' || CAST(event_id % 3 AS VARCHAR) AS v FROM events),
 y AS (SELECT *, CASE WHEN none THEN 'absence_detection' WHEN p IN ('inside', 'near') THEN 'spatial_comparison' ELSE 'direct_observation' END AS strategy FROM x)
 SELECT 'leg-' || CAST(i AS VARCHAR) AS id, CASE WHEN good THEN 'supported' ELSE 'refuted' END AS label, CASE WHEN p = 'temperature' THEN 'Sensor shows temperature=' || CASE WHEN none THEN 'unknown' ELSE v END || CASE WHEN good THEN ', matching claim.' ELSE ', contradicting claimed value (' || v || ').' END
