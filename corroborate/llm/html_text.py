@@ -49,6 +49,9 @@ BESIDE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|sponsor|adve
 #: Of those, the ones that mean a discussion of the text, which can be longer than the text.
 COMMENT = re.compile(r"comment|repl(?:y|ies)|disqus|discussion|respond", re.IGNORECASE)
 HINTS = ("", "around", "beside", "comment")
+#: Elements whose class never makes them surroundings, and words that mean a region of a page, which a paragraph isn't.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+REGION = re.compile(r"header|masthead|foot|footer|side|sidebar|legal|disclaimer|tags?|search", re.IGNORECASE)
 #: Classes that tell what an element has, lacks or wraps.
 MODIFIES = re.compile(r"(?:has|have|with|without|no|not|is|show|hide|hides)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|layout)$", re.IGNORECASE)
 WRAPS = re.compile(r"(.+?)[-_]?(?:wrap|wrapper|wrapping)", re.IGNORECASE)
@@ -62,8 +65,9 @@ CLOSES = {
 }
 _P_STOPS = {"table", "td", "th", "button", "html", "body", "caption"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.DOTALL)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?|[^>=]+)*)(?:>|\Z)""", re.DOTALL)
+#: An attribute and its value; a quote only opens a value right after the equals sign.
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
 
@@ -95,12 +99,13 @@ def _is_around(tag: str, attributes: str) -> tuple[bool, str]:
     if not attributes or tag in ("html", "body"):
         return False, ""
     hint = ""
-    for m in _NAMES.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m.group(1).lower(), m.group(2) or ""
+        value = value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True, ""
-        if name in ("class", "id", "role") and AROUND.search(value):
-            value = " ".join(w for w in value.split() if not _modifies(w))
+        if name in ("class", "id", "role") and tag not in HEADINGS and AROUND.search(value):
+            value = " ".join(w for w in value.split() if not _modifies(w) and not (tag == "p" and REGION.fullmatch(w)))
             found = AROUND.search(value)
             if tag in ("article", "main") and not BESIDE.search(value):
                 continue

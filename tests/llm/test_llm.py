@@ -401,12 +401,62 @@ def test_source_mix_reaches_every_target(docs_of, monkeypatch, limit):
         ("<article class=post><header class='entry-header'><h1>T</h1></header><p>b</p><div class='article-notice'>n</div><article class='comment'><p>c</p></article></article>", "T\nb"),
         ("<main><p>Some text of the page.</p><section id='reader-comments'><h3>3 comments</h3><p>I disagree with all of this and more.</p></section></main>", "Some text of the page."),
         ("<article><p>a < b, x &lt;y&gt; &amp &copy</p></article", "a < b, x <y> & ©"),
+        ("<p class=it's>Hello world</p><p>more", "Hello world\nmore"), ("<div><p title='a > b' data-class=\"ad\">one</p><p alt=\"class='ad'\">two</p></div>", "one\ntwo"),
+        ("<article><h1 class=header>Title</h1><p class=legal>All of it is so.</p><p>body</p><p class=ad>Buy!</p></article>", "Title\nAll of it is so.\nbody"),
     ],
 )
 def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+def slow_densities(root):
+    """Composite text density and its sum over children by recursion, straight from the definition."""
+    plain = lambda t: len("".join(t.split()))
+
+    def counts(n):
+        kids = [c for c in n.children if isinstance(c, html_text.Node) and not c.around]
+        c = sum(plain(x) for x in n.children if isinstance(x, str)) + sum(counts(k)[0] for k in kids)
+        t = sum(counts(k)[1] + 1 for k in kids)
+        if n.tag == "a":
+            return c, t, c, 1 + sum(counts(k)[3] for k in kids)
+        return c, t, sum(counts(k)[2] for k in kids), sum(counts(k)[3] for k in kids)
+
+    whole = counts(root)
+    body = whole[2] / max(whole[0], 1)
+
+    def factor(c, t, lc, lt):
+        return np.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / np.log(np.log(c / max(c - lc, 1) * lc + body * c + np.e)) if np.log(c / max(c - lc, 1) * lc + body * c + np.e) > 1 else np.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0))
+
+    def density(n):
+        c, t, lc, lt = counts(n)
+        return c / max(t, 1) * factor(c, max(t, 1), lc, lt) if c else 0.0
+
+    def total(n):
+        own = sum(plain(x) for x in n.children if isinstance(x, str))
+        kids = sum(density(k) for k in n.children if isinstance(k, html_text.Node) and not k.around)
+        return kids + (own if n.tag == "a" else own * factor(own, 1, 0, 1))
+
+    return density, total
+
+
+def test_html_densities_by_definition():
+    rng = random.Random(31)
+
+    def page(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "a", "span", "ul", "section", "nav", "b"])
+            inner = page(depth - 1) if depth and tag not in ("p", "a", "b") else ""
+            parts.append(f"<{tag}>{' '.join(rng.choices(['some', 'longer words', 'x', ''], k=rng.randint(0, 9)))}{inner}</{tag}>")
+        return rng.choice(["", "text before "]) + "".join(parts)
+
+    for _ in range(40):
+        root = html_text.parse(page(3))
+        nodes = html_text.measure(root)
+        density, total = slow_densities(root)
+        assert all(n.density == pytest.approx(density(n)) and n.density_sum == pytest.approx(total(n)) for n in nodes)
+
+
 LONG = ["This is paragraph number %d of the real text, with a good many words in every one of its lines." % i for i in range(12)]
 PARAGRAPHS = ["<p>" + x + "</p>" for x in LONG]
 
