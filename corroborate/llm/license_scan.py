@@ -68,6 +68,48 @@ NOTICES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Whole texts of short licences, without their copyright lines.
+TEXTS = {
+    "MIT": " ".join((
+        *NOTICES["MIT"], _AS_IS, "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    )),
+    "ISC": NOTICES["ISC"][0] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": f"{NOTICES['BSD'][0]} 1. {_BSD_1} 2. {_BSD_2} {_BSD_END}",
+    "BSD-3-Clause": f"{NOTICES['BSD'][0]} 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_END}",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+    "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+    "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any "
+    "and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS + " IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 Bigram = tuple[str, str]
 
@@ -85,7 +127,7 @@ def _bigrams(words: list[str]) -> list[Bigram]:
 def templates() -> tuple[list[tuple[str, Counter[Bigram], int]], dict[Bigram, list[int]]]:
     """(SPDX id, bigrams, their number) of every template, and the templates that have a bigram."""
     texts = [(spdx, grant.format(name)) for spdx, names in NAMES.items() for name in names for grant in GRANTS]
-    texts += [(spdx, text) for spdx, notices in NOTICES.items() for text in notices]
+    texts += [(spdx, text) for spdx, notices in NOTICES.items() for text in notices] + list(TEXTS.items())
     made = [(spdx, Counter(_bigrams([w for w, _, _ in words_of(text)]))) for spdx, text in texts]
     index: dict[Bigram, list[int]] = {}
     for i, (_, grams) in enumerate(made):
@@ -94,6 +136,34 @@ def templates() -> tuple[list[tuple[str, Counter[Bigram], int]], dict[Bigram, li
     return [(spdx, grams, sum(grams.values())) for spdx, grams in made], index
 
 
+def _shared_least(m: int, least: float) -> int:
+    """Bigrams that a window shares with a template of m at least, if their Dice reaches the least."""
+    return math.ceil(m * least / (2 - least) - 1e-9)
+
+
+@lru_cache(maxsize=4)
+def anchors(least: float = DICE) -> tuple[str, ...]:
+    """Words of which every text with a match has one.
+
+    A match shares so many of a template's bigrams that, if some words touch more than all others
+    of them, it shares one of theirs. The words are picked by the bigrams that they touch in most templates.
+    """
+    chosen: list[str] = []
+    open_ = [(grams, m - _shared_least(m, least)) for _, grams, m in templates()[0]]  # bigrams that may be missing
+    while open_:
+        touched: Counter[str] = Counter()
+        for grams, spare in open_:
+            mine: Counter[str] = Counter()
+            for g, n in grams.items():
+                for w in {w for w in g if len(w) > 3 and w.isascii()}:
+                    mine[w] += n if not set(g) & set(chosen) else 0
+            for w, n in mine.items():
+                touched[w] += min(n, spare + 1)
+        chosen.append(max(touched, key=lambda w: (touched[w], w)))
+        open_ = [(g, s) for g, s in open_ if sum(n for x, n in g.items() if set(x) & set(chosen)) <= s]
+    return tuple(chosen)
+
+
 def dice(a: Counter[Bigram], b: Counter[Bigram]) -> float:
     return 2 * sum((a & b).values()) / max(sum(a.values()) + sum(b.values()), 1)
 
@@ -105,10 +175,21 @@ def _windows(grams: list[Bigram], hits: list[int], want: Counter[Bigram], m: int
     n of them, so n is within m t / (2 - t) and m (2 - t) / t, and as many are shared as the first
     of the two says. Words that are no part of the template only count in n.
     """
-    shared_least, longest = math.ceil(m * least / (2 - least) - 1e-9), math.floor(m * (2 - least) / least + 1e-9)
+    shared_least, longest = _shared_least(m, least), math.floor(m * (2 - least) / least + 1e-9)
+    have: dict[Bigram, int] = {}  # of the longest window from each start, and how many of them the template has
+    most = upto = 0
     for i in range(len(hits) - shared_least + 1):
         start = hits[i]
-        if hits[i + shared_least - 1] - start >= longest:
+        if i:
+            g = grams[hits[i - 1]]
+            have[g] -= 1
+            most -= have[g] < want[g]
+        while upto < len(hits) and hits[upto] - start < longest:
+            g = grams[hits[upto]]
+            most += have.get(g, 0) < want[g]
+            have[g] = have.get(g, 0) + 1
+            upto += 1
+        if most < shared_least:
             continue
         left, shared = dict(want), 0
         for j in range(i, len(hits)):
@@ -157,7 +238,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, licenses) for each row: array of (start, end, license, dice), code points, end exclusive.
 
     Whole texts are scanned where they are read, without a shuffle; the templates are a fixed table
-    in the code. Null is the empty text, which has no licences. Repeated rows are scanned each;
+    in the code. Texts without any of the anchors have no match, and don't go to Python. Null is the empty text, which has no licences. Repeated rows are scanned each;
     other columns are not read; an empty table gives an empty result.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("dice", pa.float64())]))
@@ -168,7 +249,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [[dict(zip(names, x, strict=True)) for x in find_licenses(t, least)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "licenses"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    some = F.lower(text_of(text_col)).rlike("|".join(anchors(least)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(some, text_of(text_col)).otherwise("").alias("text"))
     out = "doc_id long, licenses array<struct<start: long, end: long, license: string, dice: double>>"
     return map_batches(rows, each, out).withColumnRenamed("doc_id", id_col)
 

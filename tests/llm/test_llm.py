@@ -554,6 +554,42 @@ def brute_licenses(text, least=license_scan.DICE):
     return sorted(chosen)
 
 
+def test_whole_licences(docs_of):
+    """Whole texts are one match, also with a copyright line, other white space and a few other words."""
+    rng = random.Random(17)
+    for spdx, text in license_scan.TEXTS.items():
+        (found,) = license_scan.find_licenses("Copyright (c) 2020 A. Writer\n\n" + text.replace(". ", ".\n   "))
+        assert found[2:] == (spdx, 1.0)
+        words = text.split()
+        for _ in range(3):
+            words[rng.randrange(len(words))] = "other"
+        best = max(license_scan.find_licenses(" ".join(words)), key=lambda x: x[1] - x[0])
+        assert best[2] in (spdx, "BSD", "BSD-2-Clause", "BSD-3-Clause") and best[3] > 0.8
+
+
+def test_texts_without_anchors_have_no_match(docs_of):
+    """Templates with any bigrams left out that a match can lack: either an anchor is left or Dice is under the least."""
+    rng = random.Random(23)
+    known, _ = license_scan.templates()
+    anchors = set(license_scan.anchors())
+    every = [t for n in license_scan.NOTICES.values() for t in n] + list(license_scan.TEXTS.values()) + [g.format(n) for ns in license_scan.NAMES.values() for n in ns for g in license_scan.GRANTS]
+    for text in every:
+        words = [w for w, *_ in license_scan.words_of(text)]
+        without = [w if w not in anchors else f"x{i}" for i, w in enumerate(words)]
+        assert license_scan.find_licenses(" ".join(without)) == []
+    texts = [" ".join(rng.choice([w, w, w, "x"]) for w in rng.choice(every).split()) for _ in range(60)] + ["nothing here", None]
+    found = by_id(license_scan.scan_licenses(docs_of(texts)))
+    for i, t in enumerate(texts):
+        assert [(x.start, x.end, x.license, x.dice) for x in found[i].licenses] == license_scan.find_licenses(t or "")
+
+
+def test_common_bigrams_are_cheap():
+    import time
+
+    began = time.perf_counter()
+    assert license_scan.find_licenses("under the " * 20_000) == [] and time.perf_counter() - began < 10
+
+
 def test_licenses_with_inserted_clauses():
     rng = random.Random(13)
     mit, apache = license_scan.NOTICES["MIT"][0].split(), license_scan.NOTICES["Apache-2.0"][1].split()
