@@ -26,7 +26,7 @@ SHARD_ROWS, HOT_ROWS = 256, 4096
 #: Rows of whole shards that a task gathers before it builds their trees.
 FOREST_ROWS = 100_000
 #: Pairs (query, tree node) that a step of a search holds at once.
-FRONTIER_ROWS = 2_000_000
+FRONTIER_ROWS = 500_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -73,10 +73,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # BK-trees of many shards at once, as arrays: a node's children are keyed by their distance to it.
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints, of one word or a row of words each."""
-    bits = np.bitwise_count(a ^ b).astype(np.int64)
-    return bits if bits.ndim == 1 else bits.sum(axis=1)
+def distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the fingerprints at indices a and b, of one word or a row of words each;
+    word by word, so that only one word of each pair is in memory."""
+    bits = np.zeros(len(a), np.int64)
+    for word in fp.reshape(len(fp), -1).T:
+        bits += np.bitwise_count(word[a] ^ word[b])
+    return bits
 
 
 def _bits(fp: np.ndarray) -> int:
@@ -103,7 +106,7 @@ def build_forest(fp: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndar
             children.append(pending[first])
         node = pending[first][np.cumsum(first) - 1]
         pending, node = pending[~first], node[~first]
-        group = node * (_bits(fp) + 1) + distance(fp[pending], fp[node])
+        group = node * (_bits(fp) + 1) + distance(fp, pending, node)
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     child = np.concatenate(children) if children else np.zeros(0, np.int64)
     order = np.argsort(key)
@@ -114,7 +117,7 @@ def search(fp: np.ndarray, queries: np.ndarray, start: np.ndarray, key: np.ndarr
     """Yield (query, match) index arrays; follows only the edges within radius of a node's distance."""
     q, node, bits = queries, start, _bits(fp)
     while len(q):
-        d = distance(fp[q], fp[node])
+        d = distance(fp, q, node)
         yield q[d <= radius], node[d <= radius]
         lo = np.searchsorted(key, node * (bits + 1) + np.maximum(d - radius, 0))
         hi = np.searchsorted(key, node * (bits + 1) + np.minimum(d + radius, bits), "right")
