@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,13 +18,17 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Settings of near-duplicate removal at a similarity: words of a shingle, 64-bit words of a
 #: fingerprint, the radius in bits, shards of a document and shingle minima that name one, and the
 #: minima that cut a hot shard. Two sets with Jaccard similarity 0.8 differ by 78 of 512 bits on
-#: average (deviation 8), with 0.7 by 98 and with 0.5 by 137.
-SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_RADIUS, BANDS, BAND, FINER = 5, 8, 88, 8, 2, 4
+#: average (deviation 8), with 0.7 by 98 and with 0.5 by 137. The radius proposes pairs, which the
+#: shingles themselves then decide.
+SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_RADIUS, BANDS, BAND, FINER = 5, 8, 104, 8, 2, 4
+#: The similarity from which on documents are near duplicates, and the hashed shingles that it is
+#: taken from at most: a text of more shingles gives the least hashes of all of them.
+SIMILARITY, KEPT_HASHES = 0.8, 4096
 #: Fingerprints that one shard holds on average before more selective keys are taken, and at most
 #: before that shard is cut by finer keys.
 SHARD_ROWS, HOT_ROWS = 256, 4096
-#: Rows of whole shards that a task gathers before it builds their trees.
-FOREST_ROWS = 100_000
+#: Rows and bytes of whole shards that a task gathers before it builds their trees.
+FOREST_ROWS, FOREST_BYTES = 100_000, 32 << 20
 #: Pairs (query, tree node) that a step of a search holds at once.
 FRONTIER_ROWS = 500_000
 
@@ -126,25 +130,49 @@ def search(fp: np.ndarray, queries: np.ndarray, start: np.ndarray, key: np.ndarr
         node = child[np.repeat(lo, n) + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)]
 
 
-def local_roots(fp: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each item the smallest index that it reaches over links inside its shard."""
+def matches(fp: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (query, match) index arrays of all items against the trees of their own shards, in blocks
+    of queries whose trees hold FRONTIER_ROWS nodes together, so that memory is bounded."""
     root_of, key, child = build_forest(fp, shard)
-    label = np.arange(len(fp))
-    # queries in blocks whose trees hold FRONTIER_ROWS nodes together, so that memory is bounded
-    size = np.bincount(shard)[shard]
-    block = np.cumsum(size) // FRONTIER_ROWS
-    for at in np.split(label.copy(), np.flatnonzero(np.diff(block)) + 1):
+    block = np.cumsum(np.bincount(shard)[shard]) // FRONTIER_ROWS
+    for at in np.split(np.arange(len(fp)), np.flatnonzero(np.diff(block)) + 1):
         found = list(search(fp, at, root_of[shard[at]], key, child, radius))
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        while True:
-            before = label[a] + label[b]
-            low = np.minimum(label[a], label[b])
-            for x in (a, b):
-                np.minimum.at(label, label[x], low)
-                np.minimum.at(label, x, low)
-            label = label[label]
-            if np.array_equal(before, label[a] + label[b]) and np.array_equal(label[a], label[b]):
-                break
+        yield np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels where the items of each pair (a, b) have the same, smallest label."""
+    while True:
+        before = label[a] + label[b]
+        low = np.minimum(label[a], label[b])
+        for x in (a, b):
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, x, low)
+        label = label[label]
+        if np.array_equal(before, label[a] + label[b]) and np.array_equal(label[a], label[b]):
+            return label
+
+
+def local_roots(fp: np.ndarray, shard: np.ndarray, radius: int = RADIUS, similar: Callable | None = None) -> np.ndarray:
+    """For each item the smallest index that it reaches over links inside its shard.
+
+    similar(a, b), if given, says which pairs of indices within the radius are links. Each round asks
+    for one pair of each item, then leaves out the pairs that are joined already: a group of near
+    copies takes about one question for each item, and no link is lost.
+    """
+    label = np.arange(len(fp))
+    for a, b in matches(fp, shard, radius):
+        if similar is None:
+            label = _joined(label, a, b)
+            continue
+        open_pairs = b < a
+        while open_pairs.any():
+            a, b = a[open_pairs], b[open_pairs]
+            first = np.unique(a, return_index=True)[1]
+            yes = first[similar(a[first], b[first])]
+            label = _joined(label, a[yes], b[yes])
+            open_pairs = label[a] != label[b]
+            open_pairs[first] = False
     while not np.array_equal(label, label[label]):
         label = label[label]
     return label
@@ -208,48 +236,49 @@ def cut_hot_shards(keyed: DataFrame, finer: Column) -> DataFrame:
     return keyed.join(hot, ["t", "k"], "left_anti").select(*plain).union(moved)
 
 
-def _link_shards(radius: int):
-    """mapInArrow function: rows (t, k, node, fp), sorted by (t, k) -> links (u, v) from a node to
-    the smallest that it reaches inside its shard. fp: a long, or binary in words of 64 bits."""
+def _whole_shards(make: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]):
+    """mapInArrow function: rows (t, k, node, fp, ...), sorted by (t, k) -> make(rows, fp, shard) of
+    groups of whole shards. fp: a long, or binary in words of 64 bits; shard: 0.., ascending."""
 
-    def links(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        (t, k, node), fp = np.concatenate([p for p, _ in parts], axis=1), np.concatenate([f for _, f in parts])
-        order = np.lexsort((node, k, t))
-        t, k, node, fp = t[order], k[order], node[order], fp[order]
+    def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).sort_by([("t", "ascending"), ("k", "ascending"), ("node", "ascending")])
+        t, k = rows["t"].to_numpy(), rows["k"].to_numpy()
         shard = np.cumsum(np.r_[False, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        root = node[local_roots(fp, shard, radius)]
-        return pa.RecordBatch.from_arrays([pa.array(x[root != node]) for x in (node, root)], ["u", "v"])
-
-    def words(column: pa.Array) -> np.ndarray:
-        if pa.types.is_integer(column.type):
-            return np.ascontiguousarray(column.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+        if pa.types.is_integer(rows["fp"].type):
+            fp = np.ascontiguousarray(rows["fp"].to_numpy()).view(np.uint64)
+        else:
+            fp = np.frombuffer(b"".join(rows["fp"].to_pylist()), "<u8").reshape(len(rows), -1)
+        return make(rows, fp, shard)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "k", "node")])
-            fp = words(b.column("fp"))
-            held.append((rows, fp))
-            if sum(len(f) for _, f in held) >= FOREST_ROWS:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= FOREST_ROWS or sum(x.nbytes for x in held) >= FOREST_BYTES:
                 # the last shard may go on in the next batch
-                last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+                t, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k"))
+                last = np.flatnonzero((t != t[-1]) | (k != k[-1]))
                 if len(last):
-                    cut = last[-1] + 1
-                    yield links([*held[:-1], (rows[:, :cut], fp[:cut])])
-                    held = [(rows[:, cut:], fp[cut:])]
+                    cut = int(last[-1]) + 1
+                    yield made([*held[:-1], b.slice(0, cut)])
+                    held = [b.slice(cut)]
         if held:
-            yield links(held)
+            yield made(held)
 
     return each
 
 
-def _roots(keyed: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the nodes of keyed (t, k, node, fp) that have links within the radius."""
-    sharded = keyed.repartition("t", "k").sortWithinPartitions("t", "k")
-    return components(sharded.mapInArrow(_link_shards(radius), "u long, v long"))
+def _links(rows: pa.Table, root: np.ndarray) -> pa.RecordBatch:
+    """Links (u, v) from a node to the smallest that it reaches inside its shard."""
+    node = rows["node"].to_numpy()
+    moved = root != np.arange(len(root))
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["u", "v"])
+
+
+def _in_shards(keyed: DataFrame, make: Callable, schema: str) -> DataFrame:
+    return keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_whole_shards(make), schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("node is not null"))
     n = nodes.count()
     keyed = nodes.select(F.explode(F.array(*shard_keys(n))).alias("s"), "node", "fp").select("s.t", "s.k", "node", "fp")
-    roots = _roots(cut_hot_shards(keyed, finer_keys(n)), RADIUS)
+    linked = _in_shards(cut_hot_shards(keyed, finer_keys(n)), lambda rows, fp, shard: _links(rows, local_roots(fp, shard)), "u long, v long")
+    roots = components(linked)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -314,16 +344,36 @@ def _hashes(h: np.ndarray, first: int, n: int) -> np.ndarray:
     return _mixed(h[:, None] + np.arange(first + 1, first + n + 1, dtype=np.uint64) * _STEP)
 
 
-def sketch(text: bytes | None) -> tuple[bytes, np.ndarray]:
-    """(fingerprint, minima) of the set of a text's shingles: SIMILAR_WORDS words of majority bits,
-    and the least value of BANDS * BAND + FINER further hashes. A text without words has one empty shingle."""
+def shingle_hashes(text: bytes | None) -> np.ndarray:
+    """The hashed set of a text's shingles; a text without words has one empty shingle."""
     words = (text or b"").translate(_LOWER).split()
     grams = {b" ".join(words[i : i + SIMILAR_SHINGLE]) for i in range(max(1, len(words) - SIMILAR_SHINGLE + 1))}
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+
+
+def sketch(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """(fingerprint, minima) of the set of a text's shingles: SIMILAR_WORDS words of majority bits,
+    and the least value of BANDS * BAND + FINER further hashes."""
+    h = shingle_hashes(text)
     least = np.min([_hashes(some, SIMILAR_WORDS, BANDS * BAND + FINER).min(axis=0) for some in _steps(h, 8192)], axis=0)
     return majority_bits(_hashes(some, 0, SIMILAR_WORDS) for some in _steps(h, 8192)).tobytes(), least.view(np.int64)
 
 
+def least_hashes(text: bytes | None) -> np.ndarray:
+    """The KEPT_HASHES least of a text's hashed shingles, in 32 bits; all of them for most texts."""
+    return np.unique((shingle_hashes(text) >> np.uint64(32)).astype("<u4"))[:KEPT_HASHES]
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of the sets behind two least_hashes: exact where both are whole, else the
+    share of common ones among the least of the union (deviation 0.006 at 0.8)."""
+    both = np.intersect1d(x, y, assume_unique=True)
+    if max(len(x), len(y)) < KEPT_HASHES:
+        return len(both) / (len(x) + len(y) - len(both))
+    least = np.union1d(x, y)[:KEPT_HASHES]
+    return np.searchsorted(both, least[-1], "right") / len(least)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [sketch(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
@@ -331,13 +381,42 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f for f, _ in made], pa.binary()), minima], ["doc_id", "fp", "m"])
 
 
+def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        made = ([sketch(t)[0] for t in texts], [least_hashes(t).tobytes() for t in texts])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in made)], ["node", "fp", "hashes"])
+
+
+def _proposed(rows: pa.Table, fp: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """The rows that have another one within the radius in their shard."""
+    found = np.zeros(len(fp), bool)
+    for a, b in matches(fp, shard, SIMILAR_RADIUS):
+        found[a[a != b]] = True
+    kept = rows.select(["t", "k", "node", "fp"]).filter(pa.array(found))
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], schema=kept.schema)
+
+
+def _decided(rows: pa.Table, fp: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """Links of the rows whose shingles are similar, among those within the radius."""
+    sets = [np.frombuffer(x, "<u4") for x in rows["hashes"].to_pylist()]
+
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.fromiter((similarity(sets[i], sets[j]) >= SIMILARITY for i, j in zip(a, b, strict=True)), bool, len(a))
+
+    return _links(rows, local_roots(fp, shard, SIMILAR_RADIUS, similar))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for each row: documents of one component have near-equal 5-word shingles.
+    """(id, component_id) for each row: documents of one component are linked by a Jaccard
+    similarity of SIMILARITY or more over their sets of 5-word shingles.
 
-    Fingerprints of 512 bits over the sets of shingles link at SIMILAR_RADIUS bits or fewer. That
-    wide a radius leaves no block of bits to agree on, so shards are named by pairs of shingle
+    Fingerprints of 512 bits over the sets of shingles propose pairs at SIMILAR_RADIUS bits or fewer.
+    That wide a radius leaves no block of bits to agree on, so shards are named by pairs of shingle
     minima: sets with a Jaccard similarity of 0.8 share one of the BANDS shards with a chance of
-    0.9997. The task that holds a shard builds its BK-tree and searches it as in near_duplicates.
+    0.9997, and are within the radius with 0.999. The task that holds a shard builds its BK-tree and
+    searches it as in near_duplicates. Only the rows that find another one go on: their hashed
+    shingles are fetched, and the shard is searched again with the shingles deciding (see similarity).
     Texts with equal sketches are one node. A shard over HOT_ROWS, which a passage that very many
     texts share can make, is cut by FINER further minima (chance at 0.8: 0.998).
 
@@ -350,7 +429,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands = [F.struct(F.lit(t).alias("t"), F.xxhash64(*(F.col("m")[t * BAND + i] for i in range(BAND))).alias("k")) for t in range(BANDS)]
     finer = [F.struct((BANDS + F.col("t") * FINER + j).alias("t"), F.xxhash64("k", F.col("m")[BANDS * BAND + j]).alias("k")) for j in range(FINER)]
     keyed = nodes.select(F.explode(F.array(*bands)).alias("s"), "node", "fp", "m").select("s.t", "s.k", "node", "fp", "m")
-    roots = _roots(cut_hot_shards(keyed, F.array(*finer)), SIMILAR_RADIUS)
+    proposed = checkpointed(_in_shards(cut_hot_shards(keyed, F.array(*finer)), _proposed, "t int, k long, node long, fp binary"))
+    some = rows.join(proposed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hashes = map_batches(some, _hash_sets, "node long, fp binary, hashes binary").dropDuplicates(["node", "fp"])
+    roots = components(_in_shards(proposed.join(hashes, ["node", "fp"]), _decided, "u long, v long"))
     named = nodes.join(roots, "node", "left").select("fp", "m", F.coalesce("root", "node").alias("component_id"))
     return found.join(named, ["fp", "m"], "left").select(F.col("doc_id").alias(id_col), "component_id")
 
