@@ -146,24 +146,37 @@ def anchors(least: float = DICE) -> tuple[str, ...]:
     """Words of which every text with a match has one.
 
     A match shares so many of a template's bigrams that, if some words touch more than all others
-    of them, it shares one of theirs. The words are picked by the bigrams that they touch in most templates.
+    of them, it shares one of theirs. The words are picked by the bigrams that they touch in most
+    templates; words of up to three letters only where the longer ones of a template are too few.
+    A template that no words of its own cover raises ValueError.
     """
     chosen: list[str] = []
     open_ = [(grams, m - _shared_least(m, least)) for _, grams, m in templates()[0]]  # bigrams that may be missing
+    shortest = 4
     while open_:
         touched: Counter[str] = Counter()
         for grams, spare in open_:
             mine: Counter[str] = Counter()
             for g, n in grams.items():
-                for w in {w for w in g if len(w) > 3 and w.isascii()}:
-                    mine[w] += n if not set(g) & set(chosen) else 0
+                if not set(g) & set(chosen):
+                    mine.update(dict.fromkeys((w for w in set(g) if len(w) >= shortest and w.isascii()), n))
             for w, n in mine.items():
                 touched[w] += min(n, spare + 1)
-        chosen.append(max(touched, key=lambda w: (touched[w], w)))
-        open_ = [(g, s) for g, s in open_ if sum(n for x, n in g.items() if set(x) & set(chosen)) <= s]
+        if touched:
+            chosen.append(max(touched, key=lambda w: (touched[w], len(w), w)))
+            open_ = [(g, s) for g, s in open_ if sum(n for x, n in g.items() if set(x) & set(chosen)) <= s]
+        elif shortest > 1:
+            shortest = 1
+        else:
+            raise ValueError("a template has no words that every match must share")
     return tuple(chosen)
 
 
+def anchor_pattern(least: float = DICE) -> str:
+    """A pattern that lower-cased texts with a match have: any anchor that stands as a word of its own."""
+    return "(?<![a-z0-9])(" + "|".join(map(re.escape, anchors(least))) + ")(?![a-z0-9])"
+
+
 def dice(a: Counter[Bigram], b: Counter[Bigram]) -> float:
     return 2 * sum((a & b).values()) / max(sum(a.values()) + sum(b.values()), 1)
 
@@ -238,8 +251,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, licenses) for each row: array of (start, end, license, dice), code points, end exclusive.
 
     Whole texts are scanned where they are read, without a shuffle; the templates are a fixed table
-    in the code. Texts without any of the anchors have no match, and don't go to Python. Null is the empty text, which has no licences. Repeated rows are scanned each;
-    other columns are not read; an empty table gives an empty result.
+    in the code. Texts without any of the anchors have no match, and don't go to Python. Null is the
+    empty text, which has no licences. Repeated rows are scanned each; other columns are not read; an
+    empty table gives an empty result.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("dice", pa.float64())]))
 
@@ -249,7 +263,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [[dict(zip(names, x, strict=True)) for x in find_licenses(t, least)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "licenses"])
 
-    some = F.lower(text_of(text_col)).rlike("|".join(anchors(least)))
+    some = F.lower(text_of(text_col)).rlike(anchor_pattern(least))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(some, text_of(text_col)).otherwise("").alias("text"))
     out = "doc_id long, licenses array<struct<start: long, end: long, license: string, dice: double>>"
     return map_batches(rows, each, out).withColumnRenamed("doc_id", id_col)

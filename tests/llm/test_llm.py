@@ -610,6 +610,22 @@ def test_texts_without_anchors_have_no_match(docs_of):
         assert [(x.start, x.end, x.license, x.dice) for x in found[i].licenses] == license_scan.find_licenses(t or "")
 
 
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.8, 0.9, 1.0])
+def test_every_template_is_covered_by_anchors(least):
+    import time
+
+    license_scan.anchors.cache_clear()
+    began = time.perf_counter()
+    anchors = set(license_scan.anchors(least))
+    assert time.perf_counter() - began < 10
+    for _, grams, m in license_scan.templates()[0]:
+        touched = sum(n for g, n in grams.items() if anchors & set(g))
+        assert touched > m - license_scan._shared_least(m, least)  # more than a match can lack
+    pattern = re.compile(license_scan.anchor_pattern(least))
+    for texts in (license_scan.NAMES.values(), license_scan.NOTICES.values()):
+        assert all(pattern.search(license_scan.GRANTS[2].format(t).lower()) for ts in texts for t in ts)
+
+
 def test_common_bigrams_are_cheap():
     import time
 
