@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corroborate.llm import bpe, exact_dedup, html_text, license_scan, quality_classifier, quality_rules, secret_scan, simhash, source_mix, toxicity
+from corroborate.llm import bpe, exact_dedup, html_text, license_scan, quality_classifier, quality_rules, secret_scan, simhash, source_mix, token_alignment, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL}
