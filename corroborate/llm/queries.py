@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corroborate.llm import bpe, exact_dedup, html_text, license_scan, quality_classifier, quality_rules, secret_scan, simhash, source_mix, token_alignment, top_k, toxicity
+from corroborate.llm import bpe, exact_dedup, html_text, license_scan, quality_classifier, quality_rules, secret_scan, simhash, source_mix, spelling, token_alignment, top_k, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secret_scan.op10_secrets,
     "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_top_k": top_k.op12_top_k,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op12_top_k": top_k.OP12_SQL}
