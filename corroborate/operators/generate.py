@@ -18,27 +18,53 @@ def _key() -> Column:
 
 # Strings that leak into types of objects but name none.
 NO_TYPES = ("true", "false", "yes", "no", "null", "none")
-#: Types that one row meets at once when contexts are paired with the universe.
-TYPES_PER_BLOCK = 1000
-
-
 def is_object_type(name: Column) -> Column:
     """Not a boolean or null that was written as a type."""
     return ~F.lower(F.trim(name)).isin(*NO_TYPES)
 
 
-def absent_types(universe: DataFrame, present: DataFrame) -> DataFrame:
-    """(context, object_type) of the universe (object_type) that a context doesn't have.
+def _object_types(universe: DataFrame) -> DataFrame:
+    return universe.select("object_type").where(F.col("object_type").isNotNull() & is_object_type(F.col("object_type"))).distinct()
+
+
+def absent_counts(universe: DataFrame, present: DataFrame) -> DataFrame:
+    """(context, n_present, n_absent): how many types of the universe a context has and lacks.
+
+    What is absent is the universe without what is present, and both of these are tables already; the
+    pairs themselves grow with contexts x types and are made for what is asked (absent_among) or drawn
+    (absence_draws) only. present: (context, object_type); the universe's size is one number.
+    """
+    types = _object_types(universe)
+    known = present.select("context", "object_type").distinct().join(types.withColumn("_known", F.lit(1)), "object_type", "left")
+    counts = known.groupBy("context").agg(F.count("_known").alias("n_present"))
+    return counts.select("context", "n_present", (F.lit(types.count()) - F.col("n_present")).alias("n_absent"))
+
+
+def absent_among(asked: DataFrame, universe: DataFrame, present: DataFrame) -> DataFrame:
+    """Those of the asked pairs (context, object_type) whose type is in the universe and not
+    in the context. Two joins, both in size of the asked pairs."""
+    on = ["context", "object_type"]
+    return asked.select(*on).distinct().join(_object_types(universe), "object_type", "left_semi").join(present.select(*on), on, "left_anti").select(*on)
+
+
+def absence_draws(universe: DataFrame, present: DataFrame, per_context: int, seed: int = 42) -> DataFrame:
+    """(context, object_type): per_context types that a context lacks, or all if it lacks fewer.
 
-    present: (context, object_type). Of any size: the types are dealt to blocks by hash, each
-    context meets each block in an equi-join, and what is present is anti-joined. The result holds
-    every absent pair, so it grows with contexts x types; only its rows are made.
+    The types lie on a ring in the seeded order. A context starts at a seeded place of its own and
+    takes the first types that it doesn't have. Among per_context places and as many more as it has
+    types there are enough, so no more of them are made than that: contexts x per_context plus the
+    size of `present`, never contexts x types.
     """
-    types = universe.select("object_type").where(F.col("object_type").isNotNull() & is_object_type(F.col("object_type"))).distinct()
-    n = max(1, -(-types.count() // TYPES_PER_BLOCK))
-    blocks = types.withColumn("block", F.pmod(F.xxhash64("object_type"), F.lit(n)))
-    contexts = present.select("context").distinct().select("context", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    return contexts.join(blocks, "block").select("context", "object_type").join(present.select("context", "object_type"), ["context", "object_type"], "left_anti")
+    ring = _ranked(_object_types(universe), "object_type", [F.lit(0)], seed).select((F.col("_place") - 1).alias("at"), "object_type")
+    has = present.select("context", "object_type").distinct()
+    n = ring.count()
+    start = F.conv(F.substring(seeded_order(F.concat(F.lit("ring-"), F.col("context").cast("string")), seed), 1, 8), 16, 10).cast("long")
+    sizes = has.groupBy("context").agg(F.count("*").alias("n")).where(F.lit(n) > 0)
+    tried = F.sequence(F.lit(0).cast("long"), F.least(F.col("n") + per_context, F.lit(n)) - 1)
+    places = sizes.select("context", start.alias("start"), F.explode(tried).alias("step")).withColumn("at", (F.col("start") + F.col("step")) % F.lit(max(n, 1)))
+    free = places.join(ring, "at").join(has, ["context", "object_type"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("context").orderBy("step"))
+    return free.withColumn("_r", nth).where(F.col("_r") <= per_context).select("context", "object_type")
 
 
 def preferred_receptacles(triples: DataFrame, rules: DataFrame) -> DataFrame:
@@ -142,11 +168,11 @@ def context_claims(triples: DataFrame, rules: DataFrame, per_context: int, seed:
 
 
 def absence_claims(universe: DataFrame, present: DataFrame, per_context: int, seed: int = 42) -> DataFrame:
-    """Per context, absent types (supported) and as many present ones (refuted)."""
+    """Per context, types that it lacks (supported, see absence_draws) and as many that it has (refuted)."""
     key = F.concat_ws("|", "context", "object_type")
-    window = Window.partitionBy("context").orderBy(seeded_order(key, seed), "object_type")
-    pick = lambda df, label: df.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= per_context).drop("_r").withColumn("label", F.lit(label))
-    return pick(absent_types(universe, present), "supported").unionByName(pick(present.distinct(), "refuted"))
+    nth = F.row_number().over(Window.partitionBy("context").orderBy(seeded_order(key, seed), "object_type"))
+    had = present.select("context", "object_type").distinct().withColumn("_r", nth).where(F.col("_r") <= per_context).drop("_r")
+    return absence_draws(universe, present, per_context, seed).withColumn("label", F.lit("supported")).unionByName(had.withColumn("label", F.lit("refuted")))
 
 
 # The templates of synthetic claims: name, whether it breaks the shortcut from stance to

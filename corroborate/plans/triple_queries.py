@@ -152,7 +152,14 @@ def _types(spark, d):
 
 
 def absent_types(spark, d):
-    return G.absent_types(_types(spark, d), _present(spark, d))
+    return G.absent_counts(_types(spark, d), _present(spark, d))
+
+
+def absent_pairs(spark, d):
+    """Of the parts that come next to an order's own by number: those that it doesn't hold under any number."""
+    parts = B.table(spark, d, "part").select((F.col("p_partkey") - 1).alias("l_partkey"), F.col("p_name").alias("object_type"))
+    asked = B.table(spark, d, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").cast("string").alias("context"), "object_type")
+    return G.absent_among(asked, _types(spark, d), _present(spark, d))
 
 
 def absence_claims(spark, d):
@@ -194,7 +201,7 @@ def realize_conjunction(spark, d):
 
 
 def realize_absence(spark, d):
-    return absent_types(spark, d).select("context", Z.absence_text(Z.type_label(F.col("object_type"))).alias("sentence"))
+    return G.absence_draws(_types(spark, d), _present(spark, d), 3).select("context", Z.absence_text(Z.type_label(F.col("object_type"))).alias("sentence"))
 
 
 def sentence_normalise(spark, d):
@@ -260,7 +267,10 @@ wrong AS (SELECT s, p, o, 0 AS rank, 'boolean_flip' AS how, CASE WHEN lower(trim
   UNION ALL SELECT s, p, o, 2, 'receptacle_substitution', bad_o FROM rw JOIN rules ON lower({_TYPE.format(x="s")}) = rules.object_type JOIN places USING (receptacle) WHERE bad_o <> o),
 bad AS (SELECT s, p, o, arg_min(bad_o, (rank, bad_o)) AS bad_o, arg_min(how, (rank, bad_o)) AS how FROM wrong w WHERE NOT EXISTS (SELECT 1 FROM rw x WHERE x.s = w.s AND x.p = w.p AND x.o = w.bad_o) GROUP BY 1, 2, 3)"""
 _MADE = f"{B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD}"
-_PRESENT = "present AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey), absent AS (SELECT c.context, u.object_type FROM (SELECT DISTINCT context FROM present) c, (SELECT DISTINCT p_name AS object_type FROM part) u WHERE NOT EXISTS (SELECT 1 FROM present x WHERE x.context = c.context AND x.object_type = u.object_type))"
+_PRESENT = """present AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_DRAWN = f"""{_PRESENT}, ring AS (SELECT object_type, row_number() OVER (ORDER BY md5('42-' || object_type), object_type) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT p_name AS object_type FROM part)),
+steps AS (SELECT context, object_type, (place - CAST('0x' || substr(md5('42-ring-' || context), 1, 8) AS BIGINT) % n + n) % n AS step FROM (SELECT DISTINCT context FROM present), ring),
+drawn AS (SELECT context, object_type FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY step) AS k FROM steps ANTI JOIN present USING (context, object_type)) WHERE k <= 3)"""
 _CO = f"{B.TURN}, co AS (SELECT a.claim_id, a.i AS src, b.i AS dst, row_number() OVER (PARTITION BY a.claim_id, a.i ORDER BY abs(b.i - a.i), b.i) AS k FROM tn a JOIN tn b ON a.claim_id = b.claim_id AND a.i <> b.i)"
 _IX = f"{_CO}, ct AS (SELECT claim_id, lower(text) AS text FROM tn WHERE ord = 0), et AS (SELECT claim_id, i, 0 AS o, lower(role) AS text FROM tn UNION ALL SELECT claim_id, i, 1, lower(text) FROM tn), ix AS (SELECT claim_id, text, dense_rank() OVER (PARTITION BY claim_id ORDER BY pos) - 1 AS t FROM (SELECT claim_id, text, min(pos) AS pos FROM (SELECT claim_id, text, -1 AS pos FROM ct UNION ALL SELECT claim_id, text, 2 * i + o FROM et) GROUP BY 1, 2))"
 _ED = f"{_IX}, ed AS (SELECT claim_id, 'has_evidence' AS kind, 0 AS src, i AS dst FROM tn UNION ALL SELECT claim_id, 'connected_to', i, 0 FROM tn UNION ALL SELECT claim_id, 'co_evidence', src, dst FROM co WHERE k <= 5 UNION ALL SELECT claim_id, 'has_triple', 0, t FROM ct JOIN ix USING (claim_id, text) UNION ALL SELECT claim_id, 'from_triple', i, t FROM et JOIN ix USING (claim_id, text))"
@@ -297,12 +307,13 @@ al AS (SELECT key, s, p, o, o AS claimed_o, 'supported' AS label FROM kx UNION A
 rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' || s || '|' || p || '|' || o || '|' || claimed_o), s || '|' || p || '|' || o || '|' || claimed_o) AS k FROM al) SELECT key, s, p, o, claimed_o, label FROM rk WHERE k <= 10"""),
     "structured_claims": (structured_claims, f"WITH {B.TR} SELECT 'negation' AS structural, 'refuted' AS label, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM tr) WHERE lower(trim(o)) IN ('true','1','yes','y','t')"),
     "negation_claims": (negation_claims, f"WITH {B.TR} SELECT DISTINCT s, 'False' AS claimed_o, CASE WHEN o = 'true' THEN 'refuted' ELSE 'supported' END AS label FROM tr WHERE p = '{REL}/isUrgent'"),
-    "absent_types": (absent_types, f"WITH {_PRESENT} SELECT * FROM absent"),
-    "absence_claims": (absence_claims, f"WITH {_PRESENT}, r AS (SELECT *, 'supported' AS label, row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) AS k FROM absent UNION ALL SELECT *, 'refuted', row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) FROM present) SELECT context, object_type, label FROM r WHERE k <= 3"),
+    "absent_types": (absent_types, f"WITH {_PRESENT}, u AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT context, count(*) AS n_present, n - count(*) AS n_absent FROM present, u GROUP BY context, n"),
+    "absent_pairs": (absent_pairs, f"WITH {_PRESENT}, asked AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON p_partkey = l_partkey + 1) SELECT * FROM asked ANTI JOIN present USING (context, object_type)"),
+    "absence_claims": (absence_claims, f"WITH {_DRAWN}, had AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) AS k FROM present) SELECT context, object_type, 'supported' AS label FROM drawn UNION ALL SELECT context, object_type, 'refuted' FROM had WHERE k <= 3"),
     "semantic_map": (semantic_map, "SELECT c_mktsegment AS object_type, string_agg(DISTINCT 'region_' || CAST(n_regionkey AS VARCHAR), ',' ORDER BY 'region_' || CAST(n_regionkey AS VARCHAR)) AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "realize_triples": (realize_triples, f"WITH {LEX} SELECT ord, sentence FROM st"),
     "realize_conjunction": (realize_conjunction, f"WITH {LEX}, pt AS (SELECT *, TRY_CAST(regexp_extract(s, '([0-9]+)$', 1) AS BIGINT) AS n FROM st WHERE rel <> 'isUrgent') SELECT a.s AS a, b.s AS b, rtrim(a.sentence, '.') || ' and ' || CASE WHEN a.s = b.s THEN regexp_replace(lower(b.sentence), '^the .* is ', '') ELSE lower(b.sentence) END AS sentence FROM pt a JOIN pt b ON a.rel = 'mass' AND b.rel = 'temperature' AND b.n IN (a.n, a.n + 1)"),
-    "realize_absence": (realize_absence, f"WITH {_PRESENT} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM absent"),
+    "realize_absence": (realize_absence, f"WITH {_DRAWN} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM drawn"),
     "sentence_normalise": (sentence_normalise, "WITH x AS (SELECT item_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, upper(substr(t, 1, 1)) || substr(t, 2) || CASE WHEN regexp_matches(t, '[.!?]$') THEN '' ELSE '.' END AS sentence, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS short, substr(sha256(text), 1, 16) AS hash FROM x"),
     "coevidence_edges": (coevidence_edges, f"WITH {_CO} SELECT claim_id, src, dst FROM co WHERE k <= 5"),
     "triple_index": (triple_index, f"WITH {_IX} SELECT * FROM ix"),

@@ -231,16 +231,45 @@ def test_generation(spark):
     some = G.synthetic_claims(G.template_table(spark, {"conflicting": 0.5, "perception_direct": 0.5}), registry, 7)
     assert sorted(r["count"] for r in some.groupBy("template").count().collect()) == [3, 4]
     present = spark.createDataFrame([("k1", "mug"), ("k2", "cup")], "context string, object_type string")
-    assert sorted(tuple(r) for r in G.absent_types(present, present).collect()) == [("k1", "cup"), ("k2", "mug")]
+    assert sorted(tuple(r) for r in G.absence_draws(present, present, 9).collect()) == [("k1", "cup"), ("k2", "mug")]
 
 
 def test_absence_has_no_limit(spark):
     """50,000 types and a few that are none; what is absent is exact."""
     universe = spark.range(50_000).select(F.concat(F.lit("t"), "id").alias("object_type")).union(spark.createDataFrame([("None",), ("true",), (None,)], "object_type string"))
     present = spark.range(0, 50_000, 2).select(F.lit("k").alias("context"), F.concat(F.lit("t"), "id").alias("object_type")).union(spark.createDataFrame([("other", "t1")], "context string, object_type string"))
-    found = G.absent_types(universe, present)
-    assert {r.context: r["count"] for r in found.groupBy("context").count().collect()} == {"k": 25_000, "other": 49_999}
-    assert found.join(present, ["context", "object_type"]).isEmpty()
+    counts = {r.context: (r.n_present, r.n_absent) for r in G.absent_counts(universe, present).collect()}
+    assert counts == {"k": (25_000, 25_000), "other": (1, 49_999)}
+    every = present.select("context").distinct().crossJoin(universe)
+    asked = G.absent_among(every, universe, present)
+    assert {r.context: r["count"] for r in asked.groupBy("context").count().collect()} == {"k": 25_000, "other": 49_999}
+    drawn = G.absence_draws(universe, present, 25_100)
+    assert {r.context: r["count"] for r in drawn.groupBy("context").count().collect()} == {"k": 25_000, "other": 25_100}
+    assert drawn.join(present, ["context", "object_type"]).isEmpty() and drawn.distinct().count() == drawn.count()
+
+
+def test_absence_draws_follow_the_ring(spark):
+    """Against a walk over the sorted list of types, with contexts that lack few or no types; no table of all pairs."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    types = [f"type{i}" for i in range(30)]
+    has = {f"c{k}": {t for i, t in enumerate(types) if (i * 7 + k) % 30 < k} for k in range(1, 31)}
+    present = spark.createDataFrame([(c, t) for c, ts in has.items() for t in ts] + [("c1", "unheard of")], "context string, object_type string")
+    universe = spark.createDataFrame([(t,) for t in types * 2] + [(None,)], "object_type string")
+    ring = sorted(types, key=lambda t: (md5(f"42-{t}"), t))
+    want = set()
+    for c, ts in has.items():
+        start = int(md5(f"42-ring-{c}")[:8], 16) % 30
+        want |= {(c, t) for t in [t for t in ring[start:] + ring[:start] if t not in ts][:4]}
+    found = G.absence_draws(universe, present, 4)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert not any(c == "c30" for c, _ in want)  # it has them all
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    empty = present.limit(0)
+    assert G.absence_draws(universe, empty, 4).collect() == [] == G.absence_draws(universe.limit(0), present, 4).collect()
+    assert G.absence_claims(universe, present, 2).groupBy("label").count().count() == 2
 
 
 def test_conjunctions(spark):
