@@ -51,18 +51,28 @@ class Links(NamedTuple):
     link_b: np.ndarray
 
 
+def _at_cuts(cuts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's group; the tokens that end at a cut, in order, and how many do at each cut."""
+    group = np.searchsorted(cuts, ends)
+    inside = group < len(cuts)
+    at = np.flatnonzero(cuts[group] == ends) if inside.all() else np.flatnonzero(inside)[cuts[group[inside]] == ends[inside]]
+    return group, at, np.bincount(group[at], minlength=len(cuts))
+
+
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Links:
     """Cuts, each token's group, and links as places of A and of B, in order.
 
     Ends never fall; a token without bytes ends where its predecessor does, and is linked there too.
     """
-    cuts = np.intersect1d(ends_a, ends_b)
-    from_a, from_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-    n_a, n_b = np.searchsorted(ends_a, cuts, "right") - from_a, np.searchsorted(ends_b, cuts, "right") - from_b
+    rising = bool((ends_a[1:] > ends_a[:-1]).all() and (ends_b[1:] > ends_b[:-1]).all())
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=rising)
+    (group_a, at_a, n_a), (group_b, at_b, n_b) = _at_cuts(cuts, ends_a), _at_cuts(cuts, ends_b)
     each = n_a * n_b
     within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     width = np.repeat(n_b, each)
-    return Links(cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.repeat(from_a, each) + within // width, np.repeat(from_b, each) + within % width)
+    link_a = at_a[np.repeat(np.cumsum(n_a) - n_a, each) + within // width]
+    link_b = at_b[np.repeat(np.cumsum(n_b) - n_b, each) + within % width]
+    return Links(cuts, group_a, group_b, link_a, link_b)
 
 
 @lru_cache(maxsize=1)
@@ -183,8 +193,10 @@ def group_texts(x: Aligned, a: ByteLevel, b: Pieces) -> list[bytes]:
     last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (x.links.group_a, x.links.group_b))
     code = np.empty(n_a + n_b, np.int64)
     # a token stands behind the earlier ones of its kind, and behind the other kind's up to its group
-    code[np.arange(n_a) + np.searchsorted(x.links.group_b, x.links.group_a)] = x.ids_a + last_a * size_a
-    code[np.arange(n_b) + np.searchsorted(x.links.group_a, x.links.group_b, "right")] = x.ids_b + 2 * size_a + last_b * size_b
+    upto_a, upto_b = (np.cumsum(np.bincount(g, minlength=len(x.links.cuts))) for g in (x.links.group_a, x.links.group_b))
+    before_b = np.concatenate([[0], upto_b])
+    code[np.arange(n_a) + before_b[x.links.group_a]] = x.ids_a + last_a * size_a
+    code[np.arange(n_b) + upto_a[x.links.group_b]] = x.ids_b + 2 * size_a + last_b * size_b
     at = (x.start_a + x.start_b).tolist()
     return [b"".join(map(names.__getitem__, code[i:j].tolist()))[:-1] for i, j in zip(at, at[1:], strict=False)]
 
