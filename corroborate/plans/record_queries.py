@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +11,11 @@ from corroborate.operators import generate as G
 from corroborate.operators import profile as P
 from corroborate.operators import splits as S
 from corroborate.operators import validate as X
+from corroborate.operators.lineage import new_folder
 from corroborate.plans import bindings as B
 from corroborate.plans.claim_queries import SHARED_TEXT_RULES
 from corroborate.sources import records as R
+from corroborate.sources import turtle as TTL
 
 CLAIMS = (
     "", "short.", "The cup is not in the sink.", "the lamp is true.", "The kettle is temperature hot.", "See https://example.org for the answer of this claim.", "A | B is 5 % of all cups.",
@@ -269,9 +269,8 @@ sy AS (SELECT 'synthetic-' || template || '-' || lpad(CAST(r AS VARCHAR), 6, '0'
 
 
 def _folder(spark) -> str:
-    """A new folder under the session's spark.checkpoint.dir, or its warehouse where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder of this run under the shared one."""
+    return new_folder(spark, "files")
 
 
 def jsonl_files(spark, d):
@@ -298,6 +297,14 @@ def turtle_files(spark, d):
     return R.read_turtle(spark, at)
 
 
+def turtle_round_trip(spark, d):
+    """All triples as Turtle with prefixes and lists, and texts with line breaks, and back."""
+    at = _folder(spark)
+    said = B.table(spark, d, "conversations").select(F.format_string("http://e.org/turn#c%s-%d", F.col("conv_id").cast("string"), F.col("turn").cast("long")).alias("s"), F.lit("http://e.org/said").alias("p"), F.concat("role", F.lit(':\n"\t'), "text", F.lit('\\"')).alias("o"))
+    TTL.write_turtle(B.triples(spark, d).select("s", "p", "o").unionByName(said), at, {"kg": f"{B.BASE}/entities/"})
+    return TTL.read_turtle(spark, at, strict=True)
+
+
 def split_files(spark, d):
     """A split index by line, written, read, and used to take the test rows."""
     at = _folder(spark)
@@ -346,6 +353,7 @@ SELECT 'leg-' || CAST(i AS VARCHAR) AS id, CASE WHEN good THEN 'supported' ELSE
     "batch_report": (batch_report, f"WITH {_template_sql()}, b AS (SELECT count(*) AS n, count(*) FILTER (is_shortcut_breaking) AS n_shortcut, count(*) FILTER (r % 7 = 0) AS n_missing, count(*) FILTER (r % 10 = 0 AND verdict <> 'refuted') AS n_mismatch FROM sy) SELECT *, round(n_shortcut::DOUBLE / n, 4) AS shortcut_fraction, n > 0 AND n_shortcut::DOUBLE / n >= 0.35::DOUBLE AND n_missing = 0 AND n_mismatch = 0 AS passed FROM b"),
     "jsonl_files": (jsonl_files, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, claim, label, n_items AS n FROM rec"),
     "ntriples_files": (ntriples_files, f"WITH {B.TR} SELECT s, p, o FROM tr"),
+    "turtle_round_trip": (turtle_round_trip, f"WITH {B.TR} SELECT s, p, o FROM tr UNION ALL SELECT 'http://e.org/turn#c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'http://e.org/said', role || ':' || chr(10) || '\"' || chr(9) || text || chr(92) || '\"' FROM conversations"),
     "turtle_files": (turtle_files, "WITH n AS (SELECT 'http://e.org/n' || CAST(n_nationkey AS VARCHAR) AS s, n_name, 'http://e.org/r' || CAST(n_regionkey AS VARCHAR) AS r FROM nation) SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://e.org/Nation' AS o FROM n UNION ALL SELECT s, 'http://e.org/in', r FROM n UNION ALL SELECT s, 'http://e.org/in', 'http://e.org/world' FROM n UNION ALL SELECT s, 'http://e.org/name', n_name FROM n"),
     "split_files": (split_files, f"WITH {B.CL}, rk AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM cl) SELECT doc_id AS line_idx, label FROM rk WHERE r > floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE)"),
     "registry_files": (registry_files, f"WITH {B.WEB} SELECT source_type || '_' || modality AS source_id, max(source_trust)::DOUBLE AS source_trust FROM wreg GROUP BY 1"),

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corroborate.sources.turtle import bracketed, is_node, plain, quoted, read_turtle, write_turtle
+
+__all__ = ["read_turtle", "write_turtle"]  # Turtle has its own module
+
 TRIPLE_LIST = "array<array<string>>"
 ITEM = (
     f"struct<evidence_id: string, text: string, triples: {TRIPLE_LIST}, triple_source: string, modality: string, stance: string, "
@@ -35,7 +39,7 @@ REGISTRY = (
 )
 SEED_POOL = "claim string, evidence_type string, domain string, supporting_evidence string, refuting_evidence string"
 
-_TRIPLE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[A-Za-z-]+|\^\^<[^>]*>)?|(_:\S+))\s*\.\s*$'
+_TRIPLE = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType = RECORD, keep_malformed: bool = False) -> DataFrame:
@@ -60,59 +64,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of N-Triples lines; comments and other lines are skipped."""
-    lines = spark.read.text(path).where(F.col("value").rlike(_TRIPLE))
-    part = lambda k: F.regexp_extract("value", _TRIPLE, k)
-    literal = F.replace(F.replace(part(4), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
-    return lines.select(part(1).alias("s"), part(2).alias("p"), F.coalesce(F.nullif(part(3), F.lit("")), F.nullif(part(5), F.lit("")), literal).alias("o"))
-
-
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of simple Turtle: @prefix lines, and statements with ; and , lists, a file per task.
-
-    Statements end in " ." at a line's end. Prefixes belong to their file, so a file is read whole.
-    """
-    def statements(batches):
-        import re
-
-        import pyarrow as pa
-
-        term = re.compile(r'<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^\S+)?|([;,.])(?=\s|$)|(_:[\w-]+|[\w-]*:[^\s;,]*[^\s;,.]|a\b|[+-]?\d+(?:\.\d+)?|true|false)')
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                prefixes = dict(re.findall(r"@prefix\s+([\w-]*):\s*<([^>]*)>\s*\.", text))
-                body = re.sub(r"(?m)^\s*@prefix.*$|^\s*#.*$", "", text)
-                row, out = [], []
-                for iri, lit, mark, name in term.findall(body):
-                    if mark:
-                        if len(row) == 3:
-                            out.append(tuple(row))
-                        row = row[:1] if mark == ";" else row[:2] if mark == "," else []
-                        continue
-                    if name == "a":
-                        value = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-                    elif ":" in name and not name.startswith("_:"):
-                        head, _, tail = name.partition(":")
-                        value = prefixes.get(head, f"{head}:") + tail
-                    else:
-                        value = iri or lit or name
-                    row.append(value)
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["s", "p", "o"])
-
-    return spark.read.text(path, wholetext=True).mapInArrow(statements, "s string, p string, o string")
+    """(s, p, o) of N-Triples lines, escapes undone; comments and other lines are skipped."""
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(_TRIPLE))
+    part = lambda k: F.nullif(F.regexp_extract("value", _TRIPLE, k), F.lit(""))
+    literal = F.regexp_extract("value", _TRIPLE, 6)
+    first = lambda *c: plain(F.coalesce(*c))
+    return lines.select(first(part(1), part(2)).alias("s"), plain(part(3)).alias("p"), first(part(4), part(5), literal).alias("o"))
 
 
 def ntriples_line(s: Column, p: Column, o: Column) -> Column:
-    """An object is a URI if it starts with http, else a literal."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(o, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    obj = F.when(o.startswith("http"), F.concat(F.lit("<"), o, F.lit(">"))).otherwise(quoted)
-    return F.concat(F.lit("<"), s, F.lit("> <"), p, F.lit("> "), obj, F.lit(" ."))
+    """An object is a URI if it starts with http, a blank node if with _:, else a literal. One line,
+    whatever the literal holds."""
+    node = lambda c: F.when(c.startswith("_:"), c).otherwise(bracketed(c))
+    return F.concat(node(s), F.lit(" "), bracketed(p), F.lit(" "), F.when(is_node(o), node(o)).otherwise(quoted(o)), F.lit(" ."))
 
 
 def write_ntriples(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """S5, S6."""
-    triples.select(ntriples_line(F.col("s"), F.col("p"), F.col("o")).alias("value")).write.mode(mode).text(path)
+    triples.select(ntriples_line(F.col("s"), F.col("p"), F.col("o")).alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
