@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import formula
 from corroborate.functions.vocab import DECISION_THETA, EVIDENCE_TYPES, EVIDENCE_WEIGHTS, VERDICT_CODES, verdict_code
 from corroborate.operators.evidence import claim_scores, with_decision_path
+from corroborate.operators.splits import _ranked
 
 #: A scorer takes scores (claim_id, support, refute, ...) and adds `pred`.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -29,8 +30,6 @@ def by_decision(scores: DataFrame, theta: float = DECISION_THETA) -> DataFrame:
 
 
 MODELS: dict[str, Scorer] = {"thresholds": by_thresholds, "decision": by_decision}
-#: Models that are compared in pairs.
-MOST_MODELS = 1000
 
 
 def by_head(model) -> Scorer:
@@ -95,6 +94,29 @@ def type_counterfactuals(items: DataFrame, key: str = "claim_id") -> DataFrame:
     return wide.select(F.explode(changed).alias("x")).groupBy("x.type").agg(F.count("*").alias("n"), F.count_if("x.changed").alias("n_changed"))
 
 
+def without_each(items: DataFrame, key: str = "claim_id", item: str = "event_id") -> DataFrame:
+    """For each scored item the claim's scores and verdict without it: (key, item, support, refute,
+    verdict, changed: whether the verdict is another one).
+
+    A claim's products over the rest are its products divided by the item's own factor, with factors of 0
+    counted apart; so a claim costs one aggregate and one join, and none is sorted. A nudge of 1e-10 before rounding
+    settles decimal ties alike, however the factors are multiplied.
+    """
+    def side(name: str) -> tuple[Column, Column]:
+        left = F.when(F.col("stance") == name, 1 - F.col("confidence"))
+        return left, F.struct(F.coalesce(F.product(F.when(left != 0, left)), F.lit(1.0)).alias("p"), F.count_if(left == 0).alias("z"))
+
+    (for_, for_all), (against, against_all) = side("supports"), side("refutes")
+    totals = items.groupBy(F.col(key).alias("_key")).agg(for_all.alias("_s"), against_all.alias("_r"))
+    score = lambda p: F.round(1 - p + 1e-10, 4)
+    whole = lambda t: score(F.when(F.col(t)["z"] > 0, 0.0).otherwise(F.col(t)["p"]))
+    rest = lambda own, t: score(F.when(F.col(t)["z"] - F.coalesce((own == 0).cast("int"), F.lit(0)) > 0, 0.0).when(own.isNull() | (own == 0), F.col(t)["p"]).otherwise(F.col(t)["p"] / own))
+    both = items.join(totals, F.col(key) == F.col("_key"))
+    out = both.select(key, item, rest(for_, "_s").alias("support"), rest(against, "_r").alias("refute"), formula.verdict(whole("_s"), whole("_r")).alias("_now"))
+    verdict = formula.verdict(F.col("support"), F.col("refute"))
+    return out.withColumn("verdict", verdict).withColumn("changed", verdict != F.col("_now")).drop("_now")
+
+
 def pass_rates(probes: DataFrame, by: str) -> DataFrame:
     """Probes (expected, pred) that pass, by hypothesis or model."""
     return probes.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg((F.col("expected") == F.col("pred")).cast("double")), 4).alias("pass_rate"))
@@ -157,11 +179,16 @@ def distinct_claims(corpus: DataFrame) -> DataFrame:
 
 
 def model_pairs(names: DataFrame, column: str = "model") -> DataFrame:
-    """Unordered pairs of the models, from one sorted list of up to MOST_MODELS (an error above that)."""
-    models = names.agg(F.sort_array(F.collect_set(column)).alias("ms"))
-    checked = F.when(F.size("ms") > MOST_MODELS, F.raise_error(F.lit(f"more than {MOST_MODELS} models"))).otherwise(F.col("ms"))
-    each = models.select(checked.alias("ms")).select("ms", F.posexplode("ms").alias("i", "a"))
-    return each.select("a", F.explode(F.slice("ms", F.col("i") + 2, F.size("ms"))).alias("b"))
+    """Unordered pairs of the models, the smaller name first, each task with its share of the ranks.
+
+    The names are ranked, and each makes the ranks above its own; the result is all pairs, so it grows with
+    the square of the number of models, which are few. There is no limit.
+    """
+    models = names.select(F.col(column).alias("a")).where(F.col(column).isNotNull()).distinct()
+    ranked = _ranked(models, "a", [F.lit(0)], 42)
+    above = ranked.select("a", F.explode(F.sequence(F.lit(1).cast("long"), "_all")).alias("_other"))
+    other = ranked.select(F.col("a").alias("b"), F.col("_place").alias("_other"))
+    return above.join(other, "_other").where(F.col("a") < F.col("b")).select("a", "b")
 
 
 def extracted_json(text: Column, schema: str) -> Column:

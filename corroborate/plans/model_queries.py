@@ -24,6 +24,10 @@ def type_counterfactuals(spark, d):
     return O.type_counterfactuals(_items(spark, d))
 
 
+def leave_one_out(spark, d):
+    return O.without_each(_items(spark, d))
+
+
 def probe_pass_rates(spark, d):
     """Users as hypotheses: does the decision path agree with the formula?"""
     s = O.by_decision(_labelled(spark, d).withColumnRenamed("label", "expected"))
@@ -116,6 +120,9 @@ _AT = "CASE WHEN support > {t} AND refute > {t} THEN 'not_enough_evidence' WHEN
 QUERIES = {
     "theta_search": (theta_search, f"WITH {_LABELLED} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS theta, round(avg(CAST({_AT.format(t=f'{t}::DOUBLE')} = label AS DOUBLE)), 4) AS accuracy FROM lb" for t in (0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60))),
     "type_counterfactuals": (type_counterfactuals, f"WITH {B.SCORES}, cf AS (" + " UNION ALL ".join(_flip(t) for t in V.EVIDENCE_TYPES) + f"), a AS (SELECT type, claim_id, {B.VERDICT} AS v FROM cf), b AS (SELECT claim_id, {B.VERDICT} AS v FROM scores) SELECT type, count(*) AS n, count(*) FILTER (a.v <> b.v) AS n_changed FROM a JOIN b USING (claim_id) GROUP BY 1"),
+    "leave_one_out": (leave_one_out, f"WITH {B.SCORES}, w AS (SELECT claim_id, event_id, "
+        + ", ".join(f"round(1 - coalesce(product(CASE WHEN stance = '{s}' THEN 1 - confidence END) OVER (PARTITION BY claim_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 1.0) + 1e-10, 4) AS {n}" for s, n in (("supports", "support"), ("refutes", "refute")))
+        + f" FROM items), v AS (SELECT *, {B.VERDICT} AS verdict FROM w), n AS (SELECT claim_id, {B.VERDICT} AS whole FROM scores) SELECT claim_id, event_id, support, refute, verdict, verdict <> whole AS changed FROM v JOIN n USING (claim_id)"),
     "probe_pass_rates": (probe_pass_rates, f"WITH {_LABELLED} SELECT 'h' || CAST(CAST(split_part(claim_id, '-', 1) AS BIGINT) % 5 AS VARCHAR) AS hypothesis, count(*) AS n, round(avg(CAST({_AT.format(t='0.35::DOUBLE')} = label AS DOUBLE)), 4) AS pass_rate FROM lb GROUP BY 1"),
     "stance_ordinals": (stance_ordinals, f"WITH {B.EV} SELECT event_id, CAST(row_number() OVER (PARTITION BY claim_id, stance ORDER BY event_id) AS INTEGER) AS nth FROM ev"),
     "best_epochs": (best_epochs, "WITH h AS (SELECT event_type AS model, CAST(day(ts) AS INTEGER) AS epoch, round(avg(value), 6) AS val_loss FROM events GROUP BY 1, 2), b AS (SELECT *, min(val_loss) OVER (PARTITION BY model ORDER BY epoch) AS best FROM h), w AS (SELECT *, epoch - max(CASE WHEN val_loss <= best THEN epoch END) OVER (PARTITION BY model ORDER BY epoch) AS waited FROM b) SELECT model, epoch, best, waited, max(waited) OVER (PARTITION BY model ORDER BY epoch) >= 5 AS stopped FROM w"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import vocab as V
 from corroborate.operators import convert as C
+from corroborate.operators import examples as EX
 from corroborate.operators import generate as G
 from corroborate.operators import profile as P
 from corroborate.operators import splits as S
@@ -15,6 +16,7 @@ from corroborate.operators.lineage import new_folder
 from corroborate.plans import bindings as B
 from corroborate.plans.claim_queries import SHARED_TEXT_RULES
 from corroborate.sources import records as R
+from corroborate.sources import scenes as SC
 from corroborate.sources import turtle as TTL
 
 CLAIMS = (
@@ -175,6 +177,12 @@ def record_issues(spark, d):
     return checked.select("id", _names("issues").alias("rules"), _names("dataset_issues").alias("dataset_rules"), "is_valid", F.round("quality", 4).alias("quality"))
 
 
+def issue_examples(spark, d):
+    """O2: the first three records that break each rule, with five messages at most."""
+    found = EX.issue_examples(X.validated(records(spark, d)).select("id", "issues"))
+    return found.select("rule", "id", "n", F.size("messages").cast("long").alias("n_messages"))
+
+
 def record_issue_counts(spark, d):
     checked = X.validated(records(spark, d)).select(F.concat("issues", "dataset_issues").alias("issues"))
     return X.issue_counts(checked)
@@ -305,6 +313,20 @@ def turtle_round_trip(spark, d):
     return TTL.read_turtle(spark, at, strict=True)
 
 
+def scene_files(spark, d):
+    """Orders as recorded scenes of their lines, a scene a customer's nation; two of them are read back."""
+    at = _folder(spark)
+    rel = F.array(F.struct(F.lit("isInside").alias("predicate"), F.concat(F.lit("Order|"), "l_orderkey").alias("object")))
+    li = B.table(spark, d, "lineitem").join(B.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(B.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    objects = li.select(
+        F.concat(F.lit("nation "), "c_nationkey").alias("scene_id"), F.concat_ws("|", F.lit("Part"), "l_partkey", "l_orderkey", "l_linenumber").alias("object_id"), F.lit("Part").alias("object_type"),
+        F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("quantity"), F.col("l_quantity").cast("int").cast("string")).alias("properties"), rel.alias("relations"),
+    )
+    SC.write_scenes(objects, at)
+    two = SC.read_scenes(spark, at, ["nation 3", "nation 11"])
+    return two.select("scene_id", "object_id", F.col("properties")["flag"].alias("flag"), F.col("properties")["quantity"].alias("quantity"), F.col("relations")[0]["object"].alias("inside"))
+
+
 def split_files(spark, d):
     """A split index by line, written, read, and used to take the test rows."""
     at = _folder(spark)
@@ -339,6 +361,7 @@ def cached_graphs(spark, d):
 QUERIES = {
     "record_issues": (record_issues, f"WITH {CHECKED}, q AS (SELECT i, string_agg(rule, ',' ORDER BY rule) AS rules, bool_or(severity = 'error') AS bad, {_LOST} AS lost FROM sh GROUP BY 1), dq AS (SELECT i, string_agg(rule, ',' ORDER BY rule) AS rules FROM ds GROUP BY 1), x AS (SELECT rec.i, claim, coalesce(q.rules, '') AS rules, coalesce(dq.rules, '') AS dataset_rules, NOT coalesce(bad, false) AS is_valid, coalesce(lost, 0) AS lost FROM rec LEFT JOIN q USING (i) LEFT JOIN dq USING (i)) "
         "SELECT 'rec-' || CAST(i AS VARCHAR) AS id, rules, dataset_rules, is_valid, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - lost + CASE WHEN length(claim) BETWEEN 10 AND 150 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(claim, '[.!?]$') THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(claim, '\\s+'), lambda w: w <> '')) >= 5 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS quality FROM x"),
+    "issue_examples": (issue_examples, f"WITH {CHECKED}, al AS (SELECT i, least(5, count(*)) AS n_messages FROM sh GROUP BY 1), ea AS (SELECT rule, 'rec-' || CAST(i AS VARCHAR) AS id, count(*) AS n, n_messages FROM sh JOIN al USING (i) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY id) AS k FROM ea) SELECT rule, id, n, n_messages FROM rk WHERE k <= 3"),
     "record_issue_counts": (record_issue_counts, f"WITH {CHECKED} SELECT rule, CASE WHEN rule = 'V0' THEN 'schema' WHEN CAST(substr(rule, 2) AS INT) < 8 THEN 'semantic' WHEN CAST(substr(rule, 2) AS INT) < 18 THEN 'quality' ELSE 'consistency' END AS category, severity, count(*) AS n FROM sh GROUP BY ALL UNION ALL SELECT rule, 'dataset', 'error', count(*) FROM ds GROUP BY ALL"),
     "record_gate": (record_gate, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, i NOT IN (SELECT i FROM {SHARED['V0'][1]}) AS kept FROM rec"),
     "split_profile": (split_profile, f"WITH {REC}, sp AS (SELECT coalesce(split, 'null') AS split, * EXCLUDE (split) FROM rec), si AS (SELECT sp.split, it.* FROM it JOIN sp USING (i)) SELECT split, 'source' AS dim, dataset AS key, count(*) AS n FROM sp GROUP BY ALL UNION ALL SELECT split, 'verdict', coalesce(label, 'null'), count(*) FROM sp GROUP BY ALL UNION ALL SELECT split, 'modality', coalesce(modality, 'null'), count(*) FROM si GROUP BY ALL UNION ALL SELECT split, 'stance', coalesce(stance, 'null'), count(*) FROM si GROUP BY ALL UNION ALL SELECT split, 'type', t, count(*) FROM (SELECT split, unnest(types) AS t FROM si) GROUP BY ALL"),
@@ -353,6 +376,7 @@ SELECT 'leg-' || CAST(i AS VARCHAR) AS id, CASE WHEN good THEN 'supported' ELSE
     "batch_report": (batch_report, f"WITH {_template_sql()}, b AS (SELECT count(*) AS n, count(*) FILTER (is_shortcut_breaking) AS n_shortcut, count(*) FILTER (r % 7 = 0) AS n_missing, count(*) FILTER (r % 10 = 0 AND verdict <> 'refuted') AS n_mismatch FROM sy) SELECT *, round(n_shortcut::DOUBLE / n, 4) AS shortcut_fraction, n > 0 AND n_shortcut::DOUBLE / n >= 0.35::DOUBLE AND n_missing = 0 AND n_mismatch = 0 AS passed FROM b"),
     "jsonl_files": (jsonl_files, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, claim, label, n_items AS n FROM rec"),
     "ntriples_files": (ntriples_files, f"WITH {B.TR} SELECT s, p, o FROM tr"),
+    "scene_files": (scene_files, "SELECT 'nation ' || CAST(c_nationkey AS VARCHAR) AS scene_id, 'Part|' || CAST(l_partkey AS VARCHAR) || '|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS object_id, l_returnflag AS flag, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, 'Order|' || CAST(l_orderkey AS VARCHAR) AS inside FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (3, 11)"),
     "turtle_round_trip": (turtle_round_trip, f"WITH {B.TR} SELECT s, p, o FROM tr UNION ALL SELECT 'http://e.org/turn#c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'http://e.org/said', role || ':' || chr(10) || '\"' || chr(9) || text || chr(92) || '\"' FROM conversations"),
     "turtle_files": (turtle_files, "WITH n AS (SELECT 'http://e.org/n' || CAST(n_nationkey AS VARCHAR) AS s, n_name, 'http://e.org/r' || CAST(n_regionkey AS VARCHAR) AS r FROM nation) SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://e.org/Nation' AS o FROM n UNION ALL SELECT s, 'http://e.org/in', r FROM n UNION ALL SELECT s, 'http://e.org/in', 'http://e.org/world' FROM n UNION ALL SELECT s, 'http://e.org/name', n_name FROM n"),
     "split_files": (split_files, f"WITH {B.CL}, rk AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM cl) SELECT doc_id AS line_idx, label FROM rk WHERE r > floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE)"),
