@@ -17,15 +17,15 @@ from corroborate.llm.common import map_batches, read, text_of
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noframes template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never part of an article's text.
 DROPPED = frozenset(
-    "head nav footer aside form button select option input script style noscript iframe template textarea svg math "
-    "object embed canvas audio video dialog menu title".split()
+    "head nav footer aside form button select option input script style noscript iframe noframes template textarea svg "
+    "object embed canvas audio video dialog title annotation annotation-xml".split()
 )
 #: Elements that authors mark as texts: the first two raise their density sum, all of them are siblings of one text.
 SECTIONS = ("article", "main", "section")
@@ -48,7 +48,11 @@ AROUND = re.compile(
 BESIDE = re.compile(r"comment|repl(?:y|ies)|related|recommend|promo|sponsor|advert", re.IGNORECASE)
 #: Of those, the ones that mean a discussion of the text, which can be longer than the text.
 COMMENT = re.compile(r"comment|repl(?:y|ies)|disqus|discussion|respond", re.IGNORECASE)
-HINTS = ("", "around", "beside", "comment")
+HINTS = ("", "weak", "around", "beside", "comment")
+#: Of those, the ones that are ordinary words too: inside an <article> or <main> they need a link or a form control as proof.
+WEAK = frozenset("search side foot header legal disclaimer tag tags skip share sharing social tracking alert menu".split())
+#: Elements that a reader fills in or presses.
+CONTROLS = frozenset("form button input select textarea".split())
 #: Elements whose class never makes them surroundings, and words that mean a region of a page, which a paragraph isn't.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 REGION = re.compile(r"header|masthead|foot|footer|side|sidebar|legal|disclaimer|tags?|search", re.IGNORECASE)
@@ -70,6 +74,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?!
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
+#: The end tags of RAW elements: in either case, which for ASCII letters means no other letter.
+_END = {tag: re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.IGNORECASE | re.ASCII) for tag in RAW}
 
 
 @dataclass(slots=True)
@@ -93,7 +99,7 @@ class Node:
 
 def _is_around(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element surrounds the article by its kind or is hidden; and what its class, id or
-    role hints at: "" (nothing), "around", "beside" or "comment"."""
+    role hints at: "" (nothing), "weak", "around", "beside" or "comment"."""
     if tag in DROPPED:
         return True, ""
     if not attributes or tag in ("html", "body"):
@@ -110,7 +116,8 @@ def _is_around(tag: str, attributes: str) -> tuple[bool, str]:
             if tag in ("article", "main") and not BESIDE.search(value):
                 continue
             if found and (tag in ("article", "main") or not (found.group(1).lower() == "header" and WITHIN.search(value))):
-                this = "comment" if COMMENT.search(value) else "beside" if BESIDE.search(value) else "around"
+                weak = all(w.lower() in WEAK for w in AROUND.findall(value))
+                this = "comment" if COMMENT.search(value) else "beside" if BESIDE.search(value) else "weak" if weak else "around"
                 hint = max(hint, this, key=HINTS.index)
     return False, hint
 
@@ -126,7 +133,6 @@ def parse(html: str) -> Node:
     """The DOM as far as extraction needs it; never fails: unclosed and stray tags are tolerated."""
     root = Node("html")
     now, at = root, 0
-    lower = None
     opened: Counter[str] = Counter()  # so that a deep page isn't searched for what it doesn't have
 
     def close_to(node: Node) -> None:
@@ -175,16 +181,16 @@ def parse(html: str) -> Node:
         if tag[:1] == "h" and tag[1:].isdigit() and now.tag[:1] == "h" and now.tag[1:].isdigit():
             close_to(now)
         attributes = m.group(3)
-        inside = tag == "header" and open_element({"article", "main"}, set()) is not None
+        inside = tag in ("header", "menu") and open_element({"article", "main"}, set()) is not None
         around, hint = _is_around(tag, attributes)
-        node = Node(tag, now, around or tag == "header" and not inside, hint)
+        hint = "weak" if tag == "menu" and inside and not hint else hint  # an article's list, unless of links or buttons
+        node = Node(tag, now, around or tag in ("header", "menu") and not inside, hint)
         now.children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
         if tag in RAW:  # its content is text up to its own end tag
-            lower = lower or html.lower()
-            end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{tag}", at)
-            end = len(html) if end < 0 else end
+            ended = _END[tag].search(html, at)
+            end = ended.start() if ended else len(html)
             close = html.find(">", end)
             node.children.append(html[at:end])
             at = len(html) if close < 0 else close + 1
@@ -229,11 +235,12 @@ def _settle(root: Node) -> None:
 
     The words are evidence, not proof: an element goes if it holds at most half of the page's text,
     or more link text than other text, and no <article> or <main> without a hint; never if it holds
-    all of the page's text. Two kinds go further. Of elements beside the text, such as lists of
+    all of the page's text. Ordinary words (WEAK) mean nothing inside an <article> or <main> without
+    a link or control. Two kinds go further. Of elements beside the text, such as lists of
     related pages, <article>s don't protect if a larger one stands elsewhere. Discussions also go
     when they are longer than the text: with an <article> outside, or up to nine tenths of the page.
     """
-    for kinds in (HINTS[3:], HINTS[1:3]):  # what is left of the page without its discussion counts for the rest
+    for kinds in (HINTS[4:], HINTS[1:4]):  # what is left of the page without its discussion counts for the rest
         nodes = _walk(root)
         if not any(n.hint in kinds for n in nodes if n.hint):
             continue
@@ -242,8 +249,10 @@ def _settle(root: Node) -> None:
         size = [1] * len(nodes)
         inner = [0] * len(nodes)  # characters of the largest marked element inside, without what goes
         enclosed = [0] * len(nodes)  # characters of the largest <article> around
+        held = [False] * len(nodes)  # whether an <article> or <main> is around
         for i, n in enumerate(nodes[1:], 1):
             p = n.parent
+            held[i] = held[at[id(p)]] or p.tag in SECTIONS[:2] and not p.hint
             enclosed[i] = max(enclosed[at[id(p)]], p.chars if p.tag == "article" and not p.hint else 0)
         for i in range(len(nodes) - 1, 0, -1):
             size[at[id(nodes[i].parent)]] += size[i]
@@ -253,18 +262,30 @@ def _settle(root: Node) -> None:
             if n.hint in kinds:
                 apart = next((m for m in marked if not m < i < m + size[m]), None)  # the largest that isn't around n
                 outside = apart is not None and not i < apart < i + size[i]
-                n.around = _goes(n, root.chars, inner[i], outside, enclosed[i] > n.chars)
+                proven = n.hint != "weak" or not held[i] or _has_controls(n)
+                n.around = proven and _goes(n, root.chars, inner[i], outside, enclosed[i] > n.chars)
             if not n.around:
                 p = at[id(n.parent)]
                 inner[p] = max(inner[p], inner[i], n.chars if n.tag in SECTIONS[:2] and not n.hint else 0)
 
 
+def _has_controls(n: Node) -> bool:
+    """Whether an element has a link or something to fill in or press."""
+    stack = [n]
+    while stack:
+        x = stack.pop()
+        if x.tag == "a" or x.tag in CONTROLS:
+            return True
+        stack.extend(c for c in x.children if isinstance(c, Node))
+    return False
+
+
 def _goes(n: Node, total: int, inner: int, outside: bool, enclosed: bool) -> bool:
     """Whether an element with a hint surrounds the article. inner: characters of the largest marked
     element in it; outside: whether a larger one stands apart; enclosed: whether it is in an <article> with more text."""
     if n.chars == total:
         return False
-    if inner and (n.hint == "around" or not outside and not enclosed):
+    if inner and (n.hint in ("weak", "around") or not outside and not enclosed):
         return False
     if n.hint == "comment" and (outside or enclosed or n.chars * 10 <= total * 9):
         return True

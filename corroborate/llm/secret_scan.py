@@ -25,9 +25,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 and more of [0-9a-f]+: a ma
 #: Words that announce a credential, then a separator, then the value.
 CONTEXT = re.compile(
     r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|auth)[_\- ]?(?:key|token)|credentials?|bearer)"""
-    r"""["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)["'`]?([^\s"'`,;<>(){}|\[\]]+)""",
+    r"""["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+is:?\x20+|(?<=bearer)\x20+)(?:(["'`])((?:(?!\1)[^\n])+)\1|["'`]?([^\s"'`,;<>(){}|\[\]]+))""",
     re.ASCII | re.IGNORECASE,
 )
+#: Of those, the ones whose quoted value may be several words.
+PHRASE = re.compile(r"pass|pwd", re.IGNORECASE)
 HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "bearer")
 
 # Frequent password words by rank, rows of a keyboard, look-alike characters.
@@ -43,6 +45,9 @@ _RANK = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
 _PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _UNLISTED_WORD = 5.3  # one of some 200,000 words of a language
+_ODD_PAIR = 1.0  # what a pair of letters that words hardly have adds
+# a consonant that hardly stands before the other; five consonants or four vowels in a row count as well
+_UNUSUAL = re.compile(r"(?=q(?!u)|j[^aeiouy]|v[^aeiouyrl]|x[^aeiouytpchq]|z[^aeiouyzlw]|w[^aeiouyhrnlsdkt]|[^aeiouy](?:x|q)|(h|k|w|y|u)\1|[bcdfghjklmnpqrstvwxz]{5}|[aeiou]{4})", re.ASCII)
 
 
 def _spans(value: str, limit: float) -> Iterator[tuple[int, int, float]]:
@@ -63,7 +68,8 @@ def _spans(value: str, limit: float) -> Iterator[tuple[int, int, float]]:
                 yield i, j, _RANK[word] + extra + (0.5 if word != low[i:j] else 0)
     for m in re.finditer(r"[^\W\d_]{3,}", value):  # a run of letters in one case, or with a capital: some word
         if m.group().islower() or m.group().istitle() or m.group().isupper():
-            yield m.start(), m.end(), _UNLISTED_WORD + (0 if m.group().islower() else 0.3)
+            odd = sum(1 for _ in _UNUSUAL.finditer(low, m.start(), m.end()))
+            yield m.start(), m.end(), _UNLISTED_WORD + _ODD_PAIR * odd + (0 if m.group().islower() else 0.3)
     for i in range(n):
         if m := _DATE.match(value, i):
             yield i, m.end(), 4.6  # a day of about a century
@@ -122,8 +128,11 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], cost: float = COST)
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        end = start + len(m.group(1).rstrip(".!?:*#%&$"))
+        start, end = m.span(2) if m.group(2) else m.span(3)
+        if not m.group(2):
+            end = start + len(m.group(3).rstrip(".!?:*#%&$"))
+        elif re.search(r"\s", m.group(2)) and not PHRASE.match(m.group()):
+            continue  # quoted prose
         if end - start >= SHORTEST and not any(s <= start and end <= e for s, _, e in base) and guess_cost(text[start:end], cost) >= cost:
             found.append((start, 3, end))
     return found
@@ -134,7 +143,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each text is scanned whole, where it is read, without a shuffle. The spans of the fixed
     patterns (assign, access, hex) come first; kind `guess` adds values that follow a credential
-    word and that the minimum-cost segmentation finds too dear to guess, at any length. Sorted by start, then
+    word and that the minimum-cost segmentation finds too dear to guess, at any length: a quoted value up to its
+    closing quote, else up to white space or punctuation; several words only for pass… and pwd. Sorted by start, then
     kind. Null counts as empty, which has no spans. Repeated rows are scanned each; other columns
     are not read; an empty table gives an empty result.
     """

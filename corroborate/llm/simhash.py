@@ -21,9 +21,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: average (deviation 8), with 0.7 by 98 and with 0.5 by 137. The radius proposes pairs, which the
 #: shingles themselves then decide.
 SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_RADIUS, BANDS, BAND, FINER = 5, 8, 104, 8, 2, 4
-#: The similarity from which on documents are near duplicates, and the hashed shingles that it is
-#: taken from at most: a text of more shingles gives the least hashes of all of them.
-SIMILARITY, KEPT_HASHES = 0.8, 4096
+#: The similarity from which on documents are near duplicates.
+SIMILARITY = 0.8
 #: Fingerprints that one shard holds on average before more selective keys are taken, and at most
 #: before that shard is cut by finer keys.
 SHARD_ROWS, HOT_ROWS = 256, 4096
@@ -359,19 +358,18 @@ def sketch(text: bytes | None) -> tuple[bytes, np.ndarray]:
     return majority_bits(_hashes(some, 0, SIMILAR_WORDS) for some in _steps(h, 8192)).tobytes(), least.view(np.int64)
 
 
-def least_hashes(text: bytes | None) -> np.ndarray:
-    """The KEPT_HASHES least of a text's hashed shingles, in 32 bits; all of them for most texts."""
-    return np.unique((shingle_hashes(text) >> np.uint64(32)).astype("<u4"))[:KEPT_HASHES]
+def hash_set(text: bytes | None) -> np.ndarray:
+    """A text's hashed shingles in 32 bits, all of them."""
+    return np.unique((shingle_hashes(text) >> np.uint64(32)).astype("<u4"))
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of the sets behind two least_hashes: exact where both are whole, else the
-    share of common ones among the least of the union (deviation 0.006 at 0.8)."""
-    both = np.intersect1d(x, y, assume_unique=True)
-    if max(len(x), len(y)) < KEPT_HASHES:
-        return len(both) / (len(x) + len(y) - len(both))
-    least = np.union1d(x, y)[:KEPT_HASHES]
-    return np.searchsorted(both, least[-1], "right") / len(least)
+    """Jaccard similarity of the sets behind two hash_sets, at any size (but for shingles with equal hashes:
+    of 20,000 shingles one in 20,000)."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return 0.0  # sets of such sizes can't reach SIMILARITY, whatever they share
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +382,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").cast(pa.binary()).to_pylist()
-        made = ([sketch(t)[0] for t in texts], [least_hashes(t).tobytes() for t in texts])
+        made = ([sketch(t)[0] for t in texts], [hash_set(t).tobytes() for t in texts])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.binary()) for x in made)], ["node", "fp", "hashes"])
 
 
@@ -415,7 +413,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     That wide a radius leaves no block of bits to agree on, so shards are named by pairs of shingle
     minima: sets with a Jaccard similarity of 0.8 share one of the BANDS shards with a chance of
     0.9997, and are within the radius with 0.999. The task that holds a shard builds its BK-tree and
-    searches it as in near_duplicates. Only the rows that find another one go on: their hashed
+    searches it as in near_duplicates. Only the rows that find another one go on: all their hashed
     shingles are fetched, and the shard is searched again with the shingles deciding (see similarity).
     Texts with equal sketches are one node. A shard over HOT_ROWS, which a passage that very many
     texts share can make, is cut by FINER further minima (chance at 0.8: 0.998).

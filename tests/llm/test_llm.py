@@ -129,17 +129,17 @@ def test_similar_documents(docs_of, monkeypatch, hot):
 
 
 def test_similarity_of_hashes():
-    """Exact where all shingles are held, near the truth where a text has more."""
+    """Exact at any size, but for shingles with equal 32-bit hashes."""
     rng = random.Random(8)
-    for n, near in ((300, 1e-12), (20_000, 0.03)):
+    for n, near in ((300, 1e-12), (20_000, 1e-4)):
         w = rng.choices([f"word{i}" for i in range(50_000)], k=n)
         v = list(w)
         for at in rng.sample(range(n), n // 45):
             v[at] = "other"
         want = brute_jaccard([" ".join(w), " ".join(v)])[0, 1]
-        a, b = (simhash.least_hashes(" ".join(x).encode()) for x in (w, v))
+        a, b = (simhash.hash_set(" ".join(x).encode()) for x in (w, v))
         assert 0.7 < want < 0.9 and abs(simhash.similarity(a, b) - want) < near and simhash.similarity(a, a) == 1
-    assert simhash.similarity(a, simhash.least_hashes(b"one two")) == simhash.similarity(simhash.least_hashes(b""), a) == 0
+    assert simhash.similarity(a, simhash.hash_set(b"one two")) == simhash.similarity(simhash.hash_set(b""), a) == 0
 
 
 def test_shingles_decide_every_pair():
@@ -752,3 +752,59 @@ def test_session_settings_stay(docs_of, spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     secret_scan.scan_secrets(docs_of(["x"])).collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    """All ways to cut values of up to 10 characters into spans and brute force, one by one."""
+    rng = random.Random(101)
+
+    def cheapest(value):
+        spans = list(secret_scan._spans(value, secret_scan.COST)) + [(i, j, float(j - i)) for i in range(len(value)) for j in range(i + 1, len(value) + 1)]
+
+        def ways(at):
+            if at == len(value):
+                yield 0.0, 0
+                return
+            for i, j, cost in spans:
+                if i == at:
+                    for rest, n in ways(j):
+                        yield cost + rest, n + 1
+
+        return min(cost + 0.3 * (n - 1) for cost, n in ways(0))
+
+    pieces = ["love", "P4ss", "123", "qwe", "1999", "aa", "xq", "Z", "!", "abab", "dragon", "7"]
+    for _ in range(60):
+        value = "".join(rng.choice(pieces) for _ in range(3))[: rng.randint(4, 8)]
+        assert abs(min(secret_scan.guess_cost(value), secret_scan.COST) - min(cheapest(value), secret_scan.COST)) < 1e-9, value
+    for value in ("zebra12", "x9(fK2!m", "aaaaaaaa", "2024-12-31"):
+        assert abs(min(secret_scan.guess_cost(value), 9.0) - min(cheapest(value), 9.0)) < 1e-9
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('pwd="x9(fK2!mQz{7"', "x9(fK2!mQz{7"), ("passphrase: 'correct horse battery staple'", "correct horse battery staple"), ("token = `a|b;c<d>4Gk9#,x`", "a|b;c<d>4Gk9#,x"),
+        ('credentials: "just a few words of prose here"', None), ('pin: "1234"', None), ("bearer qzxkvjwpqhtrmnbz", "qzxkvjwpqhtrmnbz"), ("pass: monkeydragon", None), ('pwd="no end of 7Gk#q9xL', None), ("private_key='Zk9#(pL2w!v'", "Zk9#(pL2w!v"),
+    ],
+)
+def test_quoted_values_are_taken_whole(text, value):
+    found = secret_scan.guess_spans(text, secret_scan.base_spans(text))
+    assert [text[s:e] for s, _, e in found] == ([value] if value else [])
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.RAW))
+def test_html_raw_ends_in_either_case(tag):
+    page = f"<{tag.upper()}>x < y İ</ſ{tag[1:]}></{tag.capitalize()} ><article><h1>İstanbul</h1><p>{LONG[0]}</p></article>"
+    assert html_text.main_text(f"<body>{page}</body>") == f"İstanbul\n{LONG[0]}"
+    if tag != "xmp":  # which is shown
+        assert html_text.main_text(f"<body><article><p>{LONG[0]}</p></article><{tag}>" + "İ" * 50_000 + "</body>") == LONG[0]
+
+
+def test_html_keeps_what_an_article_says():
+    article = lambda x: html_text.main_text(f"<body><nav><a href=x>home</a></nav><article><p>{LONG[0]}</p>{x}<p>{LONG[1]}</p></article></body>").split("\n")[1:-1]
+    assert article('<div class="search">Search for meaning is hard.</div>') == ["Search for meaning is hard."]
+    assert article("<p>The area is <math><mi>π</mi><msup><mi>r</mi><mn>2</mn></msup><annotation>tex</annotation></math> here.</p>") == ["The area is πr2 here."]
+    assert article("<menu><li>Soup of the day</li><li>Bread</li></menu>") == ["Soup of the day", "Bread"]
+    assert article('<menu><li><a href="s">Share</a></li></menu>') == [] == article('<div class="share"><a href=x>Post it</a></div>') == article('<div class="search"><input name=q> Search</div>')
+    assert article('<div class="advert">Buy one now!</div>') == [] == article('<div class="cookie notice">We use cookies.</div>')
+    assert html_text.main_text(f"<body><menu><li>File</li></menu><div class=legal>All rights reserved.</div><article><p>{LONG[0]}</p></article></body>") == LONG[0]
