@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a similarity of 0.8 or more over 5-word shingles, as SimHash
-    fingerprints tell it, the document with the smallest id."""
+    """Of each group of texts with a similarity of 0.8 or more over 5-word shingles the document with
+    the smallest id: SimHash fingerprints propose pairs, the shingles decide."""
     return simhash.drop_similar(docs)
 
 
