@@ -9,6 +9,8 @@ from corroborate.functions import vocab as V
 from corroborate.operators import convert as C
 from corroborate.operators import examples as EX
 from corroborate.operators import generate as G
+from corroborate.operators import models as O
+from corroborate.operators import predict as PR
 from corroborate.operators import profile as P
 from corroborate.operators import splits as S
 from corroborate.operators import validate as X
@@ -177,6 +179,22 @@ def record_issues(spark, d):
     return checked.select("id", _names("issues").alias("rules"), _names("dataset_issues").alias("dataset_rules"), "is_valid", F.round("quality", 4).alias("quality"))
 
 
+SOURCES = (("sensor_perception", 0.95), ("src", 0.7), ("unknown_web", 0.35))
+
+
+def predicted_records(spark, d):
+    """Every raw record from its evidence to its verdict; the formula decides where the scores don't."""
+    registry = spark.createDataFrame(list(SOURCES), "source_id string, source_trust double")
+    out = PR.predict(records(spark, d), registry, O.by_thresholds)
+    return out.select("id", "verdict", "path", "decided_by", "support", "refute", "n_items", "reason", F.element_at("evidence", 1)["source_id"].alias("first_source"))
+
+
+def record_graphs(spark, d):
+    """Edges of each kind in the records' graphs."""
+    _, edges = PR.graph_tables(records(spark, d))
+    return edges.groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
 def issue_examples(spark, d):
     """O2: the first three records that break each rule, with five messages at most."""
     found = EX.issue_examples(X.validated(records(spark, d)).select("id", "issues"))
@@ -361,6 +379,19 @@ def cached_graphs(spark, d):
 QUERIES = {
     "record_issues": (record_issues, f"WITH {CHECKED}, q AS (SELECT i, string_agg(rule, ',' ORDER BY rule) AS rules, bool_or(severity = 'error') AS bad, {_LOST} AS lost FROM sh GROUP BY 1), dq AS (SELECT i, string_agg(rule, ',' ORDER BY rule) AS rules FROM ds GROUP BY 1), x AS (SELECT rec.i, claim, coalesce(q.rules, '') AS rules, coalesce(dq.rules, '') AS dataset_rules, NOT coalesce(bad, false) AS is_valid, coalesce(lost, 0) AS lost FROM rec LEFT JOIN q USING (i) LEFT JOIN dq USING (i)) "
         "SELECT 'rec-' || CAST(i AS VARCHAR) AS id, rules, dataset_rules, is_valid, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - lost + CASE WHEN length(claim) BETWEEN 10 AND 150 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(claim, '[.!?]$') THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(claim, '\\s+'), lambda w: w <> '')) >= 5 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS quality FROM x"),
+    "predicted_records": (
+        predicted_records,
+        f"""WITH {REC}, us AS (SELECT i, j, stance, CASE WHEN source_id IN ('sensor_perception', 'src') THEN source_id ELSE 'unknown_web' END AS source_id, types, strength FROM it WHERE trim(coalesce(text, '')) <> '' OR has_triple),
+wt AS (SELECT *, CASE source_id {" ".join(f"WHEN '{s}' THEN {t}::DOUBLE" for s, t in SOURCES)} END AS trust, round(1 - coalesce(list_aggregate([1 - CASE t {" ".join(f"WHEN '{t}' THEN {w}::DOUBLE" for t, w in V.EVIDENCE_WEIGHTS.items())} ELSE 0.0::DOUBLE END FOR t IN types], 'product'), 1.0), 4) AS weight FROM us),
+cf AS (SELECT *, CASE WHEN weight * strength = 0 THEN 0.0 ELSE round(1 - pow(1 - trust, weight * strength), 4) END AS confidence FROM wt),
+sc AS (SELECT i, round(1 - coalesce(product(1 - confidence) FILTER (stance = 'supports'), 1.0), 4) AS support, round(1 - coalesce(product(1 - confidence) FILTER (stance = 'refutes'), 1.0), 4) AS refute, count(*) AS n_items, arg_min(source_id, (-confidence, j)) AS first_source FROM cf GROUP BY 1),
+al AS (SELECT rec.i, coalesce(support, 0.0) AS support, coalesce(refute, 0.0) AS refute, coalesce(sc.n_items, 0) AS n_items, first_source FROM rec LEFT JOIN sc USING (i)), pt AS (SELECT *, {B.PATH} AS path, {B.VERDICT} AS formula FROM al)
+SELECT 'rec-' || CAST(i AS VARCHAR) AS id, CASE path WHEN 'symbolic_supported' THEN 'supported' WHEN 'symbolic_refuted' THEN 'refuted' ELSE formula END AS verdict, path, CASE WHEN starts_with(path, 'symbolic_') THEN 'scores' ELSE 'fallback' END AS decided_by, support, refute, n_items,
+  printf('support %.4f, refute %.4f, %d items: %s', support, refute, n_items, path) AS reason, first_source FROM pt""",
+    ),
+    "record_graphs": (record_graphs, f"""WITH {REC}, us AS (SELECT i, has_triple, count(*) OVER (PARTITION BY i) AS n FROM it WHERE trim(coalesce(text, '')) <> '' OR has_triple), ev AS (SELECT i, count(*) AS n, count(*) FILTER (has_triple) AS n_from FROM us GROUP BY 1),
+ed AS (SELECT i, 'has_evidence' AS kind, n FROM ev UNION ALL SELECT i, 'connected_to', n FROM ev UNION ALL SELECT i, 'co_evidence', n * (n - 1) FROM ev UNION ALL SELECT i, 'has_triple', n_triples FROM rec UNION ALL SELECT i, 'from_triple', n_from FROM ev)
+SELECT 'rec-' || CAST(i AS VARCHAR) AS id, kind, CAST(n AS BIGINT) AS n FROM ed WHERE n > 0"""),
     "issue_examples": (issue_examples, f"WITH {CHECKED}, al AS (SELECT i, least(5, count(*)) AS n_messages FROM sh GROUP BY 1), ea AS (SELECT rule, 'rec-' || CAST(i AS VARCHAR) AS id, count(*) AS n, n_messages FROM sh JOIN al USING (i) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY id) AS k FROM ea) SELECT rule, id, n, n_messages FROM rk WHERE k <= 3"),
     "record_issue_counts": (record_issue_counts, f"WITH {CHECKED} SELECT rule, CASE WHEN rule = 'V0' THEN 'schema' WHEN CAST(substr(rule, 2) AS INT) < 8 THEN 'semantic' WHEN CAST(substr(rule, 2) AS INT) < 18 THEN 'quality' ELSE 'consistency' END AS category, severity, count(*) AS n FROM sh GROUP BY ALL UNION ALL SELECT rule, 'dataset', 'error', count(*) FROM ds GROUP BY ALL"),
     "record_gate": (record_gate, f"WITH {REC} SELECT 'rec-' || CAST(i AS VARCHAR) AS id, i NOT IN (SELECT i FROM {SHARED['V0'][1]}) AS kept FROM rec"),
