@@ -121,7 +121,7 @@ def generation_counts(spark, d):
 
 
 def generation_rates(spark, d):
-    return G.generation_rates(_made(spark, d), 1000)
+    return G.generation_rates(_made(spark, d), B.triples(spark, d).count())
 
 
 def context_claims(spark, d):
@@ -132,7 +132,8 @@ def context_claims(spark, d):
 def structured_claims(spark, d):
     claims = G.negation_claims(B.triples(spark, d)).select("s", "label", F.lit("negation").alias("structural"))
     claims = claims.unionByName(G.conjunction_claims(B.triples(spark, d), _rules(spark)).select("s", "label", F.lit("conjunction").alias("structural")))
-    return G.with_structure(claims, "negation", ("refuted",)).groupBy("structural", "label").agg(F.count("*").alias("n"))
+    asked = G.with_structure(claims, "negation", ("refuted",)).unionByName(G.with_structure(claims, "conjunction", ("supported", "refuted")))
+    return asked.groupBy("structural", "label").agg(F.count("*").alias("n"))
 
 
 def negation_claims(spark, d):
@@ -176,7 +177,9 @@ def _lexed(spark, d):
     """Triples whose predicate the lexicon knows, with its form and label, and the subject's label."""
     predicates = spark.createDataFrame([("temperature", "temperature", "prop_value"), ("mass", "weighs", "prop_verb"), ("isUrgent", "urgent", "adj")], "predicate string, label string, form string")
     entities = spark.createDataFrame([("Part|1", "first part"), ("order_1", "first order")], "entity string, label string")
-    t = T.with_labels(B.triples(spark, d), predicates, entities)
+    # the full URIs first: tables without these predicates aren't read
+    known = B.triples(spark, d).where(F.col("p").isin(*(f"{REL}/{p}" for p in ("temperature", "mass", "isUrgent"))))
+    t = T.with_labels(known, predicates, entities)
     return t.select("ord", F.translate("s_label", "|_", "  ").alias("s"), F.col("p_label").alias("p"), "o", "form")
 
 
@@ -301,7 +304,7 @@ md AS (SELECT s, p, CASE WHEN mode IN (1, 3) THEN coalesce(bad_o, o) ELSE o END
 SELECT *, CASE WHEN mode = 0 THEN 'supported' ELSE 'refuted' END AS label FROM md WHERE mode = 0 OR o <> true_o OR o2 <> true_o2"""),
     "generation_counts": (generation_counts, f"""WITH {_MADE}, mk AS (SELECT s, 'supported' AS label, NULL AS how FROM rw UNION ALL SELECT s, 'refuted', how FROM rw LEFT JOIN bad USING (s, p, o))
 SELECT 'label' AS dim, label AS key, count(*) AS n FROM mk GROUP BY 2 UNION ALL SELECT 'how', how, count(*) FROM mk WHERE how IS NOT NULL GROUP BY 2 UNION ALL SELECT 'type', {_TYPE.format(x="s")}, count(*) FROM mk GROUP BY 2"""),
-    "generation_rates": (generation_rates, f"""WITH {_MADE}, c AS (SELECT (SELECT count(*) FROM rw) AS s, (SELECT count(*) FROM bad) AS r) SELECT s AS n_supported, r AS n_refuted, s - r AS n_failed, round(100.0::DOUBLE * r / s, 4) AS corruption_success, round(100.0::DOUBLE * (s + r) / 1000, 4) AS claim_rate, round(s::DOUBLE / r, 4) AS supported_to_refuted FROM c"""),
+    "generation_rates": (generation_rates, f"""WITH {_MADE}, c AS (SELECT (SELECT count(*) FROM rw) AS s, (SELECT count(*) FROM bad) AS r) SELECT s AS n_supported, r AS n_refuted, s - r AS n_failed, round(100.0::DOUBLE * r / s, 4) AS corruption_success, round(100.0::DOUBLE * (s + r) / (SELECT count(*) FROM tr), 4) AS claim_rate, round(s::DOUBLE / r, 4) AS supported_to_refuted FROM c"""),
     "context_claims": (context_claims, f"""WITH {_CTX}, kx AS (SELECT DISTINCT key, s, p, o FROM ky WHERE key IN (SELECT DISTINCT key FROM ky WHERE key IS NOT NULL ORDER BY 1 LIMIT 3) AND NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), rw AS (SELECT DISTINCT s, p, o FROM kx), {_BAD},
 al AS (SELECT key, s, p, o, o AS claimed_o, 'supported' AS label FROM kx UNION ALL SELECT key, s, p, o, bad_o, 'refuted' FROM kx JOIN bad USING (s, p, o)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' || s || '|' || p || '|' || o || '|' || claimed_o), s || '|' || p || '|' || o || '|' || claimed_o) AS k FROM al) SELECT key, s, p, o, claimed_o, label FROM rk WHERE k <= 10"""),
@@ -323,3 +326,5 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' |
     "features": (features, None),
     "relation_shares": (pair_shares, f"WITH {B.TR}, c AS (SELECT regexp_extract(p, '([^/]*)$', 1) AS key, count(*) AS n FROM tr GROUP BY 1) SELECT 'all' AS \"all\", key, n, round(n / sum(n) OVER (), 4) AS share FROM c"),
 }
+_STRUCTURED = QUERIES["structured_claims"][1] + f" UNION ALL SELECT 'conjunction', label, count(*) FROM ({QUERIES['conjunction_claims'][1]}) GROUP BY label"
+QUERIES["structured_claims"] = (structured_claims, _STRUCTURED)
