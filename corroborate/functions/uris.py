@@ -13,7 +13,8 @@ TEMPERATURES = ("Hot", "Cold", "RoomTemp")
 
 def percent_decode(x: Column) -> Column:
     """percent-decoding that keeps '+'; text that isn't valid percent-encoding stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    decoded = F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    return F.when(F.instr(x, "%") == 0, x).otherwise(decoded)  # most have nothing to decode
 
 
 def percent_encode(x: Column) -> Column:
@@ -70,8 +71,7 @@ def namespace_context(uri: Column, namespace: str) -> Column:
     decoded = percent_decode(uri)
     quoted = "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in namespace)
     full = namespace.startswith(("http://", "https://", "file://"))
-    found = F.regexp_extract(decoded, f"{quoted}([^/#]+)" if full else f"{quoted}[/#]([^/#]+)", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(decoded, f"{quoted}([^/#]+)" if full else f"{quoted}[/#]([^/#]+)", 1), F.lit(""))
 
 
 def normalised_triples(triples: Column) -> Column:
