@@ -16,17 +16,23 @@ from corroborate.functions.vocab import (
 )
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half up at a digit as SQL's round does it: scaled first. Of 1 - 0.75 * 0.775, which is
+    0.41874999999999996, that makes 0.4188; the digits of the number as it is written make 0.4187."""
+    return F.round(x * 10**digits, 0) / 10**digits
+
+
 def evidence_weight(types: Column, weights: dict[str, float] | None = None) -> Column:
     """A1: noisy-or of the types' weights, rounded to 4; an unknown type weighs nothing, no types give 0."""
     table = weights or EVIDENCE_WEIGHTS
     missing = F.aggregate(F.coalesce(types, F.array().cast("array<string>")), F.lit(1.0), lambda left, t: left * (1 - lookup(table, t, 0.0)))
-    return F.round(1 - missing, 4)
+    return rounded(1 - missing, 4)
 
 
 def evidence_confidence(trust: Column, weight: Column, strength: Column) -> Column:
     """A2: 1 - (1 - trust) ^ (weight * strength), rounded to 4; an exponent of 0 gives 0 whatever the trust."""
     exponent = weight * strength
-    return F.when(exponent == 0, F.lit(0.0)).otherwise(F.round(1 - F.pow(1 - trust, exponent), 4))
+    return F.when(exponent == 0, F.lit(0.0)).otherwise(rounded(1 - F.pow(1 - trust, exponent), 4))
 
 
 def noisy_or(p: Column) -> Column:

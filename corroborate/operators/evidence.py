@@ -38,7 +38,7 @@ def score_items(evidence: DataFrame, registry: DataFrame) -> DataFrame:
 
 def claim_scores(items: DataFrame, key: str = "claim_id", digits: int | None = 4) -> DataFrame:
     """A3 (rounded) or A4 (digits None): support and refute score of each claim, from scored items."""
-    rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    rounded = (lambda c: formula.rounded(c, digits)) if digits is not None else (lambda c: c)
     return items.groupBy(key).agg(
         rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "supports")).alias("support"),
         rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "refutes")).alias("refute"),

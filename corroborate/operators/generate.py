@@ -212,7 +212,7 @@ def synthetic_claims(templates: DataFrame, registry: DataFrame, n: int) -> DataF
     items = templates.select("template", F.posexplode("items").alias("pos", "i")).select("template", "pos", "i.*").join(registry.select("source_id", "source_trust"), "source_id", "left")
     trust, weight = F.coalesce("source_trust", F.lit(DEFAULT_TRUST)), F.round(lookup(EVIDENCE_WEIGHTS, F.col("type")), 4)
     scored = items.withColumn("ec", formula.evidence_confidence(trust, weight, F.col("strength")))
-    score = lambda side: F.round(formula.stance_score(F.col("stance"), F.col("ec"), side), 4)
+    score = lambda side: formula.rounded(formula.stance_score(F.col("stance"), F.col("ec"), side), 4)
     made = scored.groupBy("template").agg(score("supports").alias("support"), score("refutes").alias("refute"), F.array_sort(F.collect_list(F.struct("pos", "stance", "source_id", "ec"))).alias("evidence"))
     rows = apportion(templates, n).where("n > 0").select("template", "is_shortcut_breaking", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
     return rows.join(made, "template").select(

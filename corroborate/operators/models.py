@@ -85,10 +85,10 @@ def type_counterfactuals(items: DataFrame, key: str = "claim_id") -> DataFrame:
     items are scored. Each claim's scores under all types are products in one aggregate.
     """
     def scored(weight: Column, side: str) -> Column:
-        return F.round(formula.stance_score(F.col("stance"), formula.evidence_confidence(F.col("source_trust"), weight, F.col("inference_strength")), side), 4)
+        return formula.rounded(formula.stance_score(F.col("stance"), formula.evidence_confidence(F.col("source_trust"), weight, F.col("inference_strength")), side), 4)
 
     columns = [scored(F.lit(EVIDENCE_WEIGHTS[t]), side).alias(f"{t}_{side}") for t in EVIDENCE_TYPES for side in ("supports", "refutes")]
-    base = [F.round(formula.stance_score(F.col("stance"), F.col("confidence"), side), 4).alias(side) for side in ("supports", "refutes")]
+    base = [formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), side), 4).alias(side) for side in ("supports", "refutes")]
     wide = items.groupBy(key).agg(*base, *columns).withColumn("now", formula.verdict(F.col("supports"), F.col("refutes")))
     changed = F.array(*(F.struct(F.lit(t).alias("type"), (formula.verdict(F.col(f"{t}_supports"), F.col(f"{t}_refutes")) != F.col("now")).alias("changed")) for t in EVIDENCE_TYPES))
     return wide.select(F.explode(changed).alias("x")).groupBy("x.type").agg(F.count("*").alias("n"), F.count_if("x.changed").alias("n_changed"))

@@ -222,13 +222,13 @@ def uncovered_domains(spark, d):
 def order_noisy_or(spark, d):
     li = B.table(spark, d, "lineitem")
     p = F.least(F.sqrt(F.abs(F.col("l_discount")) * 2 + F.abs(F.col("l_tax")) + F.col("l_quantity") / 1000), F.lit(0.95))
-    score = li.groupBy("l_orderkey").agg(F.round(formula.noisy_or(F.when(F.col("l_returnflag") != "R", p)), 4).alias("support"), F.round(formula.noisy_or(F.when(F.col("l_returnflag") == "R", p)), 4).alias("refute"))
+    score = li.groupBy("l_orderkey").agg(formula.rounded(formula.noisy_or(F.when(F.col("l_returnflag") != "R", p)), 4).alias("support"), formula.rounded(formula.noisy_or(F.when(F.col("l_returnflag") == "R", p)), 4).alias("refute"))
     return score.withColumn("verdict", formula.verdict(F.col("support"), F.col("refute")))
 
 
 def day_scores(spark, d):
     """Scores in windows of event time, as the stream makes them, on the finished table."""
-    items = _items(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "source_id").agg(F.round(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"), F.count("*").alias("n"))
+    items = _items(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "source_id").agg(formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"), F.count("*").alias("n"))
     return items.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source_id", "support", "n")
 
 

@@ -29,7 +29,7 @@ def running_scores(evidence: DataFrame, registry: DataFrame, key: str = "claim_i
     once = rows.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key, item]) if ts else rows.dropDuplicates([key, item])
     scores = score_items(once, registry).groupBy(key).agg(
         F.count("*").alias("n"),
-        F.round(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"),
-        F.round(formula.stance_score(F.col("stance"), F.col("confidence"), "refutes"), 4).alias("refute"),
+        formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"),
+        formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "refutes"), 4).alias("refute"),
     )
     return scores.withColumn("verdict", formula.verdict(F.col("support"), F.col("refute")))

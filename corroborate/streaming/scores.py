@@ -17,7 +17,7 @@ def windowed_scores(evidence: DataFrame, registry: DataFrame, length: str = "1 d
     """
     items = score_items(evidence.withWatermark("ts", late), registry)
     scores = items.groupBy(F.window("ts", length).alias("w"), F.col(key)).agg(
-        F.round(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"),
-        F.round(formula.stance_score(F.col("stance"), F.col("confidence"), "refutes"), 4).alias("refute"),
+        formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "supports"), 4).alias("support"),
+        formula.rounded(formula.stance_score(F.col("stance"), F.col("confidence"), "refutes"), 4).alias("refute"),
     )
     return scores.select(F.col("w.start").alias("start"), key, "support", "refute", formula.verdict(F.col("support"), F.col("refute")).alias("verdict"))
