@@ -18,6 +18,10 @@ def _key() -> Column:
 
 # Strings that leak into types of objects but name none.
 NO_TYPES = ("true", "false", "yes", "no", "null", "none")
+#: Types that a context meets at once, about, where it is paired with the universe.
+TYPES_PER_BLOCK = 1000
+
+
 def is_object_type(name: Column) -> Column:
     """Not a boolean or null that was written as a type."""
     return ~F.lower(F.trim(name)).isin(*NO_TYPES)
@@ -27,6 +31,27 @@ def _object_types(universe: DataFrame) -> DataFrame:
     return universe.select("object_type").where(F.col("object_type").isNotNull() & is_object_type(F.col("object_type"))).distinct()
 
 
+def absent_types(universe: DataFrame, present: DataFrame) -> DataFrame:
+    """(context, object_type) of the universe (object_type) that a context doesn't have: every pair.
+
+    present: (context, object_type). The types are dealt to blocks by hash, and each context meets each
+    block once, with what it has of the block. A row holds a block, never the universe or all that a
+    context has, and no pair is shuffled: pairs are made where they are returned. The result grows with
+    contexts x types; where counts, asked pairs or draws will do, the functions below don't make it.
+    """
+    types = _object_types(universe)
+    n = max(1, -(-types.count() // TYPES_PER_BLOCK))
+    block = F.pmod(F.xxhash64("object_type"), F.lit(n)).alias("block")
+    blocks = types.groupBy(block).agg(F.collect_list("object_type").alias("_types"))
+    has = present.select("context", "object_type")
+    held = has.where(F.col("object_type").isNotNull()).groupBy("context", block).agg(F.collect_set("object_type").alias("_held"))
+    each = has.select("context").distinct().select("context", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    on = [each["context"].eqNullSafe(held["context"]), each["block"] == held["block"]]
+    met = each.join(held, on, "left").select(each["context"], each["block"], "_held").join(blocks, "block")
+    lacks = F.when(F.col("_held").isNull(), F.col("_types")).otherwise(F.array_except("_types", "_held"))
+    return met.select("context", F.explode(lacks).alias("object_type"))
+
+
 def absent_counts(universe: DataFrame, present: DataFrame) -> DataFrame:
     """(context, n_present, n_absent): how many types of the universe a context has and lacks.
 

@@ -153,6 +153,10 @@ def _types(spark, d):
 
 
 def absent_types(spark, d):
+    return G.absent_types(_types(spark, d), _present(spark, d))
+
+
+def absent_counts(spark, d):
     return G.absent_counts(_types(spark, d), _present(spark, d))
 
 
@@ -271,6 +275,7 @@ wrong AS (SELECT s, p, o, 0 AS rank, 'boolean_flip' AS how, CASE WHEN lower(trim
 bad AS (SELECT s, p, o, arg_min(bad_o, (rank, bad_o)) AS bad_o, arg_min(how, (rank, bad_o)) AS how FROM wrong w WHERE NOT EXISTS (SELECT 1 FROM rw x WHERE x.s = w.s AND x.p = w.p AND x.o = w.bad_o) GROUP BY 1, 2, 3)"""
 _MADE = f"{B.TR}, rw AS (SELECT DISTINCT s, p, o FROM tr WHERE NOT (p = '{REL}/mass' AND o IN ('0', '0.0', '0.00'))), {_BAD}"
 _PRESENT = """present AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_ABSENT = f"{_PRESENT}, absent AS (SELECT c.context, u.object_type FROM (SELECT DISTINCT context FROM present) c, (SELECT DISTINCT p_name AS object_type FROM part) u WHERE NOT EXISTS (SELECT 1 FROM present x WHERE x.context = c.context AND x.object_type = u.object_type))"
 _DRAWN = f"""{_PRESENT}, ring AS (SELECT object_type, row_number() OVER (ORDER BY md5('42-' || object_type), object_type) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT p_name AS object_type FROM part)),
 steps AS (SELECT context, object_type, (place - CAST('0x' || substr(md5('42-ring-' || context), 1, 8) AS BIGINT) % n + n) % n AS step FROM (SELECT DISTINCT context FROM present), ring),
 drawn AS (SELECT context, object_type FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY step) AS k FROM steps ANTI JOIN present USING (context, object_type)) WHERE k <= 3)"""
@@ -310,7 +315,8 @@ al AS (SELECT key, s, p, o, o AS claimed_o, 'supported' AS label FROM kx UNION A
 rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' || s || '|' || p || '|' || o || '|' || claimed_o), s || '|' || p || '|' || o || '|' || claimed_o) AS k FROM al) SELECT key, s, p, o, claimed_o, label FROM rk WHERE k <= 10"""),
     "structured_claims": (structured_claims, f"WITH {B.TR} SELECT 'negation' AS structural, 'refuted' AS label, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM tr) WHERE lower(trim(o)) IN ('true','1','yes','y','t')"),
     "negation_claims": (negation_claims, f"WITH {B.TR} SELECT DISTINCT s, 'False' AS claimed_o, CASE WHEN o = 'true' THEN 'refuted' ELSE 'supported' END AS label FROM tr WHERE p = '{REL}/isUrgent'"),
-    "absent_types": (absent_types, f"WITH {_PRESENT}, u AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT context, count(*) AS n_present, n - count(*) AS n_absent FROM present, u GROUP BY context, n"),
+    "absent_types": (absent_types, f"WITH {_ABSENT} SELECT * FROM absent"),
+    "absent_counts": (absent_counts, f"WITH {_PRESENT}, u AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT context, count(*) AS n_present, n - count(*) AS n_absent FROM present, u GROUP BY context, n"),
     "absent_pairs": (absent_pairs, f"WITH {_PRESENT}, asked AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS context, p_name AS object_type FROM lineitem JOIN part ON p_partkey = l_partkey + 1) SELECT * FROM asked ANTI JOIN present USING (context, object_type)"),
     "absence_claims": (absence_claims, f"WITH {_DRAWN}, had AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY md5('42-' || context || '|' || object_type), object_type) AS k FROM present) SELECT context, object_type, 'supported' AS label FROM drawn UNION ALL SELECT context, object_type, 'refuted' FROM had WHERE k <= 3"),
     "semantic_map": (semantic_map, "SELECT c_mktsegment AS object_type, string_agg(DISTINCT 'region_' || CAST(n_regionkey AS VARCHAR), ',' ORDER BY 'region_' || CAST(n_regionkey AS VARCHAR)) AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
