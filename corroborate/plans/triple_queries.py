@@ -208,6 +208,10 @@ def realize_conjunction(spark, d):
 
 
 def realize_absence(spark, d):
+    return absent_types(spark, d).select("context", Z.absence_text(Z.type_label(F.col("object_type"))).alias("sentence"))
+
+
+def realize_drawn_absence(spark, d):
     return G.absence_draws(_types(spark, d), _present(spark, d), 3).select("context", Z.absence_text(Z.type_label(F.col("object_type"))).alias("sentence"))
 
 
@@ -322,7 +326,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY md5('42-' |
     "semantic_map": (semantic_map, "SELECT c_mktsegment AS object_type, string_agg(DISTINCT 'region_' || CAST(n_regionkey AS VARCHAR), ',' ORDER BY 'region_' || CAST(n_regionkey AS VARCHAR)) AS parents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "realize_triples": (realize_triples, f"WITH {LEX} SELECT ord, sentence FROM st"),
     "realize_conjunction": (realize_conjunction, f"WITH {LEX}, pt AS (SELECT *, TRY_CAST(regexp_extract(s, '([0-9]+)$', 1) AS BIGINT) AS n FROM st WHERE rel <> 'isUrgent') SELECT a.s AS a, b.s AS b, rtrim(a.sentence, '.') || ' and ' || CASE WHEN a.s = b.s THEN regexp_replace(lower(b.sentence), '^the .* is ', '') ELSE lower(b.sentence) END AS sentence FROM pt a JOIN pt b ON a.rel = 'mass' AND b.rel = 'temperature' AND b.n IN (a.n, a.n + 1)"),
-    "realize_absence": (realize_absence, f"WITH {_DRAWN} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM drawn"),
+    "realize_absence": (realize_absence, f"WITH {_ABSENT} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM absent"),
+    "realize_drawn_absence": (realize_drawn_absence, f"WITH {_DRAWN} SELECT context, 'There is no ' || lower(object_type) || ' in this scene.' AS sentence FROM drawn"),
     "sentence_normalise": (sentence_normalise, "WITH x AS (SELECT item_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, upper(substr(t, 1, 1)) || substr(t, 2) || CASE WHEN regexp_matches(t, '[.!?]$') THEN '' ELSE '.' END AS sentence, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS short, substr(sha256(text), 1, 16) AS hash FROM x"),
     "coevidence_edges": (coevidence_edges, f"WITH {_CO} SELECT claim_id, src, dst FROM co WHERE k <= 5"),
     "triple_index": (triple_index, f"WITH {_IX} SELECT * FROM ix"),
