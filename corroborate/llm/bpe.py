@@ -28,14 +28,29 @@ LONG_SPACE = regex.compile(r"\s{2000}")
 
 
 @lru_cache(maxsize=4)
-def _encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding, list[bytes]]:
-    """The merge table of a rank file for texts and for single pre-tokens, and the bytes of each id."""
-    table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+def _table(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+
+
+@lru_cache(maxsize=4)
+def _encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, dict[bytes, int]]:
+    """The merge table of a rank file, for the pre-tokens of a pattern, and its ranks. A worker makes what it needs only."""
+    table = _table(ranks)
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}), table
+
+
+@lru_cache(maxsize=4)
+def _by_id(ranks: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    table = _table(ranks)
     by_id = [b""] * (max(table.values()) + 1)
     for token, rank in table.items():
         by_id[rank] = token
-    text, single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=table, special_tokens={}) for p in (pattern, "(?s:.+)"))
-    return text, single, by_id
+    return by_id
+
+
+def _bytes_of(ids: bytes, by_id: list[bytes]) -> bytes:
+    return b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
@@ -44,20 +59,22 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [e for e in ends if e < len(text)]
 
 
-def _ids(text: str, encoding: tiktoken.Encoding, single: tiktoken.Encoding, pattern: str) -> bytes:
+def _ids(text: str, ranks: bytes, pattern: str) -> bytes:
     if LONG_SPACE.search(text):
+        single, _ = _encoding(ranks, "(?s:.+)")
         return b"".join(np.array(single.encode_ordinary(m.group()), "<u4").tobytes() for m in regex.finditer(pattern, text))
-    return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    return _encoding(ranks, pattern)[0].encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
-def _encode_batches(ranks: Broadcast, pattern: str):
-    """mapInArrow function: the last column, a text, becomes its ids in little-endian 32-bit form."""
+def _encode_batches(ranks: Broadcast, pattern: str, back: bool):
+    """mapInArrow function: the last column, a text, becomes its ids in little-endian 32-bit form, and with
+    `back` the bytes that these decode to as well."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, single, _ = _encoding(ranks.value, pattern)
         for b in batches:
-            ids = pa.array([_ids(t, encoding, single, pattern) for t in b.columns[-1].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], "ids"])
+            ids = [_ids(t, ranks.value, pattern) for t in b.columns[-1].to_pylist()]
+            made = [ids, [_bytes_of(x, _by_id(ranks.value)) for x in ids]] if back else [ids]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, pa.binary()) for x in made)], [*b.schema.names[:-1], *("ids", "decoded")[: len(made)]])
 
     return each
 
@@ -131,8 +148,10 @@ def encode(
     pattern: str = public_tokenizers.PATTERN,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    back: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids) for each row; ids is binary, one little-endian unsigned 32-bit number per token.
+    """(doc_id, ids) for each row, with `back` and decoded, the bytes of its ids (as decode makes them, but
+    by the worker that has the ids, so that a task needs one worker); ids is binary, one little-endian unsigned 32-bit number per token.
 
     A text of up to `chunk` characters is one piece and is encoded where it is read, without a
     shuffle. A longer one becomes overlapping chunks, dealt out over the cluster and pre-tokenised
@@ -146,8 +165,9 @@ def encode(
     """
     ranks = _ranks(docs.sparkSession, ranks_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    each = _encode_batches(ranks, pattern)
-    short = map_batches(rows.where(F.length("text") <= chunk), each, "doc_id long, ids binary")
+    each, made = _encode_batches(ranks, pattern, back), ("ids", "decoded") if back else ("ids",)
+    kinds = ", ".join(f"{c} binary" for c in made)
+    short = map_batches(rows.where(F.length("text") <= chunk), each, f"doc_id long, {kinds}")
     chunks = (
         rows.where(F.length("text") > chunk)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -155,10 +175,10 @@ def encode(
         .repartition("row", "k")
         .mapInArrow(_pretokenise(chunk, overlap, pattern), "row long, doc_id long, k long, at long, text string, left array<long>, right array<long>")
     )
-    pieces = _stitch(chunks, chunk).repartition("row", "seg").mapInArrow(each, "row long, doc_id long, seg long, ids binary")
-    parts = F.array_sort(F.collect_list(F.struct("seg", "ids")))
-    whole = F.array_join(F.transform(parts, lambda x: F.hex(x["ids"])), "")
-    long = pieces.groupBy("row", "doc_id").agg(F.unhex(whole).alias("ids")).select("doc_id", "ids")
+    pieces = _stitch(chunks, chunk).repartition("row", "seg").mapInArrow(each, f"row long, doc_id long, seg long, {kinds}")
+    parts = F.array_sort(F.collect_list(F.struct("seg", *made)))
+    whole = lambda c: F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x[c])), "")).alias(c)
+    long = pieces.groupBy("row", "doc_id").agg(parts.alias("parts")).select("doc_id", *map(whole, made))
     return short.unionByName(long).withColumnRenamed("doc_id", id_col)
 
 
@@ -168,17 +188,17 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = No
     at = encoded.columns.index(ids_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *_, by_id = _encoding(ranks.value, pattern)
+        by_id = _by_id(ranks.value)
         for b in batches:
-            texts = [None if ids is None else b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in b.column(at).to_pylist()]
+            texts = [None if ids is None else _bytes_of(ids, by_id) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
     return map_batches(encoded, each, encoded.withColumn("decoded", F.col(ids_col)).schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of encode and decode: id, n_tokens, ids_sha256, decoded_sha256 for each row."""
-    both = decode(encode(docs, id_col, text_col))
+    """Digests of ids and of what they decode to: id, n_tokens, ids_sha256, decoded_sha256 for each row."""
+    both = encode(docs, id_col, text_col, back=True)
     return both.select(
         id_col,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

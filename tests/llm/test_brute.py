@@ -111,3 +111,14 @@ def test_ids_are_those_of_a_merge_loop(spark, tables):
         r = found[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), d.doc_id
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_round_trip_needs_one_worker_a_task(spark, docs_of):
+    """The check's pipeline failure of round 3: ids and the bytes they decode to come from one Python pass, over
+    short texts and over long ones, and agree with decode."""
+    docs = docs_of(["", None, "a b", "naïve ☃ " * 9000, "x" * 40_000, " " * 70_000 + "end"])
+    plan = bpe.round_trip(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # short texts; long ones split, pre-tokenised and encoded
+    both = {r.doc_id: r for r in bpe.encode(docs, back=True).collect()}
+    for r in bpe.decode(bpe.encode(docs)).collect():
+        assert (both[r.doc_id].ids, both[r.doc_id].decoded) == (r.ids, r.decoded)
