@@ -9,8 +9,11 @@ from corroborate.functions import formula
 from corroborate.functions import uris as U
 from corroborate.functions.realize import decapitalised
 from corroborate.functions.vocab import DEFAULT_TRUST, EVIDENCE_WEIGHTS, lookup
+from corroborate.operators.lineage import checkpointed, tasks_for
 from corroborate.operators.profile import distributions
 from corroborate.operators.splits import _ranked, apportion, seeded_order
+from corroborate.operators.triples import SPO
+
 
 def _key() -> Column:
     return F.concat_ws("|", "s", "p", "o")
@@ -92,9 +95,10 @@ def absence_draws(universe: DataFrame, present: DataFrame, per_context: int, see
     return free.withColumn("_r", nth).where(F.col("_r") <= per_context).select("context", "object_type")
 
 
-def preferred_receptacles(triples: DataFrame, rules: DataFrame) -> DataFrame:
-    """(s, p, o, receptacle): where the subject's type could be, by rules (object_type, receptacle)."""
-    return triples.join(rules.select(F.lower("object_type").alias("_t"), "receptacle"), F.lower(U.entity_type(F.col("s"))) == F.col("_t")).drop("_t")
+def preferred_receptacles(triples: DataFrame, rules: DataFrame, *more: str) -> DataFrame:
+    """(s, p, o, receptacle): where the subject's type could be, by rules (object_type, receptacle), with
+    more of their columns if asked."""
+    return triples.join(rules.select(F.lower("object_type").alias("_t"), "receptacle", *more), F.lower(U.entity_type(F.col("s"))) == F.col("_t")).drop("_t")
 
 
 def semantic_map(objects: DataFrame) -> DataFrame:
@@ -104,28 +108,43 @@ def semantic_map(objects: DataFrame) -> DataFrame:
     return pairs.groupBy("object_type").agg(F.sort_array(F.collect_list("parent_type")).alias("parent_types"))
 
 
-def corruption_candidates(triples: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
+def _each_once(triples: DataFrame, n: int) -> DataFrame:
+    """Distinct (s, p, o), dealt to n tasks before they are compared, so no task that reads holds them."""
+    return triples.select(*SPO).repartition(n, *SPO).dropDuplicates(SPO)
+
+
+def _usable(triples: DataFrame, n: int) -> DataFrame:
+    return _each_once(triples.where(~U.is_degenerate(F.col("p"), F.col("o"))), n)
+
+
+def corruption_candidates(triples: DataFrame, rules: DataFrame, seed: int = 42, n: int | None = None) -> DataFrame:
     """For each triple one wrong object, by the first way that gives one: flip a boolean,
     change a temperature, put it where its type could be but isn't.
 
     Adds bad_o and how. Candidates that are true triples are anti-joined; the receptacle's object
-    comes from the distinct objects of its type, first in the seeded order.
+    comes from the distinct objects of its type, first in the seeded order. n: tasks to deal the triples to
+    (without: by their number). rules, one row a type and receptacle, go to every task with that object.
     """
-    rows = triples.dropDuplicates(["s", "p", "o"])
+    n = n or tasks_for(triples)
+    rows = _each_once(triples, n)
     temperature = U.short_uri(F.col("o"))
     order = list(("Hot", "Cold", "RoomTemp"))
     heat = F.lit(None).cast("string")
     for i, t in enumerate(order):
         heat = F.when(temperature == t, F.lit(order[(i + 1) % len(order)])).otherwise(heat)
-    flips = rows.where(U.is_boolean(F.col("o"))).select("s", "p", "o", F.lit(0).alias("rank"), F.lit("boolean_flip").alias("how"), U.flip_boolean(F.col("o")).alias("bad_o"))
-    heats = rows.where(heat.isNotNull()).select("s", "p", "o", F.lit(1).alias("rank"), F.lit("temperature_change").alias("how"), heat.alias("bad_o"))
-    places = rows.select(F.col("o").alias("bad_o")).distinct().withColumn("receptacle", U.entity_type(F.col("bad_o")))
-    # one object for each type of receptacle in the seeded order, so that a type doesn't multiply rows
+    way = lambda rank, how, bad_o: F.struct(F.lit(rank).alias("rank"), F.lit(how).alias("how"), bad_o.alias("bad_o"))
+    flip = F.when(U.is_boolean(F.col("o")), U.flip_boolean(F.col("o")))
+    ways = F.filter(F.array(way(0, "boolean_flip", flip), way(1, "temperature_change", heat)), lambda x: x["bad_o"].isNotNull())
+    changed = triples.select(*SPO, F.explode(ways).alias("x")).select(*SPO, "x.*")
+    # one object for each type of receptacle in the seeded order, so that a type doesn't multiply rows; only types that rules name
+    receptacles = F.broadcast(rules.select("receptacle").distinct())
+    places = triples.select(F.col("o").alias("bad_o"), U.entity_type(F.col("o")).alias("receptacle")).join(receptacles, "receptacle", "left_semi")
     one = places.groupBy("receptacle").agg(F.min(F.struct(seeded_order(F.col("bad_o"), seed).alias("k"), "bad_o")).alias("x")).select("receptacle", "x.bad_o")
-    moves = preferred_receptacles(rows, rules).join(one, "receptacle").where("bad_o <> o").select("s", "p", "o", F.lit(2).alias("rank"), F.lit("receptacle_substitution").alias("how"), "bad_o")
-    wrong = flips.unionByName(heats).unionByName(moves)
-    true = rows.select("s", "p", F.col("o").alias("bad_o"))
-    return wrong.join(true, ["s", "p", "bad_o"], "left_anti").groupBy("s", "p", "o").agg(F.min(F.struct("rank", "bad_o", "how")).alias("x")).select("s", "p", "o", "x.bad_o", "x.how")
+    to = F.broadcast(rules.join(F.broadcast(one), "receptacle"))
+    moves = preferred_receptacles(triples, to, "bad_o").where("bad_o <> o").select(*SPO, F.lit(2).alias("rank"), F.lit("receptacle_substitution").alias("how"), "bad_o")
+    wrong = changed.unionByName(moves).repartition(n, "s", "p", "bad_o")
+    false = wrong.join(rows.withColumnRenamed("o", "bad_o"), ["s", "p", "bad_o"], "left_anti").repartition(n, *SPO)
+    return false.groupBy(*SPO).agg(F.min(F.struct("rank", "bad_o", "how")).alias("x")).select(*SPO, "x.bad_o", "x.how")
 
 
 def one_hop_claims(triples: DataFrame, rules: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -133,10 +152,11 @@ def one_hop_claims(triples: DataFrame, rules: DataFrame, n: int, seed: int = 42)
 
     Which triples are taken follows the seeded order, so reruns agree (Q1: no duplicates by content).
     """
-    usable = triples.dropDuplicates(["s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o")))
+    n_tasks = tasks_for(triples)
+    usable = _usable(triples, n_tasks)
     order = [seeded_order(_key(), seed), "s", "p", "o"]
     right = usable.orderBy(*order).limit(n // 2).select("s", "p", "o", F.col("o").alias("claimed_o"), F.lit("supported").alias("label"))
-    bad = corruption_candidates(usable, rules, seed).orderBy(seeded_order(_key(), seed + 1), "s", "p", "o").limit(n - n // 2)
+    bad = corruption_candidates(triples.where(~U.is_degenerate(F.col("p"), F.col("o"))), rules, seed, n_tasks).orderBy(seeded_order(_key(), seed + 1), "s", "p", "o").limit(n - n // 2)
     return right.unionByName(bad.select("s", "p", "o", F.col("bad_o").alias("claimed_o"), F.lit("refuted").alias("label")))
 
 
@@ -158,10 +178,10 @@ def conjunction_claims(triples: DataFrame, rules: DataFrame, seed: int = 42) ->
     Mode 0 claims both as they are; 1 corrupts the first, 2 the second, 3 both. A claim of modes 1 to 3
     that no corruption changes isn't made; one that is changed is refuted. Degenerate triples are no claims.
     """
-    rows = triples.dropDuplicates(["s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("s", "p", "o")
-    bad = corruption_candidates(rows, rules, seed).select("s", "p", "o", "bad_o")
+    n = tasks_for(triples)
+    bad = corruption_candidates(triples.where(~U.is_degenerate(F.col("p"), F.col("o"))), rules, seed, n).select("s", "p", "o", "bad_o")
     after = Window.partitionBy("s").orderBy("p", "o")
-    both = rows.join(bad, ["s", "p", "o"], "left").withColumn("n", F.lead(F.struct("p", "o", "bad_o")).over(after)).where("n is not null")
+    both = _usable(triples, n).join(bad, SPO, "left").repartition(n, "s").withColumn("n", F.lead(F.struct("p", "o", "bad_o")).over(after)).where("n is not null")
     mode = _seeded_choice(_key(), 4, seed)
     claimed = lambda true, wrong, modes: F.when(mode.isin(*modes), F.coalesce(wrong, true)).otherwise(true)
     made = both.select(
@@ -185,7 +205,7 @@ def first_contexts(contexts: DataFrame, n: int) -> DataFrame:
 def context_claims(triples: DataFrame, rules: DataFrame, per_context: int, seed: int = 42) -> DataFrame:
     """One-hop claims of every context (columns key, s, p, o): up to per_context // 2 true and
     corrupted ones each, in the seeded order; (key, s, p, o, claimed_o, label)."""
-    usable = triples.dropDuplicates(["key", "s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("key", "s", "p", "o")
+    usable = checkpointed(triples.where(~U.is_degenerate(F.col("p"), F.col("o"))).select("key", *SPO).distinct())  # read five times below
     bad = corruption_candidates(usable.select("s", "p", "o"), rules, seed).select("s", "p", "o", F.col("bad_o").alias("claimed_o"))
     both = usable.select("*", F.col("o").alias("claimed_o"), F.lit("supported").alias("label")).unionByName(usable.join(bad, ["s", "p", "o"]).withColumn("label", F.lit("refuted")))
     ranked = _ranked(both.withColumn("_key", F.concat_ws("|", "s", "p", "o", "claimed_o")), "_key", [F.col("key"), F.col("label")], seed)
@@ -298,6 +318,15 @@ def grounded_items(items: DataFrame, pool: DataFrame, seed: int = 42) -> DataFra
     return seeded.withColumn("text", text).drop("k", "size", "nth")
 
 
+def attempts(triples: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
+    """(s, p, o, how, label): every usable triple as a claim, and every attempt to corrupt one, with the way or none."""
+    n = tasks_for(triples)
+    t = _usable(triples, n)
+    bad = corruption_candidates(triples.where(~U.is_degenerate(F.col("p"), F.col("o"))), rules, seed, n)
+    tried = t.join(bad.select(*SPO, "how"), SPO, "left").withColumn("label", F.lit("refuted"))
+    return t.withColumn("how", F.lit(None).cast("string")).withColumn("label", F.lit("supported")).unionByName(tried)
+
+
 def build_stats(triples: DataFrame, member: str = "hasObject") -> DataFrame:
     """One row: triples, subjects, predicates, objects in contexts, contexts."""
     is_member = U.relation_name(F.col("p")) == member

@@ -1,7 +1,8 @@
-"""Cutting a job's lineage where an iteration would otherwise plan and lose everything before it."""
+"""Cutting a job's lineage where an iteration would otherwise plan and lose everything before it, and tasks of bounded size."""
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -9,6 +10,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a task, about, where triples are dealt out.
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(rows: DataFrame, each: int = ROWS_PER_TASK) -> int:
+    """How many tasks take some `each` rows. URIs shrink to a tenth in shuffle files, so Spark's own choice by
+    their bytes gives a task many times what it seems; rows say it better. Counts a table, so ask it of one that is read."""
+    return max(1, math.ceil(rows.count() / each))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is
     unset a local session takes a temporary folder; on a cluster this raises ValueError."""

@@ -110,10 +110,7 @@ def conjunction_claims(spark, d):
 
 
 def _made(spark, d):
-    """Every usable triple as a claim, and every attempt to corrupt one, with the way or none."""
-    t = B.triples(spark, d).dropDuplicates(["s", "p", "o"]).where(~U.is_degenerate(F.col("p"), F.col("o"))).select("s", "p", "o")
-    tried = t.join(G.corruption_candidates(t, _rules(spark)).select("s", "p", "o", "how"), ["s", "p", "o"], "left").withColumn("label", F.lit("refuted"))
-    return t.withColumn("how", F.lit(None).cast("string")).withColumn("label", F.lit("supported")).unionByName(tried)
+    return G.attempts(B.triples(spark, d), _rules(spark))
 
 
 def generation_counts(spark, d):
