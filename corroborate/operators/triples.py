@@ -139,7 +139,8 @@ def with_labels(triples: DataFrame, predicates: DataFrame, entities: DataFrame |
     Triples with an unknown predicate are dropped. entities (entity, label) names subjects by their
     local name; without an entry the label is that name in lower case.
     """
-    known = predicates.select(F.col("predicate").alias("_p"), F.col("label").alias("p_label"), "form")
+    # the lexicon goes to every task: dealt by predicate, most triples would be a few tasks'
+    known = F.broadcast(predicates.select(F.col("predicate").alias("_p"), F.col("label").alias("p_label"), "form"))
     named = triples.join(known, U.relation_name(F.col("p")) == F.col("_p")).drop("_p")
     local = U.short_uri(F.col("s"))
     if entities is None:
