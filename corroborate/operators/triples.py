@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import uris as U
 from corroborate.functions.vocab import FALSE_VALUES, TRUE_VALUES
+from corroborate.operators.lineage import ROWS_PER_TASK, tasks_for
 
 SPO = ["s", "p", "o"]
 
@@ -73,12 +74,25 @@ def _last(mapping: DataFrame, order: str) -> DataFrame:
     return mapping.where("value is not null").groupBy("node").agg(F.max_by("value", order).alias("value"))
 
 
-def _mapped(triples: DataFrame, direct: Column, mapping: DataFrame) -> DataFrame:
-    """Adds key: the direct value, or the mapping's for the subject, or for the object."""
-    of_s = mapping.select(F.col("node").alias("s"), F.col("value").alias("_vs"))
-    of_o = mapping.select(F.col("node").alias("o"), F.col("value").alias("_vo"))
-    joined = triples.join(of_s, "s", "left").join(of_o, "o", "left")
-    return joined.withColumn("key", F.coalesce(direct, "_vs", "_vo")).drop("_vs", "_vo")
+def _mapped(triples: DataFrame, direct: Column, mapping: DataFrame, hot: int = ROWS_PER_TASK) -> DataFrame:
+    """Adds key: the direct value, or the mapping's for the subject, or for the object.
+
+    A term of more than `hot` triples ("false" may be the object of most) would be one task's: what the
+    mapping says of such terms, at most triples / hot of them, goes to every task. Triples with other
+    terms are dealt by the term, and those that have their key are not looked up again.
+    """
+    n = tasks_for(triples)
+    keyed = triples.withColumn("key", direct)
+    for term in ("s", "o"):
+        node = F.col(term).alias("_node")
+        often = triples.groupBy(node).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("_node")
+        known = mapping.select(F.col("node").alias("_node"), F.col("value").alias("_value"))
+        told = F.broadcast(often.join(known, "_node", "left").withColumn("_often", F.lit(True)))
+        met = keyed.join(told, F.col(term).eqNullSafe(F.col("_node")), "left").withColumn("key", F.coalesce("key", "_value")).drop("_node", "_value")
+        settled = F.col("key").isNotNull() | F.col("_often").isNotNull() | F.col(term).isNull()
+        asked = met.where(~settled).drop("_often", "key").repartition(n, term).join(known.repartition(n, "_node"), F.col(term) == F.col("_node"), "left")
+        keyed = met.where(settled).drop("_often").unionByName(asked.drop("_node").withColumnRenamed("_value", "key"))
+    return keyed
 
 
 def by_context(triples: DataFrame, namespace: str, order: str = "ord") -> DataFrame:
