@@ -139,12 +139,18 @@ def scene_triples(objects: DataFrame, ontology: DataFrame, base: str) -> DataFra
     (name, uri) maps; others are dropped. A set, as in RDF.
     """
     entity = U.mint(base, "entities", F.col("object_id"))
-    member = objects.select(U.mint(base, "contexts", F.col("scene_id")).alias("s"), F.lit(f"{base}/relations/hasObject").alias("p"), entity.alias("o"))
-    kind = objects.select(entity.alias("s"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type").alias("p"), U.mint(base, "types", F.col("object_type")).alias("o"))
-    data = objects.select(entity.alias("s"), F.explode("properties").alias("name", "o")).where("o is not null")
-    links = objects.select(entity.alias("s"), F.explode("relations").alias("r")).select("s", F.col("r.predicate").alias("name"), U.mint(base, "entities", F.col("r.object")).alias("o"))
-    mapped = data.unionByName(links).join(ontology.select("name", F.col("uri").alias("p")), "name").select(*SPO)
-    return member.unionByName(kind).unionByName(mapped).distinct()
+    # all that is said of an entity is made, and made distinct, in the task that its object is dealt to
+    own = objects.select("scene_id", "object_type", "properties", "relations", entity.alias("_e")).repartition(tasks_for(objects, ROWS_PER_TASK // 5), "_e")
+    none = F.lit(None).cast("string")
+    said = lambda name, s, p, o: F.struct(name.alias("name"), s.alias("s"), p.alias("p"), o.alias("o"))
+    member = said(none, U.mint(base, "contexts", F.col("scene_id")), F.lit(f"{base}/relations/hasObject"), F.col("_e"))
+    kind = said(none, F.col("_e"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type"), U.mint(base, "types", F.col("object_type")))
+    data = F.filter(F.transform(F.map_entries("properties"), lambda x: said(x["key"], F.col("_e"), none, x["value"])), lambda x: x["o"].isNotNull())
+    links = F.transform("relations", lambda r: said(r["predicate"], F.col("_e"), none, U.mint(base, "entities", r["object"])))
+    nothing = F.array().cast("array<struct<name: string, s: string, p: string, o: string>>")
+    every = own.select("_e", F.explode(F.concat(F.array(member, kind), F.coalesce(data, nothing), F.coalesce(links, nothing))).alias("x")).select("_e", "x.*")
+    mapped = every.join(F.broadcast(ontology.select("name", "uri")), "name", "left").withColumn("p", F.coalesce("p", "uri")).where("p is not null")
+    return mapped.dropDuplicates(["_e", *SPO]).select(*SPO)
 
 
 def with_labels(triples: DataFrame, predicates: DataFrame, entities: DataFrame | None = None) -> DataFrame:
