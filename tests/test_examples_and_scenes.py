@@ -105,3 +105,25 @@ def test_stream_forgets_after_keep(spark, tmp_path):
     assert counts == {"kept": 4, "forgets": 3}  # item 3 came too late for the second
     with pytest.raises(ValueError, match="together"):
         running_scores(spark.createDataFrame([], schema), reg, ts="ts")
+
+
+def test_large_scenes_are_many_files(spark, tmp_path, monkeypatch):
+    """A scene of more objects than a file takes is written and read by several tasks, and replaced whole."""
+    monkeypatch.setattr(SC, "OBJECTS_PER_FILE", 100)
+    kinds = "scene_id string, object_id string, object_type string, properties map<string,string>, relations array<struct<predicate: string, object: string>>"
+    thing = lambda s, i: (s, f'Mug|{i} "é \\\n', "Mug", {"n": str(i), "x": None}, [("onTopOf", f"Table|{i}")] if i % 2 else None)
+    rows = [thing("hot+1", i) for i in range(1000)] + [thing("hot", i) for i in range(150)] + [thing("cold", i) for i in range(3)]
+    at = str(tmp_path / "scenes")
+    plain = lambda df: sorted((r.scene_id, r.object_id, r.object_type, sorted(r.properties.items(), key=str), [tuple(x) for x in r.relations]) for r in df.collect())
+    want = lambda rows: sorted((s, o, t, sorted(p.items(), key=str), r or []) for s, o, t, p, r in rows)
+    SC.write_scenes(spark.createDataFrame(rows, kinds), at)
+    files = [f for f in (tmp_path / "scenes").iterdir() if f.name.startswith("hot%2B1")]
+    assert len(files) == 10 and max(len(f.read_text().split("\n")) for f in files) < 200 and (tmp_path / "scenes" / "cold.scene.json").exists()
+    assert plain(SC.read_scenes(spark, at)) == want(rows)
+    assert plain(SC.read_scenes(spark, at, ["hot+1"])) == want(rows[:1000])
+    monkeypatch.setattr(SC, "PARTITION_BYTES", 20_000)
+    assert len(SC._SceneReader(SC.FolderOfScenes(at)).partitions()) > 4
+    assert dict(SC.FolderOfScenes(at).scenes()).keys() == {"hot+1", "hot", "cold"}
+    fewer = [thing("hot+1", i) for i in range(250)] + [thing("hot", 7)] + [thing("cold", i) for i in range(300)]
+    SC.write_scenes(spark.createDataFrame(fewer, kinds), at)
+    assert plain(SC.read_scenes(spark, at)) == want(fewer)
