@@ -11,6 +11,7 @@ stay unresolved until the declarations of all ranges are known; then they are jo
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.operators.lineage import new_folder
+from corroborate.operators.lineage import ROWS_PER_TASK, new_folder
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 #: States at the start of a line: outside of long strings, or inside one of either quote.
 STATES = ("", '"""', "'''")
 #: The name under which the base stands among the prefixes.
 BASE = "@base"
+#: Characters of triples that a task writes, about.
+CHARS_PER_TASK = 64 << 20
 
 _WORD = r"""[^\s<>"'#;,\[\]().\\^]"""
 _TOKEN = re.compile(
@@ -303,10 +306,11 @@ def _begin_states(lines: DataFrame) -> dict[tuple[str, int], str]:
 
 def scan_turtle(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all statements, names unresolved: kind (triple, prefix, error), file, block, seq, and terms
-    as namespace and rest. Written to the shared folder, as it is read for declarations and for triples."""
+    as namespace and rest. Written to the shared folder, as it is read for declarations and for triples: in the
+    order of the text, since a folder for each kind would have every task sort all its rows in memory first."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     at = new_folder(spark, "turtle")
-    lines.mapInArrow(_pieces(_begin_states(lines)), _ROW).write.partitionBy("kind").parquet(at)
+    lines.mapInArrow(_pieces(_begin_states(lines)), _ROW).write.parquet(at)
     rows = spark.read.schema(_ROW).parquet(at)
     left = rows.where(F.col("kind").isin("head", "middle", "tail")).select("file", "block", (F.col("kind") == "tail").cast("int").alias("part"), (F.col("kind") == "head").alias("ends"), "s")
     order = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -347,6 +351,10 @@ def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     order = Window.partitionBy("in_file", "ns").orderBy("from_block", "from_seq")
     names = rows.where("kind = 'prefix'").select(F.col("file").alias("in_file"), F.col("s_ns").alias("ns"), F.col("s").alias("iri"), F.col("block").alias("from_block"), F.col("seq").alias("from_seq"))
     names = names.withColumn("to_block", F.lead("from_block").over(order)).withColumn("to_seq", F.lead("from_seq").over(order))
+    # written, so that Spark knows their size before it plans the joins: small ones go to every task, and no triple is shuffled
+    at = new_folder(spark, "prefixes")
+    names.write.parquet(at)
+    names = spark.read.schema(names.schema).parquet(at)
     out = rows.where("kind = 'triple'").drop("kind")
     for term in ("s", "p", "o"):
         out = _resolved(out, names, term)
@@ -424,10 +432,13 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None
     http or _:, else a literal. prefixes: name to namespace; the most used others are named ns1, ns2, …,
     `most` together at most. Rows without all three terms are left out.
 
-    Files are ranges of (s, p, o), so a subject with most of the triples spreads over several; tasks write
-    from sorted rows as they come and hold one line.
+    Files are ranges of (s, p, o), so a subject with most of the triples spreads over several; tasks sort some
+    ROWS_PER_TASK triples, write them as they come and hold one line.
     """
     whole = triples.select("s", "p", "o").dropna()
+    # URIs shrink in shuffle files, so tasks cut by bytes would sort many times what they seem to hold
+    size = whole.agg(F.count("*").alias("n"), F.sum(F.length("s") + F.length("p") + F.length("o")).alias("chars")).first()
+    tasks = math.ceil(max(size.n / ROWS_PER_TASK, (size.chars or 0) / CHARS_PER_TASK))
     given = {ns: name for name, ns in (prefixes or {}).items()}
     found = [r.namespace for r in namespaces(whole, most).collect() if r.namespace not in given][: max(0, most - len(given))]
     names = given | {ns: f"ns{i + 1}" for i, ns in enumerate(found)}
@@ -441,6 +452,7 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None
         return full if known is None else F.when(known[ns].isNotNull(), F.concat(known[ns], F.lit(":"), short)).otherwise(full)
 
     s, p, o = (F.col(c) for c in "spo")
-    terms = whole.select(node(s).alias("s"), F.when(p == f"{RDF}type", "a").otherwise(node(p)).alias("p"), F.when(is_node(o), node(o)).otherwise(quoted(o)).alias("o"))
-    lines = terms.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o").mapInArrow(_grouped(header), "value string")
+    dealt = whole.repartitionByRange(*([tasks] if tasks > 1 else []), "s", "p", "o")
+    terms = dealt.select(node(s).alias("s"), F.when(p == f"{RDF}type", "a").otherwise(node(p)).alias("p"), F.when(is_node(o), node(o)).otherwise(quoted(o)).alias("o"))
+    lines = terms.sortWithinPartitions("s", "p", "o").mapInArrow(_grouped(header), "value string")
     lines.write.mode(mode).option("lineSep", "\n").text(path)

@@ -140,3 +140,21 @@ def test_hot_subject_is_spread(spark, tmp_path):
     files = list((tmp_path / "t").glob("part-*"))
     assert len(files) >= 2 and max(f.stat().st_size for f in files) < 0.7 * sum(f.stat().st_size for f in files)
     assert TTL.read_turtle(spark, str(tmp_path / "t")).distinct().count() == 4000
+
+
+def test_tasks_hold_bounded_triples(spark, tmp_path, monkeypatch):
+    """A task sorts no more than its share of the triples, and reading neither sorts nor shuffles them."""
+    monkeypatch.setattr(TTL, "ROWS_PER_TASK", 500)
+    rows = spark.range(6000).select(F.concat(F.lit("http://e.org/"), (F.col("id") % 1500).cast("string")).alias("s"), F.lit("http://e.org/p").alias("p"), F.col("id").cast("string").alias("o"))
+    texts = spark.range(40).select(F.lit("http://f.org/x").alias("s"), F.lit("http://e.org/p").alias("p"), F.repeat(F.concat("id", F.lit(" text ")), F.lit(1000)).alias("o"))
+    TTL.write_turtle(rows, str(tmp_path / "t"))
+    files = [f.read_text() for f in (tmp_path / "t").glob("part-*")]
+    assert len(files) == 12 and max(text.count("\n") for text in files) < 1500
+    monkeypatch.setattr(TTL, "CHARS_PER_TASK", 50_000)
+    TTL.write_turtle(texts, str(tmp_path / "long"))
+    assert len(list((tmp_path / "long").glob("part-*"))) >= 4
+    for at, want in (("t", rows), ("long", texts)):
+        found = TTL.read_turtle(spark, str(tmp_path / at), strict=True)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan
