@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corroborate.operators.validate import each_of
+
 #: Groups that a task holds before it hands on what it has, and parts that a group's rows are merged in first.
 GROUPS_HELD, SALTS = 50_000, 32
 
@@ -82,5 +84,5 @@ def issue_examples(checked: DataFrame, order: str = "id", records: int = 3, mess
     said = F.transform(issues, lambda i: F.concat(F.lit("["), i["category"], F.lit(":"), i["severity"], F.lit("] "), i["rule"]))
     rows = checked.select(F.col(order), F.col(issues).alias("_issues"), F.slice(said, 1, messages).alias("messages"))
     count = lambda rule: F.size(F.filter("_issues", lambda i: i["rule"] == rule)).cast("long")
-    each = rows.select(order, "_issues", "messages", F.explode(F.array_distinct(F.transform("_issues", lambda i: i["rule"]))).alias("rule"))
+    each = each_of(rows, F.array_distinct(F.transform("_issues", lambda i: i["rule"])), "rule", order, "_issues", "messages")
     return least_rows(each.select("rule", order, count(F.col("rule")).alias("n"), "messages"), ["rule"], [order], records)

@@ -459,3 +459,15 @@ def test_scene_triples_shuffle_objects_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Union" not in plan
     assert len(got) == len(set(got)) and {t for t in got if t[0] and "cup" in t[0]} == {("http://k/entities/cup%7C1", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://k/types/Cup"), ("http://k/entities/cup%7C1", "http://k/relations/onTopOf", "http://k/entities/table%7C1")}
+
+
+def test_issues_are_made_once(spark):
+    """Rules run once a record: no filter on the issues' number repeats them below."""
+    texts = spark.range(9).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("see http://x.org/"), F.col("id").cast("string"))).alias("claim"))
+    checked = texts.select(X.text_issues(F.col("claim")).alias("issues"))
+    found = X.issue_counts(checked)
+    counts = {r.rule: r.n for r in found.collect()}
+    assert counts["V8"] == 3 and counts["V11"] == counts["V12"] == counts["V13"] == counts["V15"] == 6
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("V15") == 1
+    odd = spark.createDataFrame([([("a", "c", "e"), None, ("a", "c", "e")],), ([],), (None,)], "issues array<struct<rule: string, category: string, severity: string>>")
+    assert {(r.rule, r.n) for r in X.issue_counts(odd).collect()} == {("a", 2), (None, 1)}
